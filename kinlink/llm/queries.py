@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix
+from .substring_dedup import dedup_substrings
 from .simhash import as_hex, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,9 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, fingerprints linked at two differing bits or fewer."""
     found = near_duplicates(_read(spark, sf_dir, "documents"), n=3, radius=2)
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words, in two batches of ascending doc_id."""
+    return dedup_substrings(_read(spark, sf_dir, "documents"), report=True)
