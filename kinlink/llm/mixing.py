@@ -17,9 +17,9 @@ from ..storage import materialize
 from .words import word_count
 
 #: Sums that the dynamic program tells apart at most; a larger remainder is first filled greedily.
-DP_SUMS = 1 << 20
+DP_SUMS = 1 << 17
 #: Rows of one length that are ranked together; longer groups are first cut by their hash.
-RANKED = 4096
+RANKED = 512
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float, total: float | None = None) -> list[float]:
@@ -160,7 +160,7 @@ def mix(
         return pd.DataFrame({"_source": pdf["_source"], "size": pdf["size"], "passes": passes, "extra": chosen})
 
     counts = materialize(
-        joined.groupBy("_source").applyInPandas(solve, "_source string, size long, passes long, extra long"), "counts"
+        joined.repartition(min(max(len(rows), 1), 1000), "_source").groupBy("_source").applyInPandas(solve, "_source string, size long, passes long, extra long"), "counts"
     )
     counts = counts.join(hist, hist["_source"].eqNullSafe(counts["_source"]) & (hist["size"] == counts["size"])).select(
         counts["_source"], counts["size"], "passes", "extra", "n"
