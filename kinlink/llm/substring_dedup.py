@@ -290,6 +290,12 @@ class FingerprintIndex:
         self._made += 1
         return f"{self.path}/run-{self._made:06d}"
 
+    def drop(self) -> None:
+        """Deletes all runs; what else was written beside them stays."""
+        for x in self.runs:
+            storage.remove(self.spark, f"{x}/kind={RUN}")
+        self.runs = []
+
     def add(self, run: str, fanout: int = FANOUT) -> None:
         """Adds a written run; more than ``fanout`` runs are compacted into one."""
         self.runs.append(run)
@@ -457,6 +463,8 @@ def dedup_substrings(
         found = match_batch(part, index, groups=groups, width=width, keep=not own or k < len(edges))
         hits = found if hits is None else hits.unionByName(found)
         storage.release(spark)
+    if own:
+        index.drop()
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = docs.toDF(*names).select(names[id_at], names[text_at]) if report else docs.toDF(*names)
     at = (0, 1) if report else (id_at, text_at)
