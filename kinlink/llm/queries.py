@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .mixing import mix
 from .substring_dedup import dedup_substrings
+from .quality import held_out, score, train
 from .simhash import as_hex, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words, in two batches of ascending doc_id."""
     return dedup_substrings(_read(spark, sf_dir, "documents"), report=True)
+
+
+@_query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned outside the fold whose crc32(doc_id) leaves 1 when divided by 3; scores every whole text."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, train(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
