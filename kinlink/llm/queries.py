@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_leaks
+from .html_text import extract
 from .mixing import mix
-from .substring_dedup import dedup_substrings
 from .quality import held_out, score, train
 from .simhash import as_hex, near_duplicates
+from .substring_dedup import dedup_substrings
+from .url_filter import RULES, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +60,49 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """One row for each document and benchmark item that it holds."""
     found = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "at", "edits")
+
+
+@_query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is bad if the label of the same number says low quality or toxic."""
+    labels = _read(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return judge(_read(spark, sf_dir, "pages"), outcomes, rules=RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op4_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM u LEFT JOIN o ON doc_id = page_id GROUP BY host),
+h1 AS (SELECT *, string_split(host, '.') AS l FROM h0),
+h2 AS (SELECT host, n, k, l[-1] AS suffix, CASE WHEN len(l) < 2 THEN host ELSE l[-2] || '.' || l[-1] END AS domain FROM h1),
+g AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS rate FROM h2),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h2 GROUP BY suffix, domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(g.rate) AS rate FROM d0, g GROUP BY suffix),
+sm AS (SELECT sum(n * pow(k / n - rate, 2)) AS spread, sum(rate * (1 - rate)) AS noise, sum(n * rate * (1 - rate)) AS scale, sum(n) AS pages FROM s0 WHERE n > 0),
+sw AS (SELECT CASE WHEN (spread - noise) / pages <= scale / pages / 1001 THEN 1000.0 ELSE least(greatest(scale / (spread - noise) - 1, 1.0), 1000.0) END AS m FROM sm),
+s1 AS (SELECT suffix, (m * rate + k) / (m + n) AS rate FROM s0, sw),
+d1 AS (SELECT d0.domain, d0.n, d0.k, s1.rate FROM d0 JOIN s1 USING (suffix)),
+dm AS (SELECT sum(n * pow(k / n - rate, 2)) AS spread, sum(rate * (1 - rate)) AS noise, sum(n * rate * (1 - rate)) AS scale, sum(n) AS pages FROM d1 WHERE n > 0),
+dw AS (SELECT CASE WHEN (spread - noise) / pages <= scale / pages / 1001 THEN 1000.0 ELSE least(greatest(scale / (spread - noise) - 1, 1.0), 1000.0) END AS m FROM dm),
+d2 AS (SELECT domain, (m * rate + k) / (m + n) AS rate FROM d1, dw),
+h3 AS (SELECT h2.host, h2.n, h2.k, d2.rate FROM h2 JOIN d2 USING (domain)),
+hm AS (SELECT sum(n * pow(k / n - rate, 2)) AS spread, sum(rate * (1 - rate)) AS noise, sum(n * rate * (1 - rate)) AS scale, sum(n) AS pages FROM h3 WHERE n > 0),
+hw AS (SELECT CASE WHEN (spread - noise) / pages <= scale / pages / 1001 THEN 1000.0 ELSE least(greatest(scale / (spread - noise) - 1, 1.0), 1000.0) END AS m FROM hm),
+h4 AS (SELECT host, m * rate + k AS a, m * (1 - rate) + n - k AS b FROM h3, hw),
+h5 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS low FROM h4),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (SELECT hp.host, hp.path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+         FROM (SELECT DISTINCT host, path FROM u) hp JOIN r ON (hp.host = h OR ends_with(hp.host, '.' || h)) AND starts_with(hp.path, p) GROUP BY hp.host, hp.path)
+SELECT page_id, u.host, u.path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN h5 ON h5.host = u.host LEFT JOIN best ON best.host = u.host AND best.path = u.path
+"""
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(_read(spark, sf_dir, "pages"))

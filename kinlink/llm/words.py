@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 PATTERN = r"[^\x20\x09-\x0D]+"
@@ -16,3 +18,18 @@ def word_count(text: Column) -> Column:
 def split_words(text: str | None) -> list[bytes]:
     """The words as UTF-8: ``bytes.split`` cuts at exactly the six characters of the pattern."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+#: Rows that go to Python together where a row holds a whole text.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Makes Spark hand whole texts to Python in small batches, so that workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
+def each(column) -> Iterator:
+    """The values of an Arrow column, one at a time."""
+    for x in column:
+        yield x.as_py()
