@@ -10,18 +10,21 @@ around a shared run of GRAM words are walked (no loss while every item has n >=
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import each, text_batches
+
 #: Share of an item's words that may be edited.
 EDITS = 0.2
 GRAM = 4
 #: Places sampled from a walk, and repetitions with fresh walks and places.
 PLACES, REPEATS = 4, 16
 #: Characters of benchmark that one pass holds in each task; a larger benchmark takes more passes.
-PASS_CHARS = 16 << 20
+PASS_CHARS = 4 << 20
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -40,34 +43,62 @@ def normal_words(text: str | None) -> list[str]:
     return out
 
 
+class Numbers(dict):
+    """Word number of each raw lower-case word: that of its normal form, -1 if no item has it, -3 if nothing is left."""
+
+    MOST = 1 << 20  #: words that are remembered; then it starts afresh
+
+    def __init__(self, known: dict[str, int]):
+        self.known = known
+
+    def __missing__(self, raw: str) -> int:
+        words = normal_words(raw)
+        if len(self) >= self.MOST:
+            self.clear()
+        self[raw] = out = self.known.get(words[0], -1) if words else -3
+        return out
+
+    def __reduce__(self):
+        return Numbers, (self.known,)
+
+    def of(self, text: str | None):
+        import numpy as np
+
+        words = (text or "").lower().split()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return ids[ids != -3]
+
+
 def allowed(n: int) -> int:
     """Edits allowed for an item of n words; short items must keep GRAM words in a row."""
     return min(int(EDITS * n), max(0, n // GRAM - 1))
 
 
-def walk(ids, n: int, seed: int):
-    """CGK walks: (rows, 3n) words written, -1 past the end, for (rows, n) word numbers.
+def walk(ids, n: int, seeds):
+    """CGK walks: (rows, 2n) words written, -1 past the end, for (rows, n) word numbers and a seed for each row.
 
     At step j the word under the pointer is written, and the pointer moves on if the bit that step j
-    gives to this word is set.
+    gives to this word is set. A whole walk takes 3n steps; only 2n of them are sampled.
     """
     import numpy as np
 
-    rows = len(ids)
-    at = np.zeros(rows, np.int64)
-    out = np.full((rows, 3 * n), -1, np.int64)
-    for j in range(3 * n):
+    row = np.arange(len(ids))
+    at = np.zeros(len(ids), np.int64)
+    salt = seeds.astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63)
+    steps = max(PLACES, 2 * n)
+    out = np.full((len(ids), steps), -1, np.int64)
+    for j in range(steps):
         live = at < n
-        word = ids[np.arange(rows), np.minimum(at, n - 1)]
+        word = ids[row, np.minimum(at, n - 1)]
         out[:, j] = np.where(live, word, -1)
-        with np.errstate(over="ignore"):
-            mixed = (word.astype(np.uint64) + np.uint64(j * 0x9E3779B1 + seed * 0x85EBCA77)) * np.uint64(0xFF51AFD7ED558CCD)
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+        mixed = (word.astype(np.uint64) + salt + np.uint64(j * 0x9E3779B1)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC4CEB9FE1A85EC53)
         at += live & ((mixed >> np.uint64(63)) == 1)
     return out
 
 
+@functools.cache
 def places(n: int, seed: int):
     """PLACES steps of a walk over n words; early enough that most walks have not ended."""
     import numpy as np
@@ -75,6 +106,15 @@ def places(n: int, seed: int):
     return np.sort(np.random.default_rng(1000 + seed).choice(max(PLACES, 2 * n), PLACES, replace=False))
 
 
+def sampled(ids, n: int):
+    """(rows, REPEATS, PLACES) words that the walks of each repetition write at its places."""
+    import numpy as np
+
+    seeds = np.tile(np.arange(REPEATS), len(ids))
+    written = walk(np.repeat(ids, REPEATS, axis=0), n, seeds).reshape(len(ids), REPEATS, -1)
+    return np.stack([written[:, r, places(n, r)] for r in range(REPEATS)], axis=1)
+
+
 def distance_within(item: list, window: list, most: int) -> int:
     """Fewest word edits between the item and any stretch of the window; ``most + 1`` if more than ``most``."""
     import numpy as np
@@ -102,43 +142,57 @@ class Items:
             w = normal_words(text)
             if w:
                 self.items.append((key, [self.words.setdefault(x, len(self.words)) for x in w]))
-        self.grams: dict[tuple, list[tuple[int, int]]] = {}
+        self.numbers = Numbers(self.words)
+        self.base = np.int64(len(self.words) + 1)
+        by_gram: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         for k, (_, ids) in enumerate(self.items):
             g = min(GRAM, len(ids))
             for o in range(len(ids) - g + 1):
-                self.grams.setdefault(tuple(ids[o : o + g]), []).append((k, o))
-        self.short = sorted({len(ids) for _, ids in self.items if len(ids) < GRAM})
-        self.keys: dict[int, list] = {}
+                by_gram.setdefault(g, {}).setdefault(tuple(ids[o : o + g]), []).append((k, o))
+        #: by length: sums that may wrap, sorted, and the runs of words themselves
+        self.grams = {g: (np.unique([functools.reduce(self._add, x, np.int64(0)) for x in runs]), runs) for g, runs in by_gram.items()}
         by_size: dict[int, list[int]] = {}
         for k, (_, ids) in enumerate(self.items):
             by_size.setdefault(len(ids), []).append(k)
         self.samples = {}
         for n, ks in by_size.items():
             ids = np.array([self.items[k][1] for k in ks])
-            for r in range(REPEATS):
-                got = walk(ids, n, r)[:, places(n, r)]
-                for k, sample in zip(ks, got, strict=True):
-                    self.samples[k, r] = sample
+            got = sampled(ids, n)
+            for k, sample in zip(ks, got, strict=True):
+                self.samples[k] = sample
 
-    def search(self, ids: list[int]) -> list[tuple[int, int, int]]:
+    def _add(self, total, number: int):
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return total * self.base + np.int64(number)
+
+    def search(self, ids) -> list[tuple[int, int, int]]:
         """(item key, first word, distance) of items that the document's word numbers hold.
 
-        Word numbers are those of the benchmark, or -1 for any other word.
+        Word numbers, an array, are those of ``numbers``: -1 for a word that no item has.
         """
         import numpy as np
 
         starts: dict[int, set[int]] = {}
-        grams = self.grams
         n_words = len(ids)
-        known = np.asarray(ids) >= 0
-        runs = np.flatnonzero(np.convolve(known, np.ones(GRAM, int), "valid") == GRAM) if n_words >= GRAM else []
-        spots = [(p, tuple(ids[p : p + GRAM])) for p in (runs.tolist() if len(runs) else [])]
-        for g in self.short:
-            spots += [(p, tuple(ids[p : p + g])) for p in range(n_words - g + 1) if ids[p] >= 0]
-        for p, gram in spots:
-            for k, o in grams.get(gram, ()):
-                most = allowed(len(self.items[k][1]))
-                starts.setdefault(k, set()).update(range(max(0, p - o - most), p - o + most + 1))
+        for size, (sums, grams) in self.grams.items():
+            if n_words < size:
+                continue
+            spots = np.flatnonzero(ids >= 0)
+            spots = spots[spots <= n_words - size]
+            for o in range(1, size):
+                spots = spots[ids[spots + o] >= 0]
+            if not len(spots):
+                continue
+            total = np.zeros(len(spots), np.int64)
+            for o in range(size):
+                total = total * self.base + ids[spots + o]
+            at = np.minimum(np.searchsorted(sums, total), len(sums) - 1)
+            for p in spots[sums[at] == total].tolist():
+                for k, o in grams.get(tuple(ids[p : p + size].tolist()), ()):
+                    most = allowed(len(self.items[k][1]))
+                    starts.setdefault(k, set()).update(range(max(0, p - o - most), p - o + most + 1))
         found = []
         padded = None
         for k, begin in starts.items():
@@ -146,17 +200,19 @@ class Items:
             n, most = len(item), allowed(len(item))
             if padded is None:
                 width = max(len(i) for _, i in self.items)
-                padded = np.concatenate([np.asarray(ids, np.int64), np.full(2 * width, -2, np.int64)])
+                padded = np.concatenate([ids, np.full(2 * width, -2, np.int64)])
             at = np.array(sorted(b for b in begin if b < n_words), np.int64)
-            hit = np.zeros(len(at), bool)
+            if not len(at):
+                continue
             window = padded[at[:, None] + np.arange(n)]
-            for r in range(REPEATS):
-                hit |= (walk(window, n, r)[:, places(n, r)] == self.samples[k, r]).all(axis=1)
-                if hit.all():
-                    break
+            same = (window == np.asarray(item)).all(axis=1)
+            if same.any():  # equal words take equal walks
+                found.append((key, int(at[same.argmax()]), 0))
+                continue
+            hit = (sampled(window, n) == self.samples[k]).all(axis=2).any(axis=1)
             best, where = most + 1, -1
             for b in at[hit].tolist():
-                d = distance_within(item, ids[max(0, b - most) : b + n + most], most)
+                d = distance_within(item, ids[max(0, b - most) : b + n + most].tolist(), most)
                 if d < best:
                     best, where = d, b
                 if best == 0:
@@ -175,6 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     PASS_CHARS characters are held in the tasks in turn, against all documents.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = benchmark.select(item_col, "text").filter(F.col("text").isNotNull())
     blocks, held, size = [], [], 0
     for r in rows.toLocalIterator():
@@ -188,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     out = None
     for block in blocks:
         part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-            _scan(spark.sparkContext.broadcast(block)), f"id {kinds[0]}, item {kinds[1]}, at long, edits int"
+            _scan(spark.sparkContext.broadcast(Items(block))), f"id {kinds[0]}, item {kinds[1]}, at long, edits int"
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -198,12 +255,11 @@ def _scan(block):
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        items = Items(block.value)
-        number = items.words.get
+        items = block.value
         for b in batches:
             ids, keys, ats, edits = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for key, at, d in items.search([number(w, -1) for w in normal_words(t)]):
+            for i, t in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
+                for key, at, d in items.search(items.numbers.of(t)):
                     ids.append(i), keys.append(key), ats.append(at), edits.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64() if not keys or isinstance(keys[0], int) else None), pa.array(ats, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item", "at", "edits"])
 
@@ -213,6 +269,7 @@ def _scan(block):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns stay. Decided row by row, without a shuffle."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = benchmark.select(F.lit(0), "text").filter(F.col("text").isNotNull())
     left = docs
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -220,15 +277,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     held, size = [], 0
 
     def without(df: DataFrame, block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Items(block))
 
         def scan(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            items = Items(shared.value)
-            number = items.words.get
+            items = shared.value
             for b in batches:
-                clean = [not items.search([number(w, -1) for w in normal_words(t)]) for t in b.column(at).to_pylist()]
+                clean = [not items.search(items.numbers.of(t)) for t in each(b.column(at))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         plain = df.toDF(*names)
