@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import each, text_batches
+
 CHUNK, OVERLAP = 512, 64
 DEPTH, SPAN, STEP, FILTERS = 4, 8, 2, 24
 #: Chunks that pass the filters together; memory of a task does not depend on the text's length.
@@ -173,6 +175,7 @@ def score(docs: DataFrame, net: dict, *, text_col: str = "text", name: str = "sc
 
     All rows and columns of ``docs`` are kept; a column called ``name`` is replaced.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop(name)
     at = docs.columns.index(text_col)
     kept = [f"c{i}" for i in range(len(docs.columns))]
@@ -192,7 +195,7 @@ def score(docs: DataFrame, net: dict, *, text_col: str = "text", name: str = "sc
                     out[begin:stop] = probabilities(net, pooled(net, np.concatenate(held)), np.array(first))
                 held, first, begin, count = [], [], stop, 0
 
-            for i, t in enumerate(b.column(at).to_pylist()):
+            for i, t in enumerate(each(b.column(at))):
                 x = chunks(t)
                 if len(x) > 4096:  # a very long text by itself, a strip at a time
                     flush(i)

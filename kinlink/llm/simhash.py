@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import connected_components
+from .words import each, text_batches
 
 SEED = 42
 WIDTH = 64
 #: Fingerprints that are compared as one square table; more are compared in strips of as many.
-SQUARE = 1024
+SQUARE = 128
 
 
 def shingle_spans(words: list[bytes], n: int) -> tuple[bytes, list[int], list[int]]:
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         for b in batches:
-            found = np.fromiter((fingerprint(t, n) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            found = np.fromiter((fingerprint(t, n) for t in each(b.column(1))), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -179,6 +180,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one node, so no pairs of copies arise. A null id takes part, but never names a component unless
     all ids of the component are null. An empty table gives no rows. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     base = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, n=n), "fingerprints")
     nodes = base.groupBy("fp").agg(F.min(id_col).alias("low"))
     found = connected_components(links(nodes, radius))
@@ -228,6 +230,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     is about 0.04. Equal fingerprints are one node. Texts without words are alike. Null ids take part
     as in ``near_duplicates``; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     names = [f"f{k}" for k in range(WIDE)]
     radius = radius_of(similarity, WIDE * WIDTH)
@@ -237,7 +240,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
 
         for b in batches:
-            found = np.array([wide_fingerprint(t, n) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, WIDE)
+            found = np.array([wide_fingerprint(t, n) for t in each(b.column(1))], np.uint64).reshape(-1, WIDE)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE))], names=[id_col, *names])
 
     fields = ", ".join(f"{x} long" for x in names)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from .words import each, text_batches
 
 WINDOW = 13
 #: Bytes of text for each bucket of fingerprints and each group of documents, and in a block of a task.
@@ -197,7 +198,7 @@ def _map_windows(width: int, buckets: int, groups: int):
 
         ids, texts, held = [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in zip(each(b.column(0)), each(b.column(1)), strict=True):
                 if not t:
                     continue
                 ids.append(i), texts.append(t.encode("utf-8", "surrogatepass"))
@@ -444,6 +445,7 @@ def dedup_substrings(
     An empty table gives no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.percentile_approx(key, [i / batches for i in range(1, batches)] or [0.5], 10_000)).first()
