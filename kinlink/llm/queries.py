@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_leaks
+from .fingerprints import fingerprint_report
 from .html_text import extract
+from .licenses import scan
+from .licenses import sql as licenses_sql
 from .mixing import mix
 from .quality import held_out, score, train
 from .simhash import as_hex, near_duplicates
@@ -106,3 +109,18 @@ FROM u JOIN h5 ON h5.host = u.host LEFT JOIN best ON best.host = u.host AND best
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence whose whole text a document is."""
+    return scan(_read(spark, sf_dir, "documents"))
+
+
+SQL["op7_license_scans"] = licenses_sql()
+
+
+@_query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts, and near documents of every 50th id."""
+    return fingerprint_report(_read(spark, sf_dir, "documents"))
