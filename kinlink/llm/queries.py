@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .decontamination import find_leaks
 from .fingerprints import fingerprint_report
 from .html_text import extract
+from .language_id import identify
+from .language_id import train as train_languages
 from .licenses import scan
 from .licenses import sql as licenses_sql
 from .mixing import mix
@@ -124,3 +126,9 @@ SQL["op7_license_scans"] = licenses_sql()
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of texts and edited texts, and near documents of every 50th id."""
     return fingerprint_report(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; text models learned from the documents' languages."""
+    return identify(_read(spark, sf_dir, "pages"), train_languages(_read(spark, sf_dir, "documents")))
