@@ -53,9 +53,11 @@ def fit_models(rows: list[tuple[str, str]]) -> tuple[list[str], object]:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], object]:
     """Models from at most ``rows`` documents that have a language, chosen by a hash of the id (the only bounded part)."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = known.select(F.xxhash64(F.lit(5), id_col, F.col(lang_col)).alias("h"), F.col(lang_col).alias("l"), F.substring(text_col, 1, TRAIN_BYTES).alias("t"))
-    return fit_models(sorted((r["l"], r["t"]) for r in picked.orderBy("h", "l").limit(rows).collect()))
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    picked = [r[0] for r in known.select(id_col).distinct().orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(rows).collect()]
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in picked], "i long")
+    sample = known.join(F.broadcast(ids), known[id_col].cast("long") == ids["i"]).select(F.col(lang_col).alias("l"), F.substring(text_col, 1, TRAIN_BYTES).alias("t"))
+    return fit_models(sorted((r["l"], r["t"]) for r in sample.collect()))
 
 
 def _softmax(logs: Column) -> Column:
