@@ -54,12 +54,13 @@ def with_fingerprints(texts: DataFrame, keep: list[str], text_cols: list[str]) -
     parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate(text_cols)))).alias("p")
     words = rows.select("_row", *keep, parts).select("_row", *keep, F.col("p.i").alias("_i"), F.explode(F.split("p.t", SPACES)).alias("w"))
     words = words.withColumn("m", weight_of(F.col("w")))
-    summed = words.groupBy("_row", "_i").agg(*(F.first(c).alias(c) for c in keep), F.sum("m").alias("all"), *votes(F.col("w"), F.col("m")))
+    # what is kept is a key, not first(): with a string among its buffers the aggregate would sort all words
+    summed = words.groupBy("_row", "_i", *keep).agg(F.sum("m").alias("all"), *votes(F.col("w"), F.col("m")))
     prints = summed.select("_row", "_i", *keep, majority(F.col("all")).alias("fp"))
     if len(text_cols) == 1:
         return prints.select(*keep, F.col("fp").alias(f"{text_cols[0]}_fp"))
-    out = prints.groupBy("_row").agg(
-        *(F.first(c).alias(c) for c in keep), *(F.max(F.when(F.col("_i") == i, F.col("fp"))).alias(f"{c}_fp") for i, c in enumerate(text_cols))
+    out = prints.groupBy("_row", *keep).agg(
+        *(F.max(F.when(F.col("_i") == i, F.col("fp"))).alias(f"{c}_fp") for i, c in enumerate(text_cols))
     )
     return out.drop("_row")
 
@@ -76,18 +77,20 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     low, high, n = span[0] or 0, span[1] or 0, max(1, span[2])
     width = max(1, (high - low + 1) * SLOT_ROWS // n)
     after = (high - low) // width + 1
-    slot = F.coalesce(F.floor((F.col("id") - low) / width), F.lit(after) + F.pmod(F.xxhash64("text"), F.lit(max(1, n // SLOT_ROWS)))).cast("long")
+    unnumbered = F.lit(after) + F.pmod(F.xxhash64("text"), F.lit(max(1, n // SLOT_ROWS)))
+    # never null, so that no filter comes between the scan and the one shuffle that all branches share
+    slot = F.coalesce(F.expr(f"(id - {low}L) div {width}L"), unnumbered, F.lit(after)).cast("long")
     order = [F.col("id").asc_nulls_last(), F.col("text")]
     by_slot = Window.partitionBy("slot").orderBy(*order)
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = base.withColumn("slot", slot).repartition(4 * count, "slot")
-    rows = rows.withColumn("next", F.lead("text").over(by_slot)).withColumn("nr", F.row_number().over(by_slot))
+    rows = rows.withColumn("next", F.lead("text").over(by_slot)).withColumn("first", F.lag(F.lit(1)).over(by_slot).isNull())
     slots = base.select(slot.alias("slot")).distinct()
     follows = slots.select(
         F.col("slot").alias("slot"),
         F.coalesce(F.lead("slot").over(Window.orderBy("slot")), F.min("slot").over(Window.partitionBy(F.lit(0)))).alias("then"),
     )
-    first = rows.filter(F.col("nr") == 1).select(F.col("slot").alias("then"), F.col("text").alias("then_text"))
+    first = rows.filter("first").select(F.col("slot").alias("then"), F.col("text").alias("then_text"))
     last = rows.filter(F.col("next").isNull()).select("id", "text", "slot")
     last = last.join(follows, "slot").join(first, "then").select("id", "text", F.col("then_text").alias("next"))
     return rows.filter(F.col("next").isNotNull()).select("id", "text", "next").unionByName(last)
