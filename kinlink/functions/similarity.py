@@ -54,7 +54,7 @@ def acronym_match(acr: Column, glued: Column) -> Column:
 def is_abbreviation(short: Column, long: Column) -> Column:
     """Same first letter, and the short word's letters occur in order in the long one."""
     pattern = F.concat(F.lit("^"), F.regexp_replace(short, "(.)", "$1.*"))
-    return (F.char_length(short) > 0) & short.rlike("^[a-z0-9]+$") & long.rlike(pattern)
+    return (F.char_length(short) > 0) & short.rlike("^[a-z0-9]+$") & F.rlike(long, pattern)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -143,7 +143,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [c for c, u in zip(b, used, strict=True) if u]
-    m, t = len(left), sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    m, t = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
     j = (m / len(a) + m / len(b) + (m - t) / m) / 3
     same = 0
     while same < min(4, len(a), len(b)) and a[same] == b[same]:

@@ -38,11 +38,11 @@ def _r(*cols: str):
 _ASSIGNED = "assigned AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY src, rec ORDER BY p DESC, s1) AS k FROM pairs) WHERE k = 1)"
 _TOKENS = """fam AS (
   SELECT DISTINCT id, country, src, tok FROM (
-    SELECT id, country, src, unnest(list_transform(addr_toks, x -> 'a|' || x)) AS tok FROM rec
+    SELECT id, country, src, unnest(list_transform(addr_toks, lambda x: 'a|' || x)) AS tok FROM rec
     UNION ALL SELECT id, country, src, 'b|' || addr_toks[i] || ' ' || addr_toks[i + 1] FROM (SELECT id, country, src, addr_toks, unnest(generate_series(1, len(addr_toks) - 1)) AS i FROM rec WHERE len(addr_toks) > 1)
     UNION ALL SELECT id, country, src, 'n|' || t FROM (SELECT id, country, src, unnest(name_toks) AS t FROM rec) WHERE length(t) >= 2
     UNION ALL SELECT id, country, src, 'g|' || array_to_string(name_toks, '') FROM rec WHERE array_to_string(name_toks, '') <> ''
-    UNION ALL SELECT id, country, src, 'i|' || array_to_string(list_transform(name_toks, x -> x[1]), '') FROM rec WHERE len(name_toks) >= 2
+    UNION ALL SELECT id, country, src, 'i|' || array_to_string(list_transform(name_toks, lambda x: x[1]), '') FROM rec WHERE len(name_toks) >= 2
     UNION ALL SELECT id, country, src, 'i|' || array_to_string(name_toks, '') FROM rec WHERE length(array_to_string(name_toks, '')) BETWEEN 2 AND 6)),
 cn AS (SELECT country, count(DISTINCT id) AS n FROM fam WHERE src = 1 GROUP BY country)"""
 _OVERLAP = """ov AS (
@@ -87,7 +87,7 @@ def _vectors(spark, d):
     return model.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), blocking.unit(F.col("embedding")).alias("vec"))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, label AS block, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+@query("""WITH v AS (SELECT vec_id AS id, label AS block, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 u AS (SELECT id, block, e, sqrt(list_inner_product(e, e)) AS n FROM v)
 SELECT rec, s1, sim, CAST(k - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY sim DESC, s1) AS k FROM (
   SELECT a.id AS rec, b.id AS s1, round(list_inner_product(a.e, b.e) / (a.n * b.n), 5) AS sim FROM u a JOIN u b ON a.block = b.block AND a.id % 3 <> 0 AND b.id % 3 = 0)) WHERE k <= 10""")
@@ -246,8 +246,7 @@ def macro_f05(spark, d):
 
 @query(f"""WITH {_ASSIGNED}, g AS (SELECT round(0.5 + 0.025 * i, 3) AS threshold FROM generate_series(0, 18) t(i)), nt AS (SELECT s1, count(*) AS nt FROM pairs WHERE y = 1 GROUP BY s1),
 c AS (SELECT threshold, s1, count(*) AS np, sum(y) AS tp FROM assigned JOIN g ON p >= threshold GROUP BY ALL),
-f AS (SELECT threshold, s_suppkey, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM g, supplier LEFT JOIN c USING (threshold) LEFT JOIN nt ON nt.s1 = s_suppkey WHERE c.s1 = s_suppkey
-  UNION ALL SELECT threshold, s_suppkey, 0, 0, coalesce(nt, 0) FROM g, supplier LEFT JOIN nt ON nt.s1 = s_suppkey WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.threshold = g.threshold AND c.s1 = s_suppkey))
+f AS (SELECT g.threshold, s_suppkey, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM g CROSS JOIN supplier LEFT JOIN c ON c.threshold = g.threshold AND c.s1 = s_suppkey LEFT JOIN nt ON nt.s1 = s_suppkey)
 SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg({_F}), 6) AS macro_f05 FROM f GROUP BY threshold""", pairs=True)
 def tune_threshold(spark, d):
     pairs = model.scored_pairs(spark, d)
@@ -284,11 +283,11 @@ def score_merge(spark, d):
     return both.select(*k, F.round((F.coalesce("p", F.lit(0.0)) + F.coalesce("q", F.lit(0.0))) / 2, ROUND).alias("p"), F.col("p").isNotNull().cast("int").alias("has_ours"), F.col("q").isNotNull().cast("int").alias("has_his"))
 
 
-@query("SELECT s1, src, rec, round(p, 6) AS p FROM pairs WHERE NOT EXISTS (SELECT 1 FROM pairs b WHERE b.s1 = pairs.s1 AND b.p > 0.95 AND b.src = 2) AND EXISTS (SELECT 1 FROM pairs c WHERE c.rec = pairs.rec AND c.src = pairs.src AND c.q > 0.5)", pairs=True)
+@query("SELECT s1, src, rec, round(p, 6) AS p FROM pairs WHERE NOT EXISTS (SELECT 1 FROM pairs b WHERE b.s1 = pairs.s1 AND b.p > 0.999 AND b.src = 2) AND EXISTS (SELECT 1 FROM pairs c WHERE c.rec = pairs.rec AND c.src = pairs.src AND c.q > 0.5)", pairs=True)
 def uncovered_entities(spark, d):
     """Anti join on covered entities, semi join on records the other system believes in."""
     pairs = model.scored_pairs(spark, d)
-    covered = pairs.filter((F.col("p") > 0.95) & (F.col("src") == 2)).select("s1")
+    covered = pairs.filter((F.col("p") > 0.999) & (F.col("src") == 2)).select("s1")
     believed = pairs.filter(F.col("q") > 0.5).select("src", "rec")
     return pairs.join(covered, "s1", "left_anti").join(believed, ["src", "rec"], "left_semi").select("s1", "src", "rec", *_r("p"))
 
