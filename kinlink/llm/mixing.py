@@ -39,7 +39,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float, total:
                 out[i] = unit * weights[i]
             break
         for i in over:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
             left -= out[i]
         live = [i for i in live if i not in over]
     return out

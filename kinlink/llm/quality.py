@@ -18,6 +18,8 @@ CHUNK, OVERLAP = 512, 64
 DEPTH, SPAN, STEP, FILTERS = 4, 8, 2, 24
 #: Chunks that pass the filters together; memory of a task does not depend on the text's length.
 TOGETHER = 64
+#: Steps of the fit at least, however few rows there are.
+LEAST_STEPS = 500
 #: Labelled rows that the network is fitted on at most, and chunks of one of them, evenly spread.
 TRAIN_ROWS, TRAIN_CHUNKS = 1500, 64
 
@@ -100,6 +102,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 14, seed: int = 7,
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
     step = 0
     batch = 16
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(y)))
     total = epochs * -(-len(y) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(y))
