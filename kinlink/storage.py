@@ -52,12 +52,20 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
+def shuffles(spark: SparkSession) -> int:
+    """Shuffles whose files are still kept."""
+    return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+
+def release(spark: SparkSession, down_to: int = 0, rounds: int = 10) -> None:
     """Lets Spark delete the shuffle files of plans that are no longer referenced.
 
-    Python's proxies are detached in the background, so one round is not enough.
+    Python's proxies are detached in the background, so it takes more than one round; ends when no more
+    than ``down_to`` shuffles are left, or after the last round.
     """
-    for _ in range(3):
+    for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
+        if shuffles(spark) <= down_to:
+            break
