@@ -435,6 +435,7 @@ def dedup_substrings(
 ) -> DataFrame:
     """Removes each word covered by a window of ``width`` words that also starts in a document of smaller id.
 
+    ``batches`` of ascending id, the later ones larger, pass through the index.
     Windows are judged on the input. Without ``report``: the rows of ``docs`` with the words taken out
     of the text (with the white space before them), less those that lose all words. With ``report``:
     ``id_col``, n_words, n_removed, kept_sha256 (kept words joined by one space) for every row.
@@ -446,9 +447,10 @@ def dedup_substrings(
     """
     spark = docs.sparkSession
     text_batches(spark)
+    before = storage.shuffles(spark)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.percentile_approx(key, [i / batches for i in range(1, batches)] or [0.5], 10_000)).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.percentile_approx(key, [(i / batches) ** 1.7 for i in range(1, batches)] or [0.5], 10_000)).first()
     groups = max(8, -(-size[0] // BUCKET_BYTES))
     own = index is None
     if own:
@@ -464,7 +466,7 @@ def dedup_substrings(
             part = part.filter(F.col("id") <= edges[k])
         found = match_batch(part, index, groups=groups, width=width, keep=not own or k < len(edges))
         hits = found if hits is None else hits.unionByName(found)
-        storage.release(spark)
+        storage.release(spark, before)
     if own:
         index.drop()
     names = [f"c{i}" for i in range(len(docs.columns))]
