@@ -52,6 +52,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_read(spark, sf_dir, "documents"), report=True)
 
 
+SQL["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+g AS (SELECT doc_id, i, CASE WHEN count(*) OVER n = 13 THEN string_agg(word, ' ') OVER n END AS gram
+      FROM w WINDOW n AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT gram, min(doc_id) AS low FROM g WHERE gram IS NOT NULL GROUP BY gram),
+h AS (SELECT doc_id, i, coalesce(low < doc_id, false) AS hit FROM g LEFT JOIN f USING (gram)),
+c AS (SELECT doc_id, i, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM h),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM w JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+
 @_query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned outside the fold whose crc32(doc_id) leaves 1 when divided by 3; scores every whole text."""

@@ -365,3 +365,16 @@ def test_next_with_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "z"), (5, None)], "doc_id long, text string")
     got = sorted((r["id"] is None, r["id"] or 0, r["text"], r["next"]) for r in fingerprints.with_next(df, "doc_id", "text").collect())
     assert got == [(False, 1, "a", "b"), (False, 1, "b", ""), (False, 5, "", "z"), (True, 0, "z", "a")]
+
+
+def test_sql_of_substring_dedup(spark, tmp_path):
+    import duckdb
+
+    from kinlink.llm.queries import SQL, op3_substring_dedup
+
+    frame(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    ours = sorted(tuple(r) for r in op3_substring_dedup(spark, str(tmp_path)).select(*names).collect())
+    assert ours == sorted(con.sql(SQL["op3_substring_dedup"]).select(*names).fetchall())
