@@ -32,7 +32,7 @@ def group_threshold(group: Column, table: dict[int, float]) -> Column:
     return out
 
 
-def expected_f(assigned: DataFrame, floor: float = 0.3, extra: float = 0.1, col: str = "p") -> DataFrame:
+def expected_f(assigned: DataFrame, floor: float | Column = 0.3, extra: float | Column = 0.1, col: str = "p") -> DataFrame:
     """The prefix of each entity's matches, by falling score, that has the largest expected F0.5; nothing if none is likelier."""
     rows = assigned.filter(F.col(col) >= floor / 2)
     s = Window.partitionBy("s1")
@@ -64,22 +64,111 @@ def macro_f(entities: DataFrame, predicted: DataFrame, truth: DataFrame) -> Data
     return counts(entities, predicted, truth).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(f_half(F.col("tp"), F.col("npred"), F.col("ntrue"))), 6).alias("macro_f05"))
 
 
-def tune(entities: DataFrame, assigned: DataFrame, truth: DataFrame, grid: Sequence[float] = THRESHOLDS, col: str = "p") -> DataFrame:
-    """(threshold, macro_f05) over a grid from one pass: rows are counted per entity and grid point, empty entities added in bulk."""
-    spark = entities.sparkSession
-    g = F.array(*(F.lit(t) for t in grid))
+def macro_f_by(entities: DataFrame, predicted: DataFrame, truth: DataFrame, by: str) -> DataFrame:
+    """(by, n, macro_f05): the same for each country, fold or other mask; ``entities`` has s1 and this column."""
+    scored = counts(entities, predicted, truth).join(entities.select("s1", by).distinct(), "s1")
+    return scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(f_half(F.col("tp"), F.col("npred"), F.col("ntrue"))), 6).alias("macro_f05"))
+
+
+def grid_f(entities: DataFrame, rows: DataFrame, truth: DataFrame, grid: Sequence[float]) -> DataFrame:
+    """(threshold, macro_f05) where ``rows`` has s1, src, rec and the grid points ``at`` at which each row is a match.
+
+    One pass: rows are counted per entity and grid point, entities without a match are added in bulk.
+    """
     true = truth.groupBy("s1").agg(F.count(F.lit(1)).alias("ntrue"))
-    hits = assigned.join(truth.select("s1", "src", "rec", F.lit(1).alias("_y")), ["s1", "src", "rec"], "left")
-    rows = hits.select("s1", F.col("_y"), F.explode(F.filter(g, lambda t: t <= F.col(col))).alias("threshold"))
-    n = rows.groupBy("s1", "threshold").agg(F.count("_y").alias("tp"), F.count(F.lit(1)).alias("npred"))
+    hits = rows.join(truth.select("s1", "src", "rec", F.lit(1).alias("_y")), ["s1", "src", "rec"], "left")
+    n = hits.select("s1", "_y", F.explode("at").alias("threshold")).groupBy("s1", "threshold").agg(F.count("_y").alias("tp"), F.count(F.lit(1)).alias("npred"))
     base = entities.select("s1").distinct().join(true, "s1", "left").na.fill(0)
     scored = n.join(base, "s1").groupBy("threshold").agg(F.sum(f_half(F.col("tp"), F.col("npred"), F.col("ntrue"))).alias("f"), F.count_if(F.col("ntrue") == 0).alias("covered"))
     total = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ntrue") == 0).alias("empty"))  # one row
-    points = spark.createDataFrame([(t,) for t in grid], "threshold double").crossJoin(F.broadcast(total))
+    points = entities.sparkSession.createDataFrame([(t,) for t in grid], "threshold double").crossJoin(F.broadcast(total))
     out = points.join(scored, "threshold", "left").na.fill(0)
     return out.select("threshold", F.round((F.col("f") + F.col("empty") - F.col("covered")) / F.col("n"), 6).alias("macro_f05"))
 
 
+def _reached(grid: Sequence[float], col: str) -> Column:
+    return F.filter(F.array(*(F.lit(t) for t in grid)), lambda t: t <= F.col(col))
+
+
+def tune(entities: DataFrame, assigned: DataFrame, truth: DataFrame, grid: Sequence[float] = THRESHOLDS, col: str = "p") -> DataFrame:
+    """(threshold, macro_f05) of one threshold for all rows."""
+    return grid_f(entities, assigned.select("s1", "src", "rec", _reached(grid, col).alias("at")), truth, grid)
+
+
+def best_threshold(curve: DataFrame) -> tuple[float, float]:
+    """(macro_f05, threshold) of the best grid point; the higher threshold if several are."""
+    return max((r["macro_f05"], r["threshold"]) for r in curve.collect())  # one row per grid point
+
+
+def tune_groups(entities: DataFrame, assigned: DataFrame, truth: DataFrame, group: str, groups: Sequence[int], grid: Sequence[float] = THRESHOLDS, col: str = "p", passes: int = 2) -> tuple[dict[int, float], float]:
+    """(threshold of each group, macro F0.5) by coordinate ascent from the best common threshold.
+
+    A step tries all thresholds of one group in one pass over the rows and moves on gains above 1e-6.
+    """
+    best, start = best_threshold(tune(entities, assigned, truth, grid, col))
+    table = dict.fromkeys(groups, start)
+    for g in list(groups) * passes:
+        fixed = F.when(F.col(col) >= group_threshold(F.col(group), table), F.array(*(F.lit(t) for t in grid))).otherwise(F.array().cast("array<double>"))
+        rows = assigned.select("s1", "src", "rec", F.when(F.col(group) == g, _reached(grid, col)).otherwise(fixed).alias("at"))
+        for r in sorted(grid_f(entities, rows, truth, grid).collect()):  # one row per grid point
+            if r["macro_f05"] > best + 1e-6:
+                best, table = r["macro_f05"], {**table, g: r["threshold"]}
+    return table, best
+
+
+#: Grids of the expected-F rule (fixed values).
+FLOORS, EXTRAS = (0.2, 0.3, 0.4, 0.5), (0.0, 0.1, 0.25)
+
+
+def tune_expected_f(entities: DataFrame, assigned: DataFrame, truth: DataFrame, floors: Sequence[float] = FLOORS, extras: Sequence[float] = EXTRAS) -> DataFrame:
+    """(floor, extra, macro_f05) of the expected-F rule at each grid point; points are rows' groups, so one plan does all."""
+    points = F.explode(F.array(*(F.struct(F.lit(a).alias("floor"), F.lit(b).alias("extra")) for a in floors for b in extras))).alias("g")
+    cross = lambda df: df.select("*", points).withColumn("s1", F.struct(F.col("g.floor").alias("floor"), F.col("g.extra").alias("extra"), F.col("s1").alias("s1")))
+    kept = expected_f(cross(assigned), F.col("g.floor"), F.col("g.extra"))
+    n = counts(cross(entities.select("s1")), kept, cross(truth))
+    f = F.round(F.avg(f_half(F.col("tp"), F.col("npred"), F.col("ntrue"))), 6).alias("macro_f05")
+    return n.groupBy(F.col("s1.floor").alias("floor"), F.col("s1.extra").alias("extra")).agg(f)
+
+
+def shift_unseen(pairs: DataFrame, unseen: Column, delta: float, col: str = "p") -> DataFrame:
+    """Scores of unseen groups lowered by ``delta``, which raises their thresholds by as much."""
+    return pairs.withColumn(col, F.when(unseen, F.col(col) - delta).otherwise(F.col(col)))
+
+
+def curve_by_country(entities: DataFrame, assigned: DataFrame, table: dict[int, float], group: Column, deltas: Sequence[float], col: str = "p") -> DataFrame:
+    """(country, delta, mean_matches) over all entities of a country; ``entities``: s1, country."""
+    threshold, p = group_threshold(group, table), F.col(col)
+    hit = [F.count_if(p >= F.least(threshold + float(d), F.lit(HIGHEST))).alias(f"_{i}") for i, d in enumerate(deltas)]
+    found = entities.select("s1", "country").distinct()
+    n = found.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    kept = assigned.drop("country").join(found, "s1").groupBy("country").agg(*hit)
+    points = F.array(*(F.struct(F.lit(float(d)).alias("delta"), F.coalesce(f"_{i}", F.lit(0)).alias("c")) for i, d in enumerate(deltas)))
+    out = n.join(kept, "country", "left").select("country", "n", F.explode(points).alias("e"))
+    return out.select("country", "e.delta", F.round(F.col("e.c") / F.col("n"), 6).alias("mean_matches"))
+
+
+def choose_delta(curve: DataFrame, target: float, slack: float = 0.02, drop: float = 0.1) -> DataFrame:
+    """One row, ``delta``: the largest of the countries' choices.
+
+    A country's curve is read from its smallest delta up to the first mean at or below the target, and
+    stops before a fall of more than ``drop``; of its points not below target - slack the nearest counts.
+    """
+    w = Window.partitionBy("country").orderBy("delta")
+    fell = F.coalesce((F.lag("mean_matches").over(w) - F.col("mean_matches")) > drop, F.lit(False)).cast("int")
+    met = (F.col("mean_matches") <= target).cast("int")
+    read = curve.withColumn("_fell", fell).withColumn("_met", met)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    read = read.withColumn("_stop", F.sum("_fell").over(upto) + F.sum("_met").over(upto) - F.col("_met")).filter(F.col("_stop") == 0)
+    near = read.filter(F.col("mean_matches") >= target - slack).groupBy("country").agg(F.min(F.struct(F.round(F.abs(F.col("mean_matches") - target), 6), F.col("delta").alias("delta"))).alias("b"))
+    return near.agg(F.max("b.delta").alias("delta"))
+
+
+def nearest_delta(curve: DataFrame, target: float) -> DataFrame:
+    """One row, (delta, mean_matches): the point nearest to the target; the smaller delta if two are."""
+    best = F.min(F.struct(F.round(F.abs(F.col("mean_matches") - target), 6), "delta", "mean_matches")).alias("b")
+    return curve.agg(best).select("b.delta", "b.mean_matches")
+
+
 def calibration_curve(assigned: DataFrame, n_entities: int, table: dict[int, float], group: Column, deltas: Sequence[float], col: str = "p") -> DataFrame:
     """(delta, mean_matches): mean matches per entity if every group's threshold is raised by delta, HIGHEST at most."""
     grid = F.explode(F.array(*(F.lit(float(d)) for d in deltas)))

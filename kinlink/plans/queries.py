@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import similarity as sim
-from ..functions import text
+from ..functions import pairs as pf
+from ..functions import text, words
 from ..model import PAIRS_SQL, RECORDS_SQL
 from ..operators import blocking, context, decide, learn, sampling, stats
 
@@ -36,12 +37,20 @@ def _r(*cols: str):
 
 
 _ASSIGNED = "assigned AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY src, rec ORDER BY p DESC, s1) AS k FROM pairs) WHERE k = 1)"
-_TOKENS = """fam AS (
+# the sound key of a lower-case word, step by step
+_FOLDED = "t"
+for _a, _b in (("ph", "f"), ("sh", "s"), ("ch", "s"), ("th", "t"), ("kh", "k"), ("gh", "g"), ("dh", "d"), ("bh", "b"), ("jh", "j"), ("ck", "k"), ("x", "ks")):
+    _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
+_TOKENS = f"""snd AS (SELECT id, country, src, array_to_string(list_filter(string_split(v, ''), lambda c, i: i = 1 OR c <> v[i - 1]), '') AS key FROM (
+  SELECT id, country, src, w[1] || regexp_replace(substr(w, 2), '[aeiouyh]', '', 'g') AS v FROM (
+    SELECT id, country, src, translate({_FOLDED}, 'cqgbdwzf', 'kkkptvjp') AS w FROM (SELECT id, country, src, unnest(name_toks) AS t FROM rec) WHERE regexp_matches(t, '^[a-z]+$')))),
+fam AS (
   SELECT DISTINCT id, country, src, tok FROM (
     SELECT id, country, src, unnest(list_transform(addr_toks, lambda x: 'a|' || x)) AS tok FROM rec
     UNION ALL SELECT id, country, src, 'b|' || addr_toks[i] || ' ' || addr_toks[i + 1] FROM (SELECT id, country, src, addr_toks, unnest(generate_series(1, len(addr_toks) - 1)) AS i FROM rec WHERE len(addr_toks) > 1)
     UNION ALL SELECT id, country, src, 'n|' || t FROM (SELECT id, country, src, unnest(name_toks) AS t FROM rec) WHERE length(t) >= 2
     UNION ALL SELECT id, country, src, 'g|' || array_to_string(name_toks, '') FROM rec WHERE array_to_string(name_toks, '') <> ''
+    UNION ALL SELECT id, country, src, 'p|' || key FROM snd WHERE length(key) >= 3
     UNION ALL SELECT id, country, src, 'i|' || array_to_string(list_transform(name_toks, lambda x: x[1]), '') FROM rec WHERE len(name_toks) >= 2
     UNION ALL SELECT id, country, src, 'i|' || array_to_string(name_toks, '') FROM rec WHERE length(array_to_string(name_toks, '')) BETWEEN 2 AND 6)),
 cn AS (SELECT country, count(DISTINCT id) AS n FROM fam WHERE src = 1 GROUP BY country)"""
@@ -397,3 +406,196 @@ def text_vectors(spark, d):
     """Hashed character n-grams of names, TF-IDF, eight SVD dimensions."""
     v = learn.project(learn.tfidf(model.records(spark, d).select("id", "name"), "name"))
     return v.select("id", F.size("vec").alias("dims"), F.round(F.sqrt(blocking.dot(F.col("vec"), F.col("vec"))), 3).alias("norm"))
+
+
+_CROSSED = """c0 AS (SELECT id, country, src, list_filter(name_toks, lambda x: length(x) > 1)[1:4] AS n, list_filter(addr_toks, lambda x: length(x) > 1 AND NOT regexp_matches(x, '[0-9]'))[1:8] AS a,
+  list_filter(list_transform(addr_toks, lambda x: ltrim(regexp_replace(x, '[^0-9]', '', 'g'), '0')), lambda x: x <> '')[1:3] AS d, array_to_string(name_toks, '') AS j FROM rec),
+n AS (SELECT id, unnest(n) AS x, generate_subscripts(n, 1) AS i FROM c0), a AS (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM c0), d AS (SELECT id, unnest(d) AS x FROM c0),
+fam AS (SELECT DISTINCT id, country, src, tok FROM c0 JOIN (
+  SELECT id, 'n:' || x AS tok FROM n UNION ALL SELECT id, 'a:' || x FROM a UNION ALL SELECT id, 'd:' || x FROM d UNION ALL SELECT id, 'j:' || j FROM c0 WHERE length(j) >= 4
+  UNION ALL SELECT id, 'x:' || d.x || '_' || a.x FROM d JOIN a USING (id) UNION ALL SELECT id, 'y:' || n.x || '_' || d.x FROM n JOIN d USING (id)
+  UNION ALL SELECT id, 'c:' || n.x || '_' || a.x FROM n JOIN a USING (id) WHERE n.i <= 3 AND a.i <= 6) t USING (id)),
+cn AS (SELECT country, count(DISTINCT id) AS n FROM fam WHERE src = 1 GROUP BY country)"""
+_WEIGHTED = """df AS (SELECT country, tok, count(*) AS df FROM fam WHERE src = 1 GROUP BY ALL),
+w AS (SELECT fam.*, coalesce(df, 0) AS df, ln((n + 1) / (coalesce(df, 0) + 1)) AS w FROM fam LEFT JOIN df USING (country, tok) JOIN cn USING (country)),
+nm AS (SELECT src, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+u AS (SELECT w.country, tok, src, id, df, CASE WHEN norm > 0 THEN w / norm ELSE 0 END AS w FROM w JOIN nm USING (src, id))"""
+
+
+def _crossed(spark, d):
+    recs = model.records(spark, d).withColumn("w", words.address_only_words(F.col("addr_toks"))).withColumn("d", text.glued_numbers(F.col("addr_toks")))
+    return blocking.crossed_tokens(recs, core="name_toks", words_="w", nums="d")
+
+
+@query(f"WITH {_CROSSED} SELECT * FROM fam", recs=True)
+def crossed_tokens(spark, d):
+    """Name words, address words and numbers, alone and in pairs."""
+    return _crossed(spark, d)
+
+
+@query(f"""WITH {_CROSSED}, {_WEIGHTED}
+SELECT src, rec, s1, s_cos, CAST(k AS INT) AS s_rank FROM (SELECT *, row_number() OVER (PARTITION BY src, rec ORDER BY s_cos DESC, s1) AS k FROM (
+  SELECT r.src, r.id AS rec, l.id AS s1, round(sum(l.w * r.w), 6) AS s_cos FROM u l JOIN u r ON l.country = r.country AND l.tok = r.tok AND l.src = 1 AND r.src <> 1 AND l.df <= 1000 GROUP BY ALL)) WHERE k <= 10""", recs=True)
+def crossed_cosine(spark, d):
+    toks = _crossed(spark, d)
+    return blocking.cosine(toks, blocking.block_sizes(toks))
+
+
+@query(f"""WITH {_TOKENS}, {_OVERLAP}, {_WEIGHTED}
+SELECT ov.src, ov.rec, ov.s1, round(sum(l.w * r.w), 6) AS cos FROM ov JOIN u r ON r.src = ov.src AND r.id = ov.rec JOIN u l ON l.src = 1 AND l.id = ov.s1 AND l.tok = r.tok GROUP BY ALL""", recs=True)
+def pair_cosine(spark, d):
+    """Cosine over all tokens for the pairs that overlap found."""
+    toks = blocking.token_families(model.records(spark, d))
+    n = blocking.block_sizes(toks)
+    return blocking.pair_cosine(blocking.overlap(toks, n), toks, n)
+
+
+@query("""WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), v AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS n FROM u)
+SELECT a.id AS rec, b.id AS s1, CASE WHEN a.id % 2 = 0 THEN 0.25 ELSE round(list_inner_product(a.e, b.e) / (a.n * b.n), 5) END AS sim FROM v a JOIN v b ON b.id = a.id + 7""")
+def similarity_fill(spark, d):
+    """Every other pair has its similarity; the rest get theirs from the vectors."""
+    v = _vectors(spark, d)
+    pairs = v.select(F.col("id").alias("rec"), (F.col("id") + 7).alias("s1"), F.when(F.col("id") % 2 == 0, F.lit(0.25)).alias("sim"))
+    return blocking.fill_similarity(pairs, v, v).filter(F.col("sim").isNotNull()).join(v.select(F.col("id").alias("s1")), "s1", "left_semi").select("rec", "s1", "sim")
+
+
+@query("""WITH n AS (SELECT o_custkey AS id, list_distinct(list(CAST(o_orderkey % 1000 AS VARCHAR))) AS nums FROM orders GROUP BY 1),
+t AS (SELECT id, CAST('0x' || substr(md5(unnest(nums)), 1, 8) AS BIGINT) AS h FROM n),
+p AS (SELECT id, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM t GROUP BY ALL),
+l AS (SELECT id, sqrt(sum(x * x)) AS norm FROM p GROUP BY id)
+SELECT id, dim, round(0.45 * x / norm, 6) AS x FROM p JOIN l USING (id) WHERE x <> 0""")
+def number_vectors(spark, d):
+    """Signed hashes of numbers, their part of a record's vector."""
+    o = model.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set((F.col("o_orderkey") % 1000).cast("string")).alias("nums"))
+    none = F.array(F.lit(0.0))
+    v = o.select("id", F.posexplode(F.slice(blocking.record_vector(none, none, blocking.number_vector(F.col("nums")), F.lit(False)), 3, 64)).alias("dim", "x"))
+    return v.filter(F.col("x") != 0).select("id", F.col("dim").cast("long").alias("dim"), F.round("x", ROUND).alias("x"))
+
+
+@query(f"WITH {_ASSIGNED}, kept AS (SELECT * FROM assigned WHERE p >= 0.7), {_COUNTS} SELECT s_nationkey AS country, count(*) AS n, round(avg({_F}), 6) AS macro_f05 FROM f JOIN supplier ON s_suppkey = s1 GROUP BY s_nationkey", pairs=True)
+def macro_f05_by_country(spark, d):
+    pairs = model.scored_pairs(spark, d)
+    return decide.macro_f_by(_countries(spark, d), decide.by_threshold(decide.assign(pairs), 0.7), pairs.filter(F.col("y") == 1), "country")
+
+
+def _countries(spark, d):
+    return model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("s1"), F.col("s_nationkey").alias("country"))
+
+
+@query(f"""WITH {_ASSIGNED}, g AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.3), (0.4), (0.5)) a(floor), (VALUES (0.0::DOUBLE), (0.1), (0.25)) b(extra)),
+r AS (SELECT assigned.*, floor, extra, count(*) OVER u AS m, sum(p) OVER u AS c, sum(p) OVER s + extra AS t, exp(sum(ln(greatest(1 - p, 1e-9))) OVER s) AS none FROM assigned JOIN g ON p >= floor / 2
+  WINDOW s AS (PARTITION BY floor, extra, s1), u AS (PARTITION BY floor, extra, s1 ORDER BY p DESC, src, rec ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, round(1.25 * c / (1.25 * c + 0.25 * (t - c) + (m - c)), 9) AS ef FROM r),
+b AS (SELECT *, max(ef) OVER (PARTITION BY floor, extra, s1) AS best FROM e), z AS (SELECT *, min(CASE WHEN ef = best THEN m END) OVER (PARTITION BY floor, extra, s1) AS most FROM b),
+k AS (SELECT floor, extra, s1, count(*) AS np, sum(y) AS tp FROM z WHERE m <= most AND best > none AND p >= floor GROUP BY ALL), nt AS (SELECT s1, count(*) AS nt FROM pairs WHERE y = 1 GROUP BY s1),
+f AS (SELECT g.floor, g.extra, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM g CROSS JOIN supplier LEFT JOIN k ON k.floor = g.floor AND k.extra = g.extra AND k.s1 = s_suppkey LEFT JOIN nt ON nt.s1 = s_suppkey)
+SELECT floor, extra, round(avg({_F}), 6) AS macro_f05 FROM f GROUP BY floor, extra""", pairs=True)
+def expected_f_grid(spark, d):
+    pairs = model.scored_pairs(spark, d)
+    return decide.tune_expected_f(_entities(spark, d), decide.assign(pairs), pairs.filter(F.col("y") == 1))
+
+
+@query("SELECT s1, src, rec, round(CASE WHEN country % 5 = 0 THEN p - 0.1 ELSE p END, 6) AS p FROM pairs WHERE CASE WHEN country % 5 = 0 THEN p - 0.1 ELSE p END >= 0.8", pairs=True)
+def threshold_shift(spark, d):
+    """A threshold that is higher by 0.1 for unseen countries."""
+    return decide.by_threshold(decide.shift_unseen(model.scored_pairs(spark, d), F.col("country") % 5 == 0, 0.1), 0.8).select("s1", "src", "rec", *_r("p"))
+
+
+_CURVE = """ent AS (SELECT s_suppkey AS s1, s_nationkey AS country FROM supplier WHERE s_nationkey % 5 = 0), nc AS (SELECT country, count(*) AS n FROM ent GROUP BY country),
+g AS (SELECT CAST(i AS DOUBLE) / 100 AS delta FROM generate_series(0, 29) t(i)),
+hit AS (SELECT ent.country, delta, count(*) AS c FROM assigned a JOIN ent ON ent.s1 = a.s1 JOIN g ON p >= least(CASE src WHEN 2 THEN 0.6 WHEN 3 THEN 0.5 ELSE 0.99 END + delta, 0.995) GROUP BY ALL),
+curve AS (SELECT nc.country, g.delta, round(coalesce(c, 0) / n, 6) AS mean_matches FROM nc CROSS JOIN g LEFT JOIN hit ON hit.country = nc.country AND hit.delta = g.delta)"""
+
+
+def _curve(spark, d):
+    unseen = _countries(spark, d).filter(F.col("country") % 5 == 0)
+    return decide.curve_by_country(unseen, decide.assign(model.scored_pairs(spark, d)), {2: 0.6, 3: 0.5}, F.col("src"), [i / 100 for i in range(30)])
+
+
+@query(f"WITH {_ASSIGNED}, {_CURVE} SELECT * FROM curve", pairs=True)
+def calibration_by_country(spark, d):
+    return _curve(spark, d)
+
+
+@query(f"""WITH {_ASSIGNED}, {_CURVE}, tg AS (SELECT round(avg(mean_matches), 3) - 1 AS t FROM curve WHERE delta = 0),
+m AS (SELECT *, CASE WHEN lag(mean_matches) OVER w - mean_matches > 5 THEN 1 ELSE 0 END AS fell, CASE WHEN mean_matches <= t THEN 1 ELSE 0 END AS met FROM curve, tg WINDOW w AS (PARTITION BY country ORDER BY delta)),
+r AS (SELECT *, sum(fell) OVER u + sum(met) OVER u - met AS stop FROM m WINDOW u AS (PARTITION BY country ORDER BY delta ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY round(abs(mean_matches - t), 6), delta) AS k FROM r WHERE stop = 0 AND mean_matches >= t - 2)
+SELECT max(delta) AS delta FROM k WHERE k = 1""", pairs=True)
+def calibration_choice(spark, d):
+    """One shift for all unseen countries, towards a mean of one match less than without it."""
+    curve = _curve(spark, d)
+    target = curve.filter(F.col("delta") == 0).agg(F.round(F.avg("mean_matches"), 3) - 1).first()[0]
+    return decide.choose_delta(curve, target, slack=2, drop=5)
+
+
+@query("""WITH o AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS x FROM pairs), q AS (SELECT *, x / (1 - x) / (1 + sum(x / (1 - x)) OVER (PARTITION BY src, rec)) AS share FROM o),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, rec ORDER BY round(share, 12) DESC, s1) AS k FROM q) WHERE k = 1), g AS (SELECT round(-0.3 + 0.005 * i, 3)::DOUBLE AS delta FROM generate_series(0, 179) t(i)),
+c AS (SELECT delta, round(count(p) / (SELECT count(*) FROM supplier), 6) AS mean_matches FROM g LEFT JOIN a ON p >= least(CASE src WHEN 2 THEN 0.6 WHEN 3 THEN 0.5 ELSE 0.99 END + delta, 0.995) GROUP BY delta)
+SELECT delta, mean_matches FROM c ORDER BY round(abs(mean_matches - 3.4), 6), delta LIMIT 1""", pairs=True)
+def owner_choice(spark, d):
+    """Owners by share, and the shift whose mean number of matches is nearest to a target."""
+    pairs, ent = decide.renormalise(model.scored_pairs(spark, d)).withColumn("share", F.round("share", 12)), _entities(spark, d)
+    deltas = [round(-0.3 + 0.005 * i, 3) for i in range(180)]
+    curve = decide.curve_by_country(ent.withColumn("country", F.lit(0)), decide.assign(pairs, "share"), {2: 0.6, 3: 0.5}, F.col("src"), deltas)
+    return decide.nearest_delta(curve, 3.4)
+
+
+@query()
+def group_tuning(spark, d):
+    """Thresholds of record groups by coordinate ascent."""
+    pairs = model.scored_pairs(spark, d)
+    table, best = decide.tune_groups(_entities(spark, d), decide.assign(pairs), pairs.filter(F.col("y") == 1), "src", [2, 3])
+    return spark.createDataFrame([(g, t, best) for g, t in sorted(table.items())], "grp int, threshold double, macro_f05 double")
+
+
+@query()
+def country_transfer(spark, d):
+    """A blend learned on one country, measured on another, without and with pseudo-labels."""
+    pairs = decide.blend_features(model.scored_pairs(spark, d)).withColumn("country", F.col("country") % 2).select("s1", "src", "rec", "country", "y", "la", "lb", "lab")
+    rows = []
+    for known, unseen in ((0, 1), (1, 0)):
+        for form, r in learn.leave_country_out(pairs, ["la", "lb", "lab"], known, unseen, learn.fit_blend).items():
+            rows.append((known, unseen, form, r["source_threshold"], r["at_source"], r["own_threshold"], r["own"]))
+    return spark.createDataFrame(rows, "known int, unseen int, form string, source_threshold double, at_source double, own_threshold double, own double")
+
+
+@query()
+def second_normalisation(spark, d):
+    """Cleaned words, numbers, and names without what is common in their country."""
+    recs = words.second_form(model.records(spark, d).select("id", "country", "src", "name", "address"))
+    common = stats.common_tokens(recs.withColumn("t", words.tokens(F.col("name2"))), "t").groupBy("country").agg(F.collect_set("tok").alias("c"))
+    core = words.core_tokens(words.tokens(F.col("name2")), F.coalesce("c", F.array().cast("array<string>")))
+    return recs.join(common, "country", "left").select("id", "name2", "addr2", F.array_join("nums2", " ").alias("nums"), F.array_join(core, " ").alias("core"), F.array_join(core, "").alias("joined"))
+
+
+def _part_pairs(spark, d):
+    p = model.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("x").alias("country"), F.lit(1).alias("src"), F.col("p_name").alias("name"), F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand", "p_type").alias("address"))
+    recs = text.normalise(p)
+    for short, c in (("n", "name_core"), ("a", "addr_norm")):
+        toks = recs.select("id", "country", "src", words.tokens(F.col(c)).alias("t"))
+        lists = stats.idf_lists(toks, "t", stats.idf(toks, "t"), stats.sizes(toks))
+        recs = recs.join(lists.withColumnRenamed("idfs", f"{short}_idf"), "id", "left")
+    side = lambda s: recs.select(*(F.col(c).alias(f"{s}_{c}") for c in recs.columns))
+    return side("a").join(side("b"), F.col("a_id") + 1 == F.col("b_id"))
+
+
+@query()
+def pair_features(spark, d):
+    """Neighbouring parts as pairs: names, addresses, numbers, sounds."""
+    out = pf.pair_features(_part_pairs(spark, d))
+    return out.select("a_id", "b_id", *(F.round(c, 4).alias(c) for c, t in out.dtypes if t == "double"))
+
+
+@query()
+def noise_features(spark, d):
+    """What tells a misprinted record from another entity, weighted overlaps, abbreviations, siblings."""
+    out, nums = pf.weight_features(_part_pairs(spark, d)), lambda s: words.tokens(F.col(f"{s}_nums"))
+    name = lambda s: words.tokens(F.col(f"{s}_name_core"))
+    out = pf.anchor_similarity(out, "a_", "b_").select(
+        "*", pf.number_noise(nums("a"), nums("b")).alias("noise"), pf.number_agreement(nums("b"), nums("a")).alias("agree"), pf.abbreviation_udf(name("b"), name("a")).alias("cover"),
+        pf.joined_names(F.array_join(name("a"), ""), F.array_join(name("b"), "")).alias("joined"),
+    )
+    groups = {g: [f.name for f in out.schema[g].dataType] for g in ("n_over_a", "n_over_b", "a_over_a", "a_over_b", "n_aligned", "a_aligned", "noise", "agree", "cover", "joined")}
+    flat = [F.round(F.col(f"{g}.{f}").cast("double"), 4).alias(f"{g}_{f}") for g, fs in groups.items() for f in fs]
+    return out.select("a_id", "b_id", *(F.round(c, 4).alias(c) for c in ("unknown_b", "anc_ratio", "anc_set", "anc_addr", "anc_nums", "anc_first")), *flat)

@@ -8,7 +8,7 @@ import pytest
 from kinlink.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer supplier part lineitem documents embeddings".split()
+TABLES = "customer supplier part orders lineitem documents embeddings".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
