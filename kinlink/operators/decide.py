@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .context import logit
 from .stats import top_first
 
@@ -105,6 +106,7 @@ def tune_groups(entities: DataFrame, assigned: DataFrame, truth: DataFrame, grou
 
     A step tries all thresholds of one group in one pass over the rows and moves on gains above 1e-6.
     """
+    assigned = materialize(assigned.select(*dict.fromkeys(("s1", "src", "rec", group, col))), "assigned")
     best, start = best_threshold(tune(entities, assigned, truth, grid, col))
     table = dict.fromkeys(groups, start)
     for g in list(groups) * passes:
