@@ -223,12 +223,18 @@ def wide_fingerprint(text: str | None, n: int = 5, seed: int = SEED):
     return np.packbits(votes.ravel() * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = SIMILAR) -> DataFrame:
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; a null text counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = SIMILAR, nameless: bool = False) -> DataFrame:
     """(id, component_id): groups of documents whose shingles of ``n`` words are ``similarity`` alike or more.
 
     Decided by the estimate of fingerprints of 64 * WIDE bits; the estimate's standard error near 0.8
     is about 0.04. Equal fingerprints are one node. Texts without words are alike. Null ids take part
-    as in ``near_duplicates``; an empty table gives no rows.
+    as in ``near_duplicates``; an empty table gives no rows. With ``nameless`` two columns more: ``group``, a
+    number of the group that is never null, and ``digest`` of the text (SHA-256) where the id is null.
     """
     text_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -241,11 +247,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         for b in batches:
             found = np.array([wide_fingerprint(t, n) for t in each(b.column(1))], np.uint64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE))], names=[id_col, *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE)), b.column(2)], names=[id_col, *names, "digest"])
 
     fields = ", ".join(f"{x} long" for x in names)
-    base = materialize(docs.select(id_col, text_col).mapInArrow(digest, f"`{id_col}` {kind}, {fields}"), "fingerprints")
-    nodes = materialize(base.groupBy(*names).agg(F.min(id_col).alias("low")).filter(F.col("low").isNotNull()), "nodes")
+    named = F.when(F.col(id_col).isNull(), text_digest(F.col(text_col))).alias("digest")
+    base = materialize(docs.select(id_col, text_col, named).mapInArrow(digest, f"`{id_col}` {kind}, {fields}, digest string"), "fingerprints")
+    nodes = materialize(base.groupBy(*names).agg(F.min(id_col).alias("smallest")), "nodes")
+    # where all ids are null, a number below zero from the fingerprint stands for the smallest one
+    nodes = nodes.withColumn("low", F.coalesce(F.col("smallest").cast("long"), F.xxhash64(*names).bitwiseOR(F.lit(-(1 << 63)))))
 
     def spread(batches: Iterator) -> Iterator:
         import numpy as np
@@ -309,11 +318,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = nodes.select(*names, F.col("low").cast("long").alias("low")).repartition(count).mapInArrow(spread, f"key int, {fields}, low long")
+    keyed = nodes.select(*names, "low").repartition(count).mapInArrow(spread, f"key int, {fields}, low long")
     edges = keyed.repartition(4 * count, "key").sortWithinPartitions("key").mapInArrow(scan, "u long, v long").distinct()
     found = connected_components(edges)
-    roots = nodes.join(found, nodes["low"] == found["node"], "left").select(*names, F.coalesce("root", "low").alias("component_id"))
-    return base.join(roots, names, "left").select(id_col, F.col("component_id").cast(kind).alias("component_id"))
+    roots = nodes.join(found, nodes["low"] == found["node"], "left").select(*names, "smallest", F.coalesce("root", "low").alias("root"))
+    lowest = roots.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    classes = roots.join(lowest, "root").select(*names, "component_id", "root")
+    more = [F.col("root").alias("group"), "digest"] if nameless else []
+    return base.join(classes, names).select(id_col, F.col("component_id").cast(kind).alias("component_id"), *more)
 
 
 def near_trees(fp, low, radius: int):

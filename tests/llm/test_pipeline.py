@@ -23,3 +23,13 @@ def test_stages(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     assert len(kept) > 0.6 * len(before)
     assert {r["doc_id"] for r in corpus_pipeline.mixture(spark, docs, SF).collect()} <= kept
+
+
+def test_null_ids_pass_near_dedup(spark):
+    text = lambda p, n=120: " ".join(f"{p}{i}" for i in range(n))
+    near = text("b").replace("b60 ", "changed ")
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (None, near), (None, text("c")), (2, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert len(got) == 4 and {(1, text("a")), (2, text("d")), (None, text("c"))} <= set(got)
+    assert len({(None, text("b")), (None, near)} & set(got)) == 1
