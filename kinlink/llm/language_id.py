@@ -9,19 +9,25 @@ first takes its own part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .html_text import lines_of
+from .html_text import RAW, lines_of
 from .url_filter import domain_of, host_of, path_of, suffix_of
 from .words import each, text_batches
 
-#: Trigram buckets; labelled rows and bytes of each that the text models are fitted on.
+#: Trigram buckets; labelled rows that the text models are fitted on.
 BUCKETS = 1 << 15
-TRAIN_ROWS, TRAIN_BYTES = 2000, 20_000
+TRAIN_ROWS = 2000
+#: Bytes of a text that are turned into trigrams at a time, so that memory does not grow with the text.
+STRIP = 1 << 20
+#: Comments, raw text and the start tags that may declare a language; whatever is opened and not closed goes to the end.
+DECLARING = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(?:html|body)\b([^>]*)", re.I | re.S)
+LANG = re.compile(r"\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 #: Trigrams that count in full as evidence: neighbouring ones repeat each other.
 EVIDENCE = 60.0
 #: Chance that markup declares the right language, when it declares one that is known.
@@ -40,24 +46,62 @@ def trigrams(data: bytes):
     return (code * np.uint32(2654435761)) >> np.uint32(17)
 
 
-def fit_models(rows: list[tuple[str, str]]) -> tuple[list[str], object]:
-    """(languages, log-likelihoods[bucket, language]) of (language, text) rows, add-one smoothed."""
+def strips(text: str) -> Iterator:
+    """The trigrams of a whole text in lower case, one strip at a time."""
+    data = text.lower().encode("utf-8", "surrogatepass")
+    for at in range(0, len(data), STRIP):
+        yield trigrams(data[at : at + STRIP])
+
+
+def declared_language(page: str | None) -> str | None:
+    """The language that the first ``html`` or ``body`` tag with one declares, wherever in the page it stands."""
+    for m in DECLARING.finditer(page or ""):
+        found = LANG.search(m.group(2) or "")
+        if found:
+            return found.group(1).lower()
+    return None
+
+
+def fit_models(rows: list[tuple[str, int, int]]) -> tuple[list[str], object]:
+    """(languages, log-likelihoods[bucket, language]) of (language, bucket, count) rows, smoothed by one half."""
     import numpy as np
 
-    langs = sorted({lang for lang, _ in rows})
+    langs = sorted({lang for lang, _, _ in rows})
+    column = {lang: i for i, lang in enumerate(langs)}
     counts = np.full((BUCKETS, max(1, len(langs))), 0.5)
-    for lang, text in rows:
-        counts[:, langs.index(lang)] += np.bincount(trigrams(text.lower().encode("utf-8", "surrogatepass")[:TRAIN_BYTES]), minlength=BUCKETS)
+    for lang, bucket, n in rows:
+        if bucket >= 0:
+            counts[bucket, column[lang]] += n
     return langs or ["und"], np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], object]:
-    """Models from at most ``rows`` documents that have a language, chosen by a hash of the id (the only bounded part)."""
+    """Models from the whole texts of at most ``rows`` documents that have a language, chosen by a hash of the id.
+
+    Texts are counted where they lie; one number for each language and bucket comes to the driver.
+    """
+    text_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     picked = [r[0] for r in known.select(id_col).distinct().orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(rows).collect()]
     ids = docs.sparkSession.createDataFrame([(int(i),) for i in picked], "i long")
-    sample = known.join(F.broadcast(ids), known[id_col].cast("long") == ids["i"]).select(F.col(lang_col).alias("l"), F.substring(text_col, 1, TRAIN_BYTES).alias("t"))
-    return fit_models(sorted((r["l"], r["t"]) for r in sample.collect()))
+    sample = known.join(F.broadcast(ids), known[id_col].cast("long") == ids["i"]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for lang, text in zip(each(b.column(0)), each(b.column(1)), strict=True):
+                total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for grams in strips(text):
+                    total += np.bincount(grams, minlength=BUCKETS)
+        for lang, total in sums.items():
+            g = np.append(-1, np.flatnonzero(total))  # -1: the language was seen, though its texts may be empty
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(np.append(0, total[g[1:]]))], names=["l", "g", "n"])
+
+    counts = sample.mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    return fit_models([tuple(r) for r in counts.collect()])
 
 
 def _softmax(logs: Column) -> Column:
@@ -79,25 +123,19 @@ def identify(pages: DataFrame, models: tuple[list[str], object], *, id_col: str
     shared = pages.sparkSession.sparkContext.broadcast(table)
 
     def likelihoods(batches: Iterator) -> Iterator:
-        import re
-
         import numpy as np
         import pyarrow as pa
 
-        html_lang = re.compile(r"<(?:html|body)\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
         model = shared.value
         for b in batches:
             logs, declared = [], []
             for page in each(b.column(3)):
-                text = "\n".join(lines_of(page)[1]).lower().encode("utf-8", "surrogatepass")
                 score, n = np.zeros(len(langs)), 0
-                for at in range(0, len(text), 1 << 20):  # strips, so that memory does not grow with the text
-                    grams = trigrams(text[at : at + (1 << 20)])
+                for grams in strips("\n".join(lines_of(page)[1])):
                     score += model[grams].sum(axis=0, dtype=np.float64)
                     n += len(grams)
                 logs.append((score * min(1.0, EVIDENCE / n) if n else score).tolist())
-                m = html_lang.search(page[:20_000]) if page else None
-                declared.append(m.group(1).lower() if m else None)
+                declared.append(declared_language(page))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(logs, pa.list_(pa.float64())), pa.array(declared, pa.string())], names=["id", "host", "path", "logs", "declared"])
 
     url = F.col(url_col)

@@ -328,6 +328,22 @@ def test_languages(spark):
     assert got[1]["lang"] == got[5]["lang"] == "de" and got[2]["lang"] == "en" and got[1]["declared"] == "de" and len(got) == 5
 
 
+def test_declared_language_anywhere():
+    long = "x" * 30_000
+    assert language_id.declared_language(f'<!-- {long} <html lang="fr"> --><script>"<body lang=es>{long}"</script><html><body class="a" lang="de-AT">') == "de"
+    assert language_id.declared_language(f'<style>{long}</style><html lang="en"><body lang="de">') == "en"
+    assert language_id.declared_language(None) is None and language_id.declared_language("<body " * 50_000) is None
+
+
+def test_languages_learn_from_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "1 " * 15_000 + "the house and the garden " * 20, "en"), (2, "1 " * 15_000 + "das haus und der garten " * 20, "de"), (3, "", "xx")], "doc_id long, text string, lang string")
+    langs, table = language_id.train(docs)
+    assert langs == ["de", "en", "xx"]
+    for text, lang in (("the garden and the house", "en"), ("der garten und das haus", "de")):
+        sums = sum(table[g].sum(axis=0) for g in language_id.strips(text))
+        assert langs[sums[:2].argmax()] == lang and abs(sums[0] - sums[1]) > 1
+
+
 # 10 fingerprints
 
 
