@@ -180,7 +180,10 @@ def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: in
     if late.any():
         x = order[late]
         rows += _hit_blocks(ids[row[x]], pos[x], two[x], groups)
-    keep = np.sort(order[fresh])
+    # other rows of the same id hold the window at a place of their own
+    again = ~fresh & ~late & (pos[order] != pos[lead])
+    again[1:] &= row[order][1:] != row[order][:-1]
+    keep = np.sort(order[fresh | again])
     bucket = (one[keep] % np.uint64(buckets)).astype(np.int64)
     keep = keep[np.argsort(bucket, kind="stable")]
     bucket = (one[keep] % np.uint64(buckets)).astype(np.int64)

@@ -166,6 +166,14 @@ def test_substrings_same_or_null_ids(spark):
     assert rows == [(False, 0), (False, 0), (True, 20)]
 
 
+def test_substrings_same_or_null_ids_at_other_places(spark):
+    p = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, p)] + [(i, f"own{i}") for i in range(2, 5)] + [(i, t) for i in (8, None) for t in (f"{p} a{i}", f"some words before{i} {p}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] or 99, r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(docs, report=True).collect())
+    assert got[4:] == [(8, 21, 20), (8, 23, 20), (99, 21, 20), (99, 23, 20)]
+
+
 def test_index_grows_and_compacts(spark, tmp_path):
     index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", 8)
     p = " ".join(f"w{i}" for i in range(20))
