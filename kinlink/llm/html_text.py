@@ -28,7 +28,7 @@ BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words in class, id or role that mark what is no article (fixed values).
+#: Whole class names, ids and roles that mark what is no article (fixed values).
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "notices newsletter subscribe subscription signup popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs "
@@ -45,21 +45,25 @@ def _marked(attributes: str) -> bool:
     for name, a, b, c in NAMES.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id", "role") and not MARKS.isdisjoint(value.split()):
             return True
     return False
 
 
+@functools.lru_cache(100_000)
+def _hidden(attributes: str) -> bool:
+    return any(name.lower() == "hidden" or (name.lower() == "aria-hidden" and (a or b or c).lower() == "true") for name, a, b, c in NAMES.findall(attributes))
+
+
 def lines_of(page: str | None) -> tuple[bytes, list[str]]:
     """(kinds, lines) of a page in order, without what is marked as no article.
 
-    A line is the text of a block, character references decoded, white space turned into one space.
+    An ``article`` or ``main`` that is not marked itself is content even in a marked element, though not
+    in a hidden one or in one that is never article. A line is the text of a block, character references decoded, white space turned into one space.
     If the page has an ``article`` or ``main`` element, only lines in it are returned, as CONTENT;
     else all lines, as OTHER.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, no article, in article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, no article, in article, no article whatever it holds
     kinds, lines, text = bytearray(), [], []
     never = content = False
     raw = None
@@ -113,8 +117,16 @@ def lines_of(page: str | None) -> tuple[bytes, list[str]]:
                 stack.pop()
             if attributes.rstrip().endswith("/"):
                 continue
-            out = never or name in NEVER or (name == "header" and not content) or (name not in ("html", "body", "article", "main") and bool(attributes.strip()) and _marked(attributes))
-            stack.append((name, out, content or (name in ("article", "main") and not out)))
+            shut = (bool(stack) and stack[-1][3]) or name in NEVER
+            own = False
+            if attributes.strip() and name not in ("html", "body"):
+                own = _marked(attributes)
+                shut = shut or (name not in ("article", "main") and _hidden(attributes))
+            if name in ("article", "main"):
+                out = shut or (never and own)
+            else:
+                out = shut or never or own or (name == "header" and not content)
+            stack.append((name, out, content or (name in ("article", "main") and not out), shut))
         never, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()
     if CONTENT in kinds:

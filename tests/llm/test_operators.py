@@ -320,6 +320,13 @@ def test_html_differencing(spark):
     assert {r["text"] for r in html_text.extract(spark.createDataFrame(same, "page_id long, url string, html string")).collect()} == {"same"}
 
 
+def test_html_marked_wrappers():
+    page = '<body><div class="layout has-sidebar banner"><p>out</p><article><h1>Head</h1><div class="post-header">by</div><p class="notices-of-birth">a</p><div class="comments"><article class="comment">c</article></div></article></div>'
+    assert html_text.lines_of(page)[1] == ["Head", "by", "a"]
+    assert html_text.lines_of('<div id="page" class="with-banner"><main>in</main></div>')[1] == ["in"]
+    assert html_text.lines_of("<div hidden><article>no</article></div><nav><article>no</article></nav><p>b</p>")[1] == ["b"]
+
+
 def test_shared_lines():
     assert html_text.shared_lines(list("axbyc"), list("abzc")) == {0, 2, 4}
     assert html_text.shared_lines([], ["a"]) == set()
