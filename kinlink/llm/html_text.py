@@ -179,27 +179,49 @@ def main_text(kinds: bytes, lines: list[str], other: list[str] | None) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text (lines joined by one newline) and n_chars of every page.
 
-    Null and empty pages have an empty text. Pages without a neighbour of their host, and the ends of a
-    range of pages, are paired with the one side they have or with none. Ties between neighbours go to
-    the earlier one; repeated rows stay. A page with a null url belongs to the empty host. An empty
-    table gives no rows. Only lines are shuffled, ordered by ranges of (host, path, id), so a host of
-    any size is spread over tasks.
+    Null and empty pages have an empty text. Pages without a neighbour of their host are paired with
+    none. Ties between neighbours go to the earlier one; repeated rows stay. A page with a null url
+    belongs to the empty host. An empty table gives no rows. Only lines are shuffled, by ranges of (host,
+    path, id, url), so a host of any size is spread over tasks; the first and last page of each range go
+    to the adjoining ranges too, so the text of a page does not depend on how the ranges fall.
     """
     from .url_filter import host_of, path_of
 
     text_batches(pages.sparkSession)
     kind = pages.select(id_col).schema[0].dataType.simpleString()
-    fields = f"id {kind}, url string, host string, path string, kinds binary, lines array<string>"
+    fields = f"id {kind}, url string, host string, path string, kinds binary, lines array<string>, slot int, away boolean"
+    url = F.col(url_col)
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", "path", "id", "url"]
+    read_in = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).alias("html"))
+    ranges = read_in.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part"))
+    ends = ranges.agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")).collect()  # one row for each range
+    rank = lambda key: tuple((x is not None, x if x is not None else 0) for x in key)
+    firsts, lasts = (sorted(rank(r[c]) for r in ends) for c in ("first", "last"))
 
     def read(batches: Iterator) -> Iterator:
+        from bisect import bisect_right
+
         import pyarrow as pa
 
         for b in batches:
             found = [lines_of(x) for x in each(b.column(4))]
-            yield pa.RecordBatch.from_arrays(
+            row, slot, away = [], [], []
+            for i, (x, u, host, path) in enumerate(zip(*(each(c) for c in b.columns[:4]), strict=True)):
+                key = rank((host, path, x, u))
+                at = max(0, bisect_right(firsts, key) - 1)
+                to = [(at, False)]
+                if key == firsts[at] and at:
+                    to.append((at - 1, True))
+                if key == lasts[at] and at + 1 < len(firsts):
+                    to.append((at + 1, True))
+                for k, other in to:
+                    row.append(i), slot.append(k), away.append(other)
+            whole = pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array([k for k, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.string()))],
                 names=["id", "url", "host", "path", "kinds", "lines"],
-            )
+            ).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(slot, pa.int32()), pa.array(away, pa.bool_())], names=[*whole.schema.names, "slot", "away"])
 
     def pair(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -219,17 +241,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         for b in batches:
             id_type, done = b.schema.field(0).type, []
             for row in zip(*(each(c) for c in b.columns), strict=True):
-                if now:
+                if now and not now[7]:
                     done.append(settle(before, now, row))
                 before, now = now, row
             if done:
                 yield pack(done)
-        if now:
+        if now and not now[7]:
             yield pack([settle(before, now, None)])
 
-    url = F.col(url_col)
-    read_in = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).alias("html"))
-    order = ["host", "path", "id", "url"]
-    lines = read_in.mapInArrow(read, fields)
-    ranged = lines.repartitionByRange(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = read_in.mapInArrow(read, fields).repartitionById(max(1, len(firsts)), F.col("slot")).sortWithinPartitions(*order, "lines")
     return ranged.mapInArrow(pair, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

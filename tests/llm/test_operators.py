@@ -327,6 +327,20 @@ def test_html_marked_wrappers():
     assert html_text.lines_of("<div hidden><article>no</article></div><nav><article>no</article></nav><p>b</p>")[1] == ["b"]
 
 
+def test_html_differencing_across_ranges(spark):
+    make = lambda x: f"<body><div>Site name</div><p>{x}</p><div>All rights</div></body>"
+    rows = [(i, f"http://h.com/a/{i}", make(f"text {i}")) for i in range(40)] + [(99, None, None)]
+    for parts in ("1", "4", "30"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == {**{i: f"text {i}" for i in range(40)}, 99: ""}
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_shared_lines():
     assert html_text.shared_lines(list("axbyc"), list("abzc")) == {0, 2, 4}
     assert html_text.shared_lines([], ["a"]) == set()
