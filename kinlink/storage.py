@@ -6,24 +6,37 @@ checkpoint or a cached block does not.
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: With this, the shuffle files of a finished plan go at once instead of when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of local sessions by application, where the setting is unset.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, one folder of this session."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process (master ``local[...]``) gets a folder of its own that
+    goes with it; on a cluster it is an error, since executors do not see each other's disks.
+    """
     found = spark.conf.get(SETTING, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinlink-")
-        spark.conf.set(SETTING, found)
-        _delete_on_exit(spark, found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        path = "file://" + tempfile.mkdtemp(prefix="kinlink-")
+        _delete_on_exit(spark, path)
+        _LOCAL[context.applicationId] = path
+    return _LOCAL[context.applicationId]
 
 
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
@@ -38,34 +51,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Holds one setting of the session, and puts back what it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, and read from there."""
+    """``df`` written once as Parquet in the shared folder, and read from there; its shuffle files go with the job."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Writes ``df``, in one folder for each value of ``by`` if given."""
+    with setting(df.sparkSession, TIDY, "true"):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def shuffles(spark: SparkSession) -> int:
-    """Shuffles whose files are still kept."""
-    return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-
-
-def release(spark: SparkSession, down_to: int = 0, rounds: int = 10) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced.
-
-    Python's proxies are detached in the background, so it takes more than one round; ends when no more
-    than ``down_to`` shuffles are left, or after the last round.
-    """
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-        if shuffles(spark) <= down_to:
-            break
