@@ -48,7 +48,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 13 words, in two batches of ascending doc_id."""
+    """Windows of 13 words, in three batches of ascending doc_id; the index is compacted before the last."""
     return dedup_substrings(_read(spark, sf_dir, "documents"), report=True)
 
 

@@ -1,19 +1,22 @@
 """Substring dedup over a log-structured index of window fingerprints.
 
 Documents come in batches of ascending id. Each batch's window fingerprints are merge-joined with the
-sorted, immutable runs that earlier batches left, matches are verified with an independent second
-fingerprint, and the batch's new fingerprints become a run of their own; when runs pile up they are
-compacted into one. Python tasks exchange compressed blocks, one for each pair of task and bucket, so
-that Spark moves a few large rows instead of one row for each window. A task sends each fingerprint
-once for each block it reads: what repeats inside the block is settled there, so that a passage that
-half the documents share does not meet in one task.
+sorted, immutable runs that earlier batches left, matches are verified with a second fingerprint that
+comes from other word hashes, and the batch's new fingerprints become a run of their own; when runs
+pile up they are compacted into one. A match needs 96 equal bits of two independent families: among
+10**13 windows, less than one false match in a hundred corpora is to be expected.
+
+Python tasks exchange blocks, one for each pair of task and bucket, so that Spark moves a few large
+rows instead of one row for each window. A task sends each fingerprint once for each block it reads:
+what repeats inside the block is settled there, so that a passage that half the documents share does
+not meet in one task.
 """
 
 from __future__ import annotations
 
 import functools
-import pickle
 import re
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,26 +26,18 @@ from .. import storage
 from .words import each, text_batches
 
 WINDOW = 13
-#: Bytes of text for each bucket of fingerprints and each group of documents, and in a block of a task.
+#: Bytes of text for each bucket of fingerprints and each group of documents, in a block of a task, and hashed at a time.
 BUCKET_BYTES = 8 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+STRIP_BYTES = 1 << 20
 #: Runs of the index beyond which they are compacted.
 FANOUT = 4
 LAST = (1 << 63) - 1
 BLOCKS = "kind int, b int, blob binary"
 BATCH, RUN, HITS, DOCS = 0, 1, 2, 3
 SPACE = b" \t\n\x0b\x0c\r"
-
-
-@functools.cache
-def _tables():
-    import numpy as np
-
-    rng = np.random.Generator(np.random.PCG64(20240613))
-    space = np.zeros(256, dtype=bool)
-    space[list(SPACE)] = True
-    odd = rng.integers(0, 1 << 63, size=3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return rng.integers(0, 1 << 64, size=256, dtype=np.uint64), space, odd
+#: Bytes of a word whose values are looked up; those further on are computed.
+NEAR = 64
 
 
 def _mix(x):
@@ -55,14 +50,34 @@ def _mix(x):
     return x ^ (x >> np.uint64(33))
 
 
+def _values(byte, offset, family: int):
+    """A pseudo-random number for each byte at each place of a word; no relation between places, unlike powers of a base."""
+    import numpy as np
+
+    place = _mix(offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51AFD7ED + 0x632BE59BD9B4E019 * family))
+    return _mix(place + (byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+
+
+@functools.cache
+def _tables():
+    """White space by byte; for both families the values of the first NEAR places; odd multipliers of the windows."""
+    import numpy as np
+
+    space = np.zeros(256, dtype=bool)
+    space[list(SPACE)] = True
+    byte, offset = np.tile(np.arange(256), NEAR), np.repeat(np.arange(NEAR), 256)
+    odd = np.random.Generator(np.random.PCG64(20240613)).integers(0, 1 << 63, size=2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return space, [_values(byte, offset, k) for k in (0, 1)], odd
+
+
 def word_hashes(data: bytes):
-    """(hash of each word, byte at which each word begins)."""
+    """(two independent hashes of each word, as two arrays, byte at which each word begins)."""
     import numpy as np
 
-    value, space, odd = _tables()
-    hashes, begins, at = [], [], 0
+    space, near, _ = _tables()
+    hashes, begins, at = ([], []), [], 0
     while at < len(data):
-        stop = min(len(data), at + BLOCK_BYTES)
+        stop = min(len(data), at + STRIP_BYTES)
         while stop < len(data) and data[stop] not in SPACE:  # a word is never cut
             stop += 1
         part = np.frombuffer(data, dtype=np.uint8, count=stop - at, offset=at)
@@ -74,42 +89,68 @@ def word_hashes(data: bytes):
             where = np.flatnonzero(inside)
             start = np.searchsorted(where, begin)
             offset = where - np.repeat(begin, np.diff(np.append(start, len(where))))
-            power = np.ones(int(offset.max()) + 1, dtype=np.uint64)
-            power[1:] = odd[0]
-            power = np.multiply.accumulate(power)
-            hashes.append(_mix(np.add.reduceat(value[part[where]] * power[offset], start)))
+            byte = part[where]
+            far = np.flatnonzero(offset >= NEAR)
+            key = np.minimum(offset, NEAR - 1) * 256 + byte
+            for k in (0, 1):
+                value = near[k][key]
+                if len(far):
+                    value[far] = _values(byte[far], offset[far], k)
+                hashes[k].append(_mix(np.add.reduceat(value, start)))
             begins.append(begin + at)
         at = stop
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(begins)
+    if not begins:
+        none = np.zeros(0, np.uint64)
+        return (none, none), np.zeros(0, np.int64)
+    return (np.concatenate(hashes[0]), np.concatenate(hashes[1])), np.concatenate(begins)
 
 
 def window_hashes(words, width: int):
-    """(64-bit fingerprint, independent 16-bit check) of each window of ``width`` words."""
+    """(64-bit fingerprint, independent 32-bit check) of each window of ``width`` words."""
     import numpy as np
 
     _, _, odd = _tables()
-    n = max(0, len(words) - width + 1)
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(width if n else 0):
-        one *= odd[1]
-        one += words[k : k + n]
-        two *= odd[2]
-        two += words[k : k + n]
-    return _mix(one), (_mix(two) >> np.uint64(48)).astype(np.uint16)
+    out = []
+    for k in (0, 1):
+        n = max(0, len(words[k]) - width + 1)
+        total = np.zeros(n, np.uint64)
+        for i in range(width if n else 0):
+            total *= odd[k]
+            total += words[k][i : i + n]
+        out.append(_mix(total))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
 
+#: Types of the arrays in a block, by their number there.
+KINDS = ("<u8", "<i8", "<u4", "<i4", "<i2", "|u1")
+#: Bytes from which a block is compressed.
+LONG = 1 << 10
 
-def _pack(**arrays) -> bytes:
+
+def _pack(*arrays) -> bytes:
+    """Arrays one after another, each behind its type and length; long blocks compressed."""
+    import numpy as np
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts += [struct.pack("<BI", KINDS.index(a.dtype.str), a.size), a.tobytes()]
+    whole = b"".join(parts)
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(whole) if len(whole) >= LONG else b"\0" + whole
 
 
-def _unpack(blob: bytes) -> dict:
+def _unpack(blob: bytes) -> list:
+    import numpy as np
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    whole = zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[:1] == b"\1" else blob[1:]
+    out, at = [], 0
+    while at < len(whole):
+        kind, n = struct.unpack_from("<BI", whole, at)
+        out.append(np.frombuffer(whole, KINDS[kind], n, at + 5))
+        at += 5 + out[-1].nbytes
+    return out
 
 
 def _pack_run(one, two) -> bytes:
@@ -117,14 +158,14 @@ def _pack_run(one, two) -> bytes:
     import numpy as np
 
     gap = np.diff(one, prepend=np.uint64(0))
-    return _pack(gap=np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8).T), two=two)
+    return _pack(gap.view(np.uint8).reshape(-1, 8).T.ravel(), two)
 
 
 def _unpack_run(blob: bytes):
     import numpy as np
 
-    run = _unpack(blob)
-    return np.cumsum(np.ascontiguousarray(run["gap"].T).view(np.uint64).ravel(), dtype=np.uint64), run["two"]
+    gap, two = _unpack(blob)
+    return np.cumsum(np.ascontiguousarray(gap.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64), two
 
 
 def _hit_blocks(docs, pos, two, groups: int) -> Iterator[tuple[int, int, bytes]]:
@@ -137,7 +178,7 @@ def _hit_blocks(docs, pos, two, groups: int) -> Iterator[tuple[int, int, bytes]]
     cut = np.flatnonzero(np.diff(group, prepend=-1))
     for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
         gap = np.diff(pos[a:z], prepend=0).astype(np.int32)
-        yield HITS, int(group[a]), _pack(docs=np.diff(docs[a:z], prepend=0), gap=gap, two=two[a:z])
+        yield HITS, int(group[a]), _pack(np.diff(docs[a:z], prepend=0), gap, two[a:z])
 
 
 def _group_of(docs, groups: int):
@@ -163,7 +204,7 @@ def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: in
     length = np.fromiter(map(len, texts), np.int64, len(texts))
     edge = np.cumsum(length + 1) - length - 1
     first_word = np.searchsorted(begin, edge)
-    n_words = np.diff(np.append(first_word, len(words)))
+    n_words = np.diff(np.append(first_word, len(begin)))
     one, two = window_hashes(words, width)
     n_win = np.maximum(n_words - width + 1, 0)
     row = np.repeat(np.arange(len(ids)), n_win)
@@ -191,7 +232,7 @@ def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: in
     for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
         x = keep[a:z]
         of, back = np.unique(row[x], return_inverse=True)
-        rows.append((BATCH, int(bucket[a]), _pack(docs=ids[of], row=np.diff(back, prepend=0).astype(np.int16 if len(of) < 1 << 15 else np.int64), gap=np.diff(pos[x], prepend=0).astype(np.int32), two=two[x], one=one[x])))
+        rows.append((BATCH, int(bucket[a]), _pack(ids[of], np.diff(back, prepend=0).astype(np.int16 if len(of) < 1 << 15 else np.int64), np.diff(pos[x], prepend=0).astype(np.int32), two[x], one[x])))
     return rows
 
 
@@ -227,10 +268,10 @@ def _match_bucket(groups: int, keep: bool):
                 one, two = _unpack_run(blob)
                 old.append(one), old_check.append(two)
             else:
-                x = _unpack(blob)
-                ones.append(x["one"]), twos.append(x["two"])
-                docs.append(x["docs"][np.cumsum(x["row"], dtype=np.int64)])
-                poss.append(np.cumsum(x["gap"], dtype=np.int64))
+                ids, row, gap, two, one = _unpack(blob)
+                ones.append(one), twos.append(two)
+                docs.append(ids[np.cumsum(row, dtype=np.int64)])
+                poss.append(np.cumsum(gap, dtype=np.int64))
         bucket, rows = table["b"][0].as_py(), []
         if ones:
             one, two, doc, pos = map(np.concatenate, (ones, twos, docs, poss))
@@ -279,8 +320,8 @@ def _merge_runs(table):
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints in a folder; ``buckets`` is fixed for its life."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = FANOUT):
+        self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
         self.runs: list[str] = []
         self._made = 0
 
@@ -300,12 +341,12 @@ class FingerprintIndex:
             storage.remove(self.spark, f"{x}/kind={RUN}")
         self.runs = []
 
-    def add(self, run: str, fanout: int = FANOUT) -> None:
+    def add(self, run: str) -> None:
         """Adds a written run; more than ``fanout`` runs are compacted into one."""
         self.runs.append(run)
-        if len(self.runs) > fanout:
+        if len(self.runs) > self.fanout:
             old, to = self.runs, self.new_run()
-            self.read().groupBy("b").applyInArrow(_merge_runs, BLOCKS).write.partitionBy("kind").parquet(to)
+            storage.write(self.read().groupBy("b").applyInArrow(_merge_runs, BLOCKS), to, by="kind")
             self.runs = [to]
             for x in old:
                 storage.remove(self.spark, f"{x}/kind={RUN}")
@@ -330,7 +371,7 @@ def match_batch(docs: DataFrame, index: FingerprintIndex, *, groups: int, width:
 
     found = step.withColumn("g", settled).repartition(max(n, min(index.buckets, 4 * n)), "g").groupBy("g").applyInArrow(either, BLOCKS)
     to = storage.new_path(spark, "matched")
-    found.write.partitionBy("kind").parquet(to)
+    storage.write(found, to, by="kind")
     made = spark.read.schema(BLOCKS).parquet(to)
     if keep:
         index.add(to)
@@ -366,10 +407,11 @@ def covered(words, hits, checks, width: int):
     import numpy as np
 
     one, two = window_hashes(words, width)
+    n = len(words[0])
     ok = hits < len(one)
     hits, checks = hits[ok], checks[ok]
     hits = hits[two[hits] == checks]  # of another text with the same id
-    cover = np.zeros(len(words) + 1, np.int64)
+    cover = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(np.isin(one, one[hits]))
     cover[at] += 1
     np.add.at(cover, at + width, -1)
@@ -393,11 +435,11 @@ def _finish(id_at: int, text_at: int, width: int, report: bool):
         found, parts = {}, []
         for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
             if kind == HITS:
-                x = _unpack(blob)
-                docs, pos = np.cumsum(x["docs"]), np.cumsum(x["gap"], dtype=np.int64)
+                docs, pos, two = _unpack(blob)
+                docs, pos = np.cumsum(docs), np.cumsum(pos, dtype=np.int64)
                 cut = np.flatnonzero(np.diff(docs, prepend=-1 if not len(docs) else docs[0] - 1))
                 for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(docs)], strict=True):
-                    found.setdefault(int(docs[a]), []).append((pos[a:z], x["two"][a:z]))
+                    found.setdefault(int(docs[a]), []).append((pos[a:z], two[a:z]))
             else:
                 parts.append(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all())
         if not parts:
@@ -432,32 +474,35 @@ def dedup_substrings(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = WINDOW,
-    batches: int = 2,
+    batches: int = 3,
+    fanout: int = 1,
     index: FingerprintIndex | None = None,
     report: bool = False,
 ) -> DataFrame:
     """Removes each word covered by a window of ``width`` words that also starts in a document of smaller id.
 
-    ``batches`` of ascending id, the later ones larger, pass through the index.
+    ``batches`` of ascending id, the later ones larger, pass through an index that holds ``fanout`` runs
+    before it compacts them.
     Windows are judged on the input. Without ``report``: the rows of ``docs`` with the words taken out
     of the text (with the white space before them), less those that lose all words. With ``report``:
     ``id_col``, n_words, n_removed, kept_sha256 (kept words joined by one space) for every row.
 
-    With ``index``, all documents are matched with its history as well, and their fingerprints added.
+    Ids of other types than whole numbers are refused (ValueError). With ``index``, all documents are matched with its history as well, and their fingerprints added.
     Null and empty texts have no words and stay as they are. Rows of equal id never remove words from
     each other; a null id counts as the largest. Extra columns are carried along whatever their names.
     An empty table gives no rows.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    before = storage.shuffles(spark)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    if docs.schema[id_at].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col}: whole numbers are needed, since the smallest id keeps a passage")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.percentile_approx(key, [(i / batches) ** 1.7 for i in range(1, batches)] or [0.5], 10_000)).first()
     groups = max(8, -(-size[0] // BUCKET_BYTES))
     own = index is None
     if own:
-        index = FingerprintIndex(spark, storage.new_path(spark, "fingerprints"), groups)
+        index = FingerprintIndex(spark, storage.new_path(spark, "fingerprints"), groups, fanout)
     edges = sorted(set(size[1] or []))[: batches - 1] if batches > 1 else []
     source = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     hits = None
@@ -469,7 +514,6 @@ def dedup_substrings(
             part = part.filter(F.col("id") <= edges[k])
         found = match_batch(part, index, groups=groups, width=width, keep=not own or k < len(edges))
         hits = found if hits is None else hits.unionByName(found)
-        storage.release(spark, before)
     if own:
         index.drop()
     names = [f"c{i}" for i in range(len(docs.columns))]

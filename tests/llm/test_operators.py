@@ -143,7 +143,7 @@ def brute_substrings(rows, width=13):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 2, 7])
+@pytest.mark.parametrize("batches", [1, 3, 7])
 def test_substrings_against_brute_force(spark, batches):
     texts = corpus()
     docs = clashing(frame(spark, texts))
@@ -174,6 +174,32 @@ def test_substrings_same_or_null_ids_at_other_places(spark):
     assert got[4:] == [(8, 21, 20), (8, 23, 20), (99, 21, 20), (99, 23, 20)]
 
 
+def test_substrings_tell_words_of_one_hash_polynomial_apart(spark):
+    """Two words of 512 letters in Thue-Morse order and its opposite: equal under every polynomial modulo 2**64."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(512))
+    b = a.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(12))
+    got = {r[0]: r["n_removed"] for r in substring_dedup.dedup_substrings(frame(spark, [f"{head} {a}", f"{head} {b}", f"{head} {a}"]), report=True).collect()}
+    assert got == {0: 0, 1: 0, 2: 13}
+    (one, two), _ = substring_dedup.word_hashes(f"{a} {b} x x".encode())
+    assert len(set(one.tolist())) == len(set(two.tolist())) == 3 and one[0] != two[0]
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3000):
+        arrays = [rng.integers(0, 1 << 15, n).astype(k) for k in ("<u8", "<i8", "<u4", "<i4", "<i2")]
+        assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(arrays, substring_dedup._unpack(substring_dedup._pack(*arrays)), strict=True))
+        one = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        back = substring_dedup._unpack_run(substring_dedup._pack_run(one, arrays[2]))
+        assert (back[0] == one).all() and (back[1] == arrays[2]).all()
+
+
+def test_substrings_refuse_text_ids(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        substring_dedup.dedup_substrings(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_index_grows_and_compacts(spark, tmp_path):
     index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", 8)
     p = " ".join(f"w{i}" for i in range(20))
