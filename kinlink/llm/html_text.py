@@ -1,10 +1,11 @@
-"""Main text of web pages: nearest-URL page differencing over marked lines.
-
-Pages are ordered by host and URL path; each is paired with the neighbour whose path has most in
-common with its own, their text lines are aligned by a longest common subsequence, and lines that both
-have are template, not article. Lines in elements that are no article whatever they say (menus,
-footers, forms, adverts ...) are marked while the page is read and go without a partner. Lines inside
-an ``article`` or ``main`` element are never deleted for being shared: copies of one article under two
+"""Main text of web pages: nearest-URL page differencing over lines.
+
+Pages are ordered by host and the segments of their URL paths; each is paired with the nearer of its
+two neighbours there, the text lines of both (menus and footers included) are aligned by a longest
+common subsequence, and lines that both have are template: they are deleted. Differencing cannot see
+what only one page has, such as its advert, so lines in elements that are no article whatever they say
+are marked while the page is read and go as well. Lines inside an ``article`` or ``main`` are never
+deleted for being shared: two articles may quote the same passage, and copies of one article under two
 addresses of a host would delete each other.
 """
 
@@ -35,8 +36,11 @@ MARKS = frozenset(
     "pagination pager sidebar sidebars footer header masthead toolbar share sharing social related recommended recommendations comment "
     "comments commentlist respond disqus reply replies widget widgets search login alert complementary contentinfo".split()
 )
-CONTENT, OTHER = 1, 0
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: What a line stands in: an element that is never article, none of note, an ``article`` or ``main``.
+NEVER_LINE, OTHER, CONTENT = 0, 1, 2
+#: A whole tag with its quoted attributes, and one up to the next bracket where a quote is left open.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
@@ -55,145 +59,264 @@ def _hidden(attributes: str) -> bool:
     return any(name.lower() == "hidden" or (name.lower() == "aria-hidden" and (a or b or c).lower() == "true") for name, a, b, c in NAMES.findall(attributes))
 
 
-def lines_of(page: str | None) -> tuple[bytes, list[str]]:
-    """(kinds, lines) of a page in order, without what is marked as no article.
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, value) of a page in order: text, cdata, open, close; in time linear in its length.
 
-    An ``article`` or ``main`` that is not marked itself is content even in a marked element, though not
-    in a hidden one or in one that is never article. A line is the text of a block, character references decoded, white space turned into one space.
-    If the page has an ``article`` or ``main`` element, only lines in it are returned, as CONTENT;
-    else all lines, as OTHER.
+    A quote that is never closed ends with the tag's bracket, in this tag and all that follow; a bracket that
+    no other closes is text, and so is one that begins no tag. What a raw element holds is passed over.
+    """
+    at, end, quoted = 0, len(source), True
+    last = source.rfind(">")
+    while at < end:
+        if source[at] != "<":
+            stop = source.find("<", at)
+            stop = end if stop < 0 else stop
+            yield "text", "", source[at:stop]
+            at = stop
+            continue
+        if source.startswith("<!--", at):
+            stop = source.find("-->", at + 4)
+            at = end if stop < 0 else stop + 3
+            continue
+        if source.startswith("<![CDATA[", at):
+            stop = source.find("]]>", at)
+            yield "cdata", "", source[at + 9 : end if stop < 0 else stop]
+            at = end if stop < 0 else stop + 3
+            continue
+        m = None
+        if at < last:
+            if source[at + 1] in "!?":
+                at = source.find(">", at) + 1
+                continue
+            m = TAG.match(source, at) if quoted else None
+            if not m and (m := PLAIN_TAG.match(source, at)):
+                quoted = False
+        if not m:
+            yield "text", "", "<"
+            at += 1
+            continue
+        at = m.end()
+        slash, name, attributes = m.groups()
+        name = name.lower()
+        if slash:
+            yield "close", name, ""
+            continue
+        if name in RAW:
+            if not attributes.rstrip().endswith("/") or name in ("script", "style"):
+                stop = _end_of(name).search(source, at)
+                at = stop.end() if stop else end
+            yield "raw", name, ""
+            continue
+        yield "open", name, attributes
+
+
+@functools.cache
+def _end_of(raw: str):
+    return re.compile(rf"</{raw}\s*>", re.I)
+
+
+def all_lines(page: str | None) -> tuple[bytes, list[str]]:
+    """(kinds, lines): the text of every block in order, character references decoded, white space turned into one space.
+
+    An ``article`` or ``main`` that is not marked itself is CONTENT even in a marked element, though not
+    in a hidden one or in one that is never article.
     """
     stack: list[tuple[str, bool, bool, bool]] = []  # name, no article, in article, no article whatever it holds
+    held: dict[str, int] = {}
     kinds, lines, text = bytearray(), [], []
     never = content = False
-    raw = None
 
     def flush():
         nonlocal text
         if text:
             line = " ".join(refs.unescape("".join(text)).split())
             if line:
-                kinds.append(CONTENT if content else OTHER)
+                kinds.append(NEVER_LINE if never else CONTENT if content else OTHER)
                 lines.append(line)
             text = []
 
-    source = page or ""
-    at, end = 0, len(source)
-    while at < end:
-        if raw:  # up to the end tag, whatever it holds
-            stop = re.compile(rf"</{raw}\s*>", re.I).search(source, at)
-            at, raw = (stop.end() if stop else end), None
+    for kind, name, value in tokens(page or ""):
+        if kind in ("text", "cdata"):
+            text.append(value if kind == "text" else refs.escape(value))
             continue
-        m = TOKEN.match(source, at)
-        if not m:  # an open bracket that closes nowhere
-            text.append("" if never else source[at])
-            at += 1
-            continue
-        at = m.end()
-        cdata, slash, name, attributes, plain = m.groups()
-        if plain is not None or cdata is not None:
-            if not never:
-                text.append(plain if plain is not None else refs.escape(cdata))
-            continue
-        if name is None:
-            continue
-        name = name.lower()
         if name == "br":
-            text.append("" if never else " ")
+            text.append(" ")
             continue
         if name in BLOCK or name in NEVER:
             flush()
-        if name in VOID:
+        if name in VOID or kind == "raw":
             continue
-        if slash:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-        else:
-            if name in RAW:
-                raw = None if attributes.rstrip().endswith("/") and name not in ("script", "style") else name
+        if kind == "close":
+            if not held.get(name):
                 continue
+            flush()
+            while True:
+                out = stack.pop()[0]
+                held[out] -= 1
+                if out == name:
+                    break
+        else:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            if attributes.rstrip().endswith("/"):
+                held[stack.pop()[0]] -= 1
+            if value.rstrip().endswith("/"):
                 continue
             shut = (bool(stack) and stack[-1][3]) or name in NEVER
             own = False
-            if attributes.strip() and name not in ("html", "body"):
-                own = _marked(attributes)
-                shut = shut or (name not in ("article", "main") and _hidden(attributes))
+            if value.strip() and name not in ("html", "body"):
+                own = _marked(value)
+                shut = shut or (name not in ("article", "main") and _hidden(value))
             if name in ("article", "main"):
                 out = shut or (never and own)
             else:
                 out = shut or never or own or (name == "header" and not content)
-            stack.append((name, out, content or (name in ("article", "main") and not out), shut))
+            inside = content or (name in ("article", "main") and not out)
+            if (out, inside) != (never, content):
+                flush()
+            stack.append((name, out, inside, shut))
+            held[name] = held.get(name, 0) + 1
         never, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()
-    if CONTENT in kinds:
-        lines = [x for k, x in zip(kinds, lines, strict=True) if k == CONTENT]
-        kinds = bytearray([CONTENT]) * len(lines)
     return bytes(kinds), lines
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (by matching pairs, in r log n)."""
-    from bisect import bisect_left
-
-    where: dict[str, list[int]] = {}
+def lines_of(page: str | None) -> tuple[bytes, list[str]]:
+    """(kinds, lines) that may be main text without a partner: those in an ``article`` or ``main`` if there are any, else all unmarked ones."""
+    kinds, lines = all_lines(page)
+    best = max(kinds, default=OTHER)
+    kept = [x for k, x in zip(kinds, lines, strict=True) if k == best and k != NEVER_LINE]
+    return bytes([best]) * len(kept), kept
+
+
+def _rows(a: list[int], b: list[int], reverse: bool = False) -> list[int]:
+    """For each item of ``a`` the row of the LCS table with ``b`` as bits: bit j is zero where the length grows at j."""
+    where: dict[int, int] = {}
+    if reverse:
+        a, b = a[::-1], b[::-1]
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    links: list = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j), links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+        where[x] = where.get(x, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    row, out = full, []
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        out.append(row)
     return out
 
 
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+#: Bits of LCS rows that are kept at once; a larger pair is halved, in linear memory.
+TABLE_BITS = 1 << 26
+
+
+def _align(a: list[int], b: list[int], at: int, out: set[int]) -> None:
+    """Adds to ``out`` the positions in ``a``, counted from ``at``, of a longest common subsequence with ``b``."""
+    jobs = [(a, b, at)]
+    while jobs:
+        a, b, at = jobs.pop()
+        lead = 0
+        while lead < len(a) and lead < len(b) and a[lead] == b[lead]:
+            out.add(at + lead)
+            lead += 1
+        a, b, at = a[lead:], b[lead:], at + lead
+        while a and b and a[-1] == b[-1]:
+            out.add(at + len(a) - 1)
+            a, b = a[:-1], b[:-1]
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            if a[0] in b:
+                out.add(at)
+            continue
+        if len(a) * len(b) > TABLE_BITS:
+            half = len(a) // 2
+            one, two = _rows(a[:half], b)[-1], _rows(a[half:], b, reverse=True)[-1]
+            m = len(b)
+            ahead = [0]
+            for j in range(m):
+                ahead.append(ahead[-1] + 1 - (one >> j & 1))
+            best, behind, cut = ahead[m], 0, m
+            for j in range(m - 1, -1, -1):
+                behind += 1 - (two >> (m - 1 - j) & 1)
+                if ahead[j] + behind > best:
+                    best, cut = ahead[j] + behind, j
+            jobs += [(a[:half], b[:cut], at), (a[half:], b[cut:], at + half)]
+            continue
+        rows = _rows(a, b)
+        j = len(b)
+        length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count() if i >= 0 else 0
+        i, n = len(a) - 1, length(len(a) - 1, len(b))
+        while n:
+            if length(i - 1, j) == n:
+                i -= 1
+                continue
+            out.add(at + i)  # the row grows here: a[i] is matched by its last place in b that begins this length
+            n -= 1
+            j -= 1
+            while a[i] != b[j] or length(i - 1, j) != n:
+                j -= 1
+            i -= 1
+
+
+def shared_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``; rows of the table are whole numbers of len(b) bits."""
+    both = set(a) & set(b)
+    number = {x: i for i, x in enumerate(sorted(both))}
+    place = [i for i, x in enumerate(a) if x in both]
+    found: set[int] = set()
+    _align([number[a[i]] for i in place], [number[x] for x in b if x in both], 0, found)
+    return {place[i] for i in found}
+
+
+#: Share of a page's unmarked characters that a partner must share to count as a copy of it, not as a neighbour.
+COPY = 0.9
+
 
+def main_text(kinds: bytes, lines: list[str], others: list[list[str]]) -> str:
+    """What is left of a page.
 
-def main_text(kinds: bytes, lines: list[str], other: list[str] | None) -> str:
-    """The lines left after those shared with the partner are taken out, unless inside an article."""
-    if other is None or CONTENT in kinds:
-        return "\n".join(lines)
-    gone = shared_lines(lines, other)
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    Lines outside ``article`` and ``main`` that the page shares with its partner are deleted; of the rest,
+    marked lines go, and unmarked ones too if the page has an ``article`` or ``main``. ``others``: lines of
+    the candidates, nearest first; a copy of the page is passed over.
+    """
+    content = CONTENT in kinds
+    weight = sum(len(x) for k, x in zip(kinds, lines, strict=True) if k)
+    gone: set[int] = set()
+    for other in others:
+        shared = shared_lines(lines, other)
+        if weight and sum(len(lines[i]) for i in shared if kinds[i]) >= COPY * weight:
+            continue
+        gone = shared
+        break
+    keep = CONTENT if content else OTHER
+    return "\n".join(x for i, (k, x) in enumerate(zip(kinds, lines, strict=True)) if k == keep and (k == CONTENT or i not in gone))
+
+
+def apart(a: list[str], b: list[str]) -> int:
+    """Steps from one URL path to another over their common beginning, by whole segments."""
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return len(a) + len(b) - 2 * n
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text (lines joined by one newline) and n_chars of every page.
 
-    Null and empty pages have an empty text. Pages without a neighbour of their host are paired with
-    none. Ties between neighbours go to the earlier one; repeated rows stay. A page with a null url
+    Null and empty pages have an empty text. Within a host, pages stand in the order of their paths'
+    segments, so the nearest path is the one before or the one after; of two as near, the earlier. Pages
+    without a neighbour of their host are paired with none. Repeated rows stay. A page with a null url
     belongs to the empty host. An empty table gives no rows. Only lines are shuffled, by ranges of (host,
-    path, id, url), so a host of any size is spread over tasks; the first and last page of each range go
-    to the adjoining ranges too, so the text of a page does not depend on how the ranges fall.
+    segments, id, url), so a host of any size is spread over tasks; the first and last page of each range
+    go to the adjoining ranges too, so the text of a page does not depend on how the ranges fall.
     """
     from .url_filter import host_of, path_of
 
     text_batches(pages.sparkSession)
     kind = pages.select(id_col).schema[0].dataType.simpleString()
-    fields = f"id {kind}, url string, host string, path string, kinds binary, lines array<string>, slot int, away boolean"
     url = F.col(url_col)
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "id", "url"]
-    read_in = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).alias("html"))
+    order = ["host", "segments", "id", "url"]
+    fields = f"host string, segments array<string>, id {kind}, url string, kinds binary, lines array<string>, slot int, away boolean"
+    read_in = pages.select(host_of(url).alias("host"), F.split(path_of(url), "/").alias("segments"), F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).alias("html"))
     ranges = read_in.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part"))
     ends = ranges.agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")).collect()  # one row for each range
     rank = lambda key: tuple((x is not None, x if x is not None else 0) for x in key)
@@ -205,10 +328,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         import pyarrow as pa
 
         for b in batches:
-            found = [lines_of(x) for x in each(b.column(4))]
+            found = [all_lines(x) for x in each(b.column(4))]
             row, slot, away = [], [], []
-            for i, (x, u, host, path) in enumerate(zip(*(each(c) for c in b.columns[:4]), strict=True)):
-                key = rank((host, path, x, u))
+            for i, key in enumerate(zip(*(each(c) for c in b.columns[:4]), strict=True)):
+                key = rank(key)
                 at = max(0, bisect_right(firsts, key) - 1)
                 to = [(at, False)]
                 if key == firsts[at] and at:
@@ -218,8 +341,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 for k, other in to:
                     row.append(i), slot.append(k), away.append(other)
             whole = pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array([k for k, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.string()))],
-                names=["id", "url", "host", "path", "kinds", "lines"],
+                [*b.columns[:4], pa.array([k for k, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.string()))], names=[*order, "kinds", "lines"]
             ).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(slot, pa.int32()), pa.array(away, pa.bool_())], names=[*whole.schema.names, "slot", "away"])
 
@@ -229,9 +351,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         before = now = None
 
         def settle(a, x, z):
-            near = [(-_common(x[3], y[3]), k, y) for k, y in enumerate((a, z)) if y and y[2] == x[2]]
-            text = main_text(x[4], x[5], min(near, key=lambda p: p[:2])[2][5] if near else None)
-            return x[0], x[1], text, len(text)
+            near = sorted(((apart(x[1] or [], y[1] or []), k, y) for k, y in enumerate((a, z)) if y and y[0] == x[0]), key=lambda p: p[:2])
+            text = main_text(x[4], x[5], [y[5] for _, _, y in near])
+            return x[2], x[3], text, len(text)
 
         def pack(rows):
             ids, urls, texts, sizes = zip(*rows, strict=True)
@@ -239,7 +361,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
         id_type = None
         for b in batches:
-            id_type, done = b.schema.field(0).type, []
+            id_type, done = b.schema.field(2).type, []
             for row in zip(*(each(c) for c in b.columns), strict=True):
                 if now and not now[7]:
                     done.append(settle(before, now, row))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -332,7 +333,7 @@ def test_html_lines():
     page = """<html><head><title>T</title><style>p{}</style><script>x="</p>"</script></head><body><nav>menu</nav><!-- c --><div class="ad">buy</div>
     <article><h1>Head &amp;  more</h1><p><b>one<br>two<p>three &lt;b&gt;</p><div class="comments"><p>first!</p></div><form>f</form><ul><li>a<li>b</ul></article><aside>side</aside><footer>&copy;</footer>"""
     assert html_text.lines_of(page)[1] == ["Head & more", "one two", "three <b>", "a", "b"]
-    assert html_text.lines_of(None) == (b"", []) and html_text.lines_of("<") == (b"\0", ["<"])
+    assert html_text.lines_of(None) == (b"", []) and html_text.lines_of("<") == (bytes([html_text.OTHER]), ["<"])
     assert html_text.lines_of("plain & text")[1] == ["plain & text"]
 
 
@@ -367,9 +368,84 @@ def test_html_differencing_across_ranges(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_shared_lines():
+def brute_shared(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 6])
+def test_shared_lines(monkeypatch, bits):
+    monkeypatch.setattr(html_text, "TABLE_BITS", bits)
     assert html_text.shared_lines(list("axbyc"), list("abzc")) == {0, 2, 4}
     assert html_text.shared_lines([], ["a"]) == set()
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ([rng.choice("abcdexyz"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        got = sorted(html_text.shared_lines(a, b))
+        rest = iter(b)
+        assert len(got) == brute_shared(a, b) and all(a[i] in rest for i in got)
+
+
+def brute_pages(rows):
+    """Texts of pages (id, url, lines outside an article, lines in one): nearest path of the host by a scan over all its pages."""
+    split = lambda u: (u.split("://")[1].split("/")[0], ["", *u.split("://")[1].split("/")[1:]])
+    out = {}
+    for i, url, around, inside in rows:
+        if inside is not None:
+            out[i] = "\n".join(inside)
+            continue
+        host, path = split(url)
+        key = lambda r: (split(r[1])[1], r[0], r[1])
+        own = sorted((r for r in rows if split(r[1])[0] == host), key=key)
+        at = [r[0] for r in own].index(i)
+        near = sorted((html_text.apart(path, split(own[k][1])[1]), k) for k in (at - 1, at + 1) if 0 <= k < len(own))
+        text = list(around)
+        for _, k in near:
+            other = [*own[k][2], *(own[k][3] or [])]
+            shared = html_text.shared_lines(around, other)
+            if sum(len(around[x]) for x in shared) < html_text.COPY * sum(map(len, around)):
+                text = [x for n, x in enumerate(around) if n not in shared]
+                break
+        out[i] = "\n".join(text)
+    return out
+
+
+def test_html_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        host, section = f"h{rng.randrange(3)}.com", rng.choice(("news", "blog/a", "blog/b"))
+        around = [f"site {host}", f"section {section}", f"own words of page {i} that are long enough to count as text", "all rights reserved"]
+        inside = [f"article {i}", "a shared quotation"] if i % 7 == 0 else None
+        rows.append((i, f"http://{host}/{section}/{rng.randrange(40)}", around, inside))
+    make = lambda around, inside: "<body>" + "".join(f"<div>{x}</div>" for x in around) + (f"<article>{''.join(f'<p>{x}</p>' for x in inside)}</article>" if inside else "") + "</body>"
+    pages = spark.createDataFrame([(i, u, make(a, x)) for i, u, a, x in rows], "page_id long, url string, html string")
+    want, before = brute_pages(rows), spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "8", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r["page_id"]: r["text"] for r in html_text.extract(pages.repartition(int(parts))).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_html_copies_and_repeated_rows(spark):
+    lines = "<body><div>Site</div><div>A long text that two addresses of the host both show to their readers.</div></body>"
+    other = "<body><div>Site</div><div>Something else.</div></body>"
+    rows = [(1, "http://a.com/x", lines), (1, "http://a.com/x", lines), (2, "http://a.com/x/", lines), (3, "http://a.com/y", other)]
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert len(got) == 4 and all("A long text" in t for i, t in got if i < 3) and got[3] == (3, "Something else.")
+
+
+@pytest.mark.parametrize("page", ['<a b="' * 170_000, "<" * 1_000_000, "<div>" * 100_000 + "</p>" * 100_000, "<![CDATA[" * 100_000, "<!" * 500_000, "<p>same</p>" * 90_000])
+def test_malformed_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    kinds, lines = html_text.all_lines(page)
+    html_text.main_text(kinds, lines, [lines[1:]])
+    assert time.perf_counter() - begin < 8
 
 
 # 9 languages
