@@ -3,7 +3,8 @@
 The CGK random walk writes a sequence of words as a longer one so that few edits become few differing
 places. Walks over item-sized windows of a document and over the benchmark items are sampled at a few
 places; windows whose samples equal an item's in any repetition are candidates, and an exact edit
-distance decides. Before that, windows that cannot be within the allowed edits are passed over: with
+distance decides. How many repetitions an item's length needs follows from a target recall at the
+largest number of edits that it allows. Before that, windows that cannot be within the allowed edits are passed over: with
 at most k edits, one of k + 1 pieces of the item stands unchanged in the window, so only windows
 around a shared run of GRAM words are walked (no loss while every item has n >= GRAM * (k + 1)).
 """
@@ -15,14 +16,19 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import materialize
 from .words import each, text_batches
 
 #: Share of an item's words that may be edited.
 EDITS = 0.2
 GRAM = 4
-#: Places sampled from a walk, and repetitions with fresh walks and places.
-PLACES, REPEATS = 4, 16
+#: Share of passages at the largest number of allowed edits that the walks of an item must find, and places sampled from a walk.
+RECALL, PLACES = 0.985, 3
+#: Edited copies by which the repetitions for an item length are chosen, and repetitions tried together.
+TRIALS, STEP = 256, 8
 #: Characters of benchmark that one pass holds in each task; a larger benchmark takes more passes.
 PASS_CHARS = 4 << 20
 
@@ -75,17 +81,17 @@ def allowed(n: int) -> int:
 
 
 def walk(ids, n: int, seeds):
-    """CGK walks: (rows, 2n) words written, -1 past the end, for (rows, n) word numbers and a seed for each row.
+    """CGK walks: (rows, n) words written, -1 past the end, for (rows, n) word numbers and a seed for each row.
 
     At step j the word under the pointer is written, and the pointer moves on if the bit that step j
-    gives to this word is set. A whole walk takes 3n steps; only 2n of them are sampled.
+    gives to this word is set. A whole walk takes up to 3n steps; only the first n are sampled.
     """
     import numpy as np
 
     row = np.arange(len(ids))
     at = np.zeros(len(ids), np.int64)
     salt = seeds.astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE63)
-    steps = max(PLACES, 2 * n)
+    steps = max(PLACES, n)
     out = np.full((len(ids), steps), -1, np.int64)
     for j in range(steps):
         live = at < n
@@ -98,21 +104,49 @@ def walk(ids, n: int, seeds):
     return out
 
 
-@functools.cache
 def places(n: int, seed: int):
-    """PLACES steps of a walk over n words; early enough that most walks have not ended."""
+    """PLACES steps of a walk over n words, in the first half: later ones have met more edits."""
     import numpy as np
 
-    return np.sort(np.random.default_rng(1000 + seed).choice(max(PLACES, 2 * n), PLACES, replace=False))
+    return np.sort(np.random.default_rng(1000 + seed).choice(max(PLACES, n), PLACES, replace=False))
 
 
-def sampled(ids, n: int):
-    """(rows, REPEATS, PLACES) words that the walks of each repetition write at its places."""
+def sampled(ids, n: int, first: int, last: int):
+    """(rows, repetitions, PLACES) words that the walks of repetitions ``first`` to ``last`` write at their places."""
     import numpy as np
 
-    seeds = np.tile(np.arange(REPEATS), len(ids))
-    written = walk(np.repeat(ids, REPEATS, axis=0), n, seeds).reshape(len(ids), REPEATS, -1)
-    return np.stack([written[:, r, places(n, r)] for r in range(REPEATS)], axis=1)
+    count = last - first
+    seeds = np.tile(np.arange(first, last), len(ids))
+    written = walk(np.repeat(ids, count, axis=0), n, seeds).reshape(len(ids), count, -1)
+    return np.stack([written[:, r, places(n, first + r)] for r in range(count)], axis=1)
+
+
+@functools.cache
+def repeats(n: int) -> int:
+    """Repetitions by which RECALL of the windows at the largest number of edits meet their item in one of them.
+
+    Measured on TRIALS copies of n different words with ``allowed(n)`` random edits (a word replaced, taken
+    out or put in) and other words after them; the same for every item of that length.
+    """
+    import numpy as np
+
+    most = allowed(n)
+    if not most:
+        return STEP
+    rng = np.random.default_rng(n)
+    windows = np.empty((TRIALS, n), np.int64)
+    for t in range(TRIALS):
+        words = list(range(n))
+        for k in range(most):
+            i, kind = int(rng.integers(len(words))), int(rng.integers(3))
+            words[i : i + (kind != 2)] = [] if kind == 1 else [n + k]
+        windows[t] = (words + list(range(2 * n, 3 * n)))[:n]
+    item, met, done = np.arange(n)[None], np.zeros(TRIALS, bool), 0
+    while met.mean() < RECALL:
+        now = sampled(item, n, done, done + STEP)
+        met |= (sampled(windows, n, done, done + STEP) == now).all(axis=2).any(axis=1)
+        done += STEP
+    return done
 
 
 def distance_within(item: list, window: list, most: int) -> int:
@@ -157,7 +191,7 @@ class Items:
         self.samples = {}
         for n, ks in by_size.items():
             ids = np.array([self.items[k][1] for k in ks])
-            got = sampled(ids, n)
+            got = sampled(ids, n, 0, repeats(n))
             for k, sample in zip(ks, got, strict=True):
                 self.samples[k] = sample
 
@@ -209,90 +243,106 @@ class Items:
             if same.any():  # equal words take equal walks
                 found.append((key, int(at[same.argmax()]), 0))
                 continue
-            hit = (sampled(window, n) == self.samples[k]).all(axis=2).any(axis=1)
             best, where = most + 1, -1
-            for b in at[hit].tolist():
-                d = distance_within(item, ids[max(0, b - most) : b + n + most].tolist(), most)
-                if d < best:
-                    best, where = d, b
-                if best == 0:
+            left = np.arange(len(at))
+            for r in range(0, len(self.samples[k]), STEP):  # a window that has met the item needs no further walks
+                hit = (sampled(window[left], n, r, r + STEP) == self.samples[k][r : r + STEP]).all(axis=2).any(axis=1)
+                for b in at[left[hit]].tolist():
+                    d = distance_within(item, ids[max(0, b - most) : b + n + most].tolist(), most)
+                    if (d, b) < (best, where) or where < 0 and d <= most:
+                        best, where = d, b
+                left = left[~hit]
+                if where >= 0 or not len(left):
                     break
             if where >= 0:
                 found.append((key, where, best))
         return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """(key, text) of the benchmark in blocks of PASS_CHARS characters; the driver holds one block at a time."""
+    held, size = [], 0
+    for r in benchmark.select(F.col(item_col), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= PASS_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
     """(id, item, at, edits): benchmark items found in whole documents, once for each document and item.
 
     An item is found if some stretch of the document is within EDITS of its words, words compared in
-    lower case and without marks at their ends. Null and empty texts hold nothing; items without words
-    are never found; repeated rows are reported each. The benchmark is a stated query set: blocks of
-    PASS_CHARS characters are held in the tasks in turn, against all documents.
+    lower case and without marks at their ends; ``at`` is a word near which it stands, and ``edits`` the
+    fewest of the windows that met it first. Null and empty texts hold nothing; items without words
+    are never found; repeated rows are reported each; keys may be of any type. The benchmark is a stated
+    query set: blocks of PASS_CHARS characters are held in the tasks in turn, against all documents. With
+    more than one block, the rows of each are written to the shared folder before the next is read.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    rows = benchmark.select(item_col, "text").filter(F.col("text").isNotNull())
-    blocks, held, size = [], [], 0
-    for r in rows.toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= PASS_CHARS:
-            blocks.append(held)
-            held, size = [], 0
-    blocks += [held] if held or not blocks else []
-    kinds = docs.select(id_col).schema[0].dataType.simpleString(), rows.schema[0].dataType.simpleString()
-    out = None
-    for block in blocks:
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-            _scan(spark.sparkContext.broadcast(Items(block))), f"id {kinds[0]}, item {kinds[1]}, at long, edits int"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("id", kinds[0]), T.StructField("item", kinds[1]), T.StructField("at", T.LongType()), T.StructField("edits", T.IntegerType())])
+    types = to_arrow_schema(schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    def scan(block):
+        def found(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-def _scan(block):
-    def scan(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+            items = block.value
+            for b in batches:
+                ids, keys, ats, edits = [], [], [], []
+                for n, t in enumerate(each(b.column(1))):
+                    for key, at, d in items.search(items.numbers.of(t)):
+                        ids.append(n), keys.append(key), ats.append(at), edits.append(d)
+                columns = [b.column(0).take(pa.array(ids, pa.int64())), keys, ats, edits]
+                yield pa.RecordBatch.from_arrays([columns[0].cast(types[0].type), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(types)[1:], strict=True))], names=types.names)
 
-        items = block.value
-        for b in batches:
-            ids, keys, ats, edits = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
-                for key, at, d in items.search(items.numbers.of(t)):
-                    ids.append(i), keys.append(key), ats.append(at), edits.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64() if not keys or isinstance(keys[0], int) else None), pa.array(ats, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item", "at", "edits"])
+        return found
+
+    out = spark.createDataFrame([], schema)
+    held, parts = None, 0
+    for block in item_blocks(benchmark, item_col, item_text):
+        if held is not None:
+            out = out.unionByName(materialize(held[0], "leaks"))
+            parts += 1
+            held[1].destroy()
+        shared = spark.sparkContext.broadcast(Items(block))
+        held = rows.mapInArrow(scan(shared), schema), shared
+    return out if held is None else out.unionByName(held[0]) if parts else held[0]
 
-    return scan
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; all columns stay. Decided row by row, without a shuffle.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns stay. Decided row by row, without a shuffle."""
+    With a benchmark of more than one block, what is left after each is written to the shared folder.
+    """
     spark = docs.sparkSession
     text_batches(spark)
-    rows = benchmark.select(F.lit(0), "text").filter(F.col("text").isNotNull())
-    left = docs
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
-    held, size = [], 0
-
-    def without(df: DataFrame, block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items(block))
 
+    def clean(block):
         def scan(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            items = shared.value
+            items = block.value
             for b in batches:
-                clean = [not items.search(items.numbers.of(t)) for t in each(b.column(at))]
-                yield b.filter(pa.array(clean, pa.bool_()))
-
-        plain = df.toDF(*names)
-        return plain.mapInArrow(scan, plain.schema).toDF(*docs.columns)
-
-    for r in rows.toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= PASS_CHARS:
-            left, held, size = without(left, held), [], 0
-    return without(left, held) if held else left
+                yield b.filter(pa.array([not items.search(items.numbers.of(t)) for t in each(b.column(at))], pa.bool_()))
+
+        return scan
+
+    left, held = docs.toDF(*names), None
+    for block in item_blocks(benchmark, item_col, item_text):
+        if held is not None:
+            left = materialize(left, "clean")
+            held.destroy()
+        held = spark.sparkContext.broadcast(Items(block))
+        left = left.mapInArrow(clean(held), left.schema)
+    return left.toDF(*docs.columns)

@@ -294,19 +294,66 @@ def test_leaks(spark):
     assert decontamination.find_leaks(empty(spark), bench).count() == 0
 
 
-def test_recall_of_walks_within_allowed_edits():
-    rng = random.Random(1)
-    items = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(rng.randint(14, 50)))) for i in range(100)]
-    search, found, all_ = decontamination.Items(items), 0, 0
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        i, kind = rng.randrange(len(words)), rng.randrange(3)
+        words[i : i + (kind != 2)] = [] if kind == 1 else ["zz"]
+    return words
+
+
+@pytest.mark.parametrize("n", [12, 20, 40, 80])
+def test_recall_at_the_largest_number_of_edits(n):
+    rng = random.Random(n)
+    items = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(n))) for i in range(50)]
+    search, found = decontamination.Items(items), 0
     for key, text in items:
-        for e in range(decontamination.allowed(len(text.split())) + 1):
-            w = text.split()
-            for _ in range(e):
-                i = rng.randrange(len(w))
-                w[i : i + rng.choice((0, 1))] = rng.choice(([], ["zz"]))
+        for _ in range(2):
+            w = edited(rng, text.split(), decontamination.allowed(n))
             found += any(k == key for k, _, _ in search.search(search.numbers.of(" ".join(["aa"] * 20 + w + ["bb"] * 20))))
-            all_ += 1
-    assert found / all_ > 0.9
+    assert found >= 95
+
+
+def brute_distance(item, words):
+    """Fewest edits between the item and any stretch of the words."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_leaks_against_brute_force(spark, kind):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(40)}"
+    items = [[word() for _ in range(rng.choice((9, 14, 22, 60)))] for _ in range(12)]
+    docs = [[word() for _ in range(rng.randint(0, 80))] for _ in range(30)]
+    for i, d in enumerate(docs):
+        if i % 2:
+            item = rng.choice(items)
+            d[len(d) // 2 : len(d) // 2] = edited(rng, item, rng.randint(0, decontamination.allowed(len(item)) + 1))
+    key = str if kind == "string" else int
+    bench = spark.createDataFrame([(key(i), " ".join(x)) for i, x in enumerate(items)] + [(key(3), " ".join(items[3]))], f"item_id {kind}, text string")
+    table = spark.createDataFrame([(key(i), " ".join(d)) for i, d in enumerate(docs)], f"doc_id {kind}, text string")
+    out = decontamination.find_leaks(table, bench)
+    assert out.schema["item"].dataType == bench.schema["item_id"].dataType
+    got = {(int(r["id"]), int(r["item"])) for r in out.collect()}
+    want = {(i, k) for i, d in enumerate(docs) for k, x in enumerate(items) if brute_distance(x, d) <= decontamination.allowed(len(x))}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 10
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PASS_CHARS", 60)
+    rng = random.Random(9)
+    items = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(10))) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = clashing(frame(spark, [t for _, t in items] + [None, "", "clean text", "a " * 200_000]))
+    assert sorted((r["id"], r["item"]) for r in decontamination.find_leaks(docs, bench).collect()) == [(i, i) for i in range(5)]
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()) == [5, 6, 7, 8]
+    assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).count() == 9
 
 
 def test_distance():
