@@ -2,8 +2,10 @@
 
 Each source gets a share of a total budget of words. Whole passes over the source cover most of its
 target; the rest is a subset-sum problem over document lengths: a histogram of exact lengths, a
-proportional share of each length, and a bounded-knapsack dynamic program for the remainder. Which
-documents of a length are taken follows a seeded hash.
+proportional share of each length from the longest down, what one length leaves over going to the
+next, and a bounded-knapsack dynamic program for the remainder. The remainder is always below two of the
+longest documents, so the program's size follows that and not the corpus. Which documents of a length are
+taken follows a seeded hash.
 """
 
 from __future__ import annotations
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .words import word_count
 
-#: Sums that the dynamic program tells apart at most; a larger remainder is first filled greedily.
-DP_SUMS = 1 << 17
 #: Rows of one length that are ranked together; longer groups are first cut by their hash.
 RANKED = 512
 
@@ -45,11 +45,12 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float, total:
     return out
 
 
-def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_sums: int = DP_SUMS) -> list[int]:
+def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come nearest below ``budget``.
 
-    Takes the same share of every length first, then long ones first until the remainder is below
-    ``dp_sums``, then solves the bounded knapsack of the remainder exactly.
+    Takes the same share of every length, from the longest down, as far as the words up to there are due;
+    one longest document is left out of account, so that the remainder, below two of them, has documents of
+    every length to choose from; it is filled exactly as far as these can.
     """
     import numpy as np
 
@@ -60,16 +61,15 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, dp_su
         return [0] * len(n)
     if budget >= whole:
         return n.tolist()
-    take = np.array([int(c) * int(budget) // whole for c in n.tolist()], dtype=np.int64)
-    left = budget - int((take * size).sum())
+    take = np.zeros(len(n), dtype=np.int64)
+    due = max(0, int(budget) - int(size.max()))
+    passed = taken = 0
     for i in np.argsort(-size, kind="stable").tolist():
-        if left < dp_sums:
-            break
-        more = min(int(n[i] - take[i]), (left - dp_sums) // int(size[i]) + 1, left // int(size[i])) if size[i] else 0
-        take[i] += more
-        left -= more * int(size[i])
-    if left >= dp_sums:  # every document is taken already
-        return take.tolist()
+        if size[i] > 0:
+            passed += int(n[i] * size[i])
+            take[i] = min(int(n[i]), (passed * due // whole - taken) // int(size[i]))
+            taken += int(take[i] * size[i])
+    left = int(budget) - taken
     first = np.full(left + 1, -1, dtype=np.int32)  # the piece by which a sum was first reached
     first[0] = 0
     pieces = [(0, 0, 0)]
@@ -168,22 +168,24 @@ def mix(
     out = base.join(counts, base["_source"].eqNullSafe(counts["_source"]) & (base["size"] == counts["size"])).select(
         base["*"], "passes", "extra", "n"
     )
-    # Seeded choice of ``extra`` of ``n`` rows: groups longer than RANKED are cut at hash ranges, whole ranges are
-    # taken or left by running counts of ranges, and rows are ranked only inside a range.
+    # Seeded choice of ``extra`` of ``n`` rows: wholly equal rows are counted, not ranked; groups longer than RANKED
+    # are cut at hash ranges, whole ranges are taken or left by running counts of ranges, and inside a range the
+    # quota goes to distinct rows by running counts of theirs.
     ranges = F.ceil(F.col("n") / RANKED)
     out = out.withColumn("_cut", F.when(F.col("n") <= RANKED, F.lit(0)).otherwise(F.pmod(F.col("_h"), ranges)).cast("long"))
     keys = ["_source", "size", "_cut"]
     part = out.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
-    cuts = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.first("extra").alias("_extra"))
-    before = F.sum("_m").over(Window.partitionBy("_source", "size").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = cuts.withColumn("_quota", F.col("_extra") - F.coalesce(before, F.lit(0))).select(
-        F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_cut").alias("_c"), "_quota"
+    part = part.groupBy(*keys, "_id", "_h").agg(F.count(F.lit(1)).alias("_m"), F.first("extra").alias("extra"), F.first("passes").alias("passes"))
+    cuts = part.groupBy(*keys).agg(F.sum("_m").alias("_m"), F.first("extra").alias("_extra"))
+    upto = lambda w: F.coalesce(F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = F.col("_extra") - upto(Window.partitionBy("_source", "size").orderBy("_cut"))
+    cuts = cuts.select(F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_cut").alias("_c"), quota.alias("_quota"))
+    part = part.withColumn("_before", upto(Window.partitionBy(*keys).orderBy("_h", "_id")))
+    part = part.join(cuts, part["_source"].eqNullSafe(cuts["_s"]) & (part["size"] == cuts["_z"]) & (part["_cut"] == cuts["_c"]))
+    copy = F.sequence(F.lit(1).cast("long"), F.col("_m"))
+    part = part.select("_id", "_source", "size", "passes", "_before", "_quota", F.explode(copy).alias("_k")).select(
+        "_id", "_source", "size", (F.col("passes") + (F.col("_before") + F.col("_k") <= F.col("_quota")).cast("long")).alias("copies")
     )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "_id"))
-    part = part.withColumn("_rank", rank)
-    part = part.join(
-        cuts, part["_source"].eqNullSafe(cuts["_s"]) & (part["size"] == cuts["_z"]) & (part["_cut"] == cuts["_c"])
-    ).select("_id", "_source", "size", (F.col("passes") + (F.col("_rank") <= F.col("_quota")).cast("long")).alias("copies"))
     rest = out.filter((F.col("extra") <= 0) | (F.col("extra") >= F.col("n"))).select(
         "_id", "_source", "size", (F.col("passes") + (F.col("extra") > 0).cast("long")).alias("copies")
     )
@@ -199,7 +201,28 @@ def mix(
     )
 
 
-def sample_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a mix, each as often as ``copies`` says."""
-    chosen = mixed.filter(F.col("copies") > 0).select(id_col, "copies")
-    return docs.join(chosen, id_col).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+def with_copies(docs: DataFrame, *columns: str, id_col: str = "doc_id", **kwargs) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with these columns of ``mix``, by default ``copies``.
+
+    Rows of one id are told apart by their order in it, so each row of ``docs`` meets one row of the mix;
+    null ids are an id like any other. A column of ``docs`` of the same name is replaced.
+    """
+    columns = columns or ("copies",)
+    text_col, source_col = kwargs.get("text_col", "text"), kwargs.get("source_col", "source")
+    # one key of three, whose null parts are equal to each other; rows of a key meet by their number in it
+    plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    key = F.struct(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), word_count(F.col(text_col)).alias("z"))
+    left = docs.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*plain)))
+    mixed = mix(docs, id_col=id_col, **kwargs)
+    key = F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col("size").alias("z"))
+    mixed = mixed.select(key.alias("_of"), *(F.col(c).alias(f"_m_{c}") for c in columns), F.col("copies").alias("_copies"))
+    mixed = mixed.withColumn("_k", F.row_number().over(Window.partitionBy("_of").orderBy(F.desc("_copies")))).filter(F.col("_copies") > 0)
+    same = (left["_key"] == mixed["_of"]) & (left["_n"] - mixed["_k"] == 0)
+    own = [c for c in docs.columns if c not in columns]
+    return left.join(mixed, same).select(*(left[c] for c in own), *(F.col(f"_m_{c}").alias(c) for c in columns))
+
+
+def sample_mix(docs: DataFrame, **kwargs) -> DataFrame:
+    """The documents of a mix, each as often as the mix takes it; arguments as of ``mix``."""
+    every = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return with_copies(docs, "copies", **kwargs).withColumn("copy", F.explode(every)).drop("copies")

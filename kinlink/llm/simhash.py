@@ -7,8 +7,8 @@ meet by equality of such a variant and are then compared in full.
 
 ``near_duplicates`` links 64-bit fingerprints exactly. ``similar_groups`` is for a similarity of
 shingles: the share of differing bits estimates the angle between two shingle sets, so it takes wider
-fingerprints and a larger radius. What differs in at most ``2 * parts - 1`` bits is always found;
-beyond, up to the radius, with a probability that falls with the distance.
+fingerprints, as many segments as a target recall at that similarity needs, and decides by the
+shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, setting
 from .components import connected_components
 from .words import each, text_batches
 
@@ -27,6 +27,10 @@ SEED = 42
 WIDTH = 64
 #: Fingerprints that are compared as one square table; more are compared in strips of as many.
 SQUARE = 128
+#: Fingerprints of one key that a task compares; a key that more share is divided.
+HOT = 4096
+#: Rows of numbers that go to Python together.
+NUMBER_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
 
 def shingle_spans(words: list[bytes], n: int) -> tuple[bytes, list[int], list[int]]:
@@ -115,61 +119,96 @@ def forest(fps, radius: int):
     return fps[move], fps[root[move]]
 
 
+def whole_keys(batches: Iterator) -> Iterator[list]:
+    """The columns of batches that are sorted by the first one, cut so that no key is divided."""
+    import numpy as np
+
+    held: list = []
+    together = lambda: [np.concatenate(c) for c in zip(*held, strict=True)]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        key = columns[0]
+        if held and held[-1][0][-1] != key[0]:
+            yield together()
+            held = []
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            held.append([c[:last] for c in columns])
+            yield together()
+            held = []
+        held.append([c[last:] for c in columns])
+    if held:
+        yield together()
+
+
+def key_groups(key):
+    """(where groups of two begin, [(begin, end)] of larger groups) of a sorted key column."""
+    import numpy as np
+
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    stop = np.append(start[1:], len(key))
+    size = stop - start
+    more = size > 2
+    return start[size == 2], list(zip(start[more].tolist(), stop[more].tolist(), strict=True))
+
+
+def sized(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys that up to HOT rows share, and rows of the others with ``_n``, how many share the key."""
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = keyed.repartition(n, "key").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return counted.filter(F.col("_n") <= HOT).drop("_n"), counted.filter(F.col("_n") > HOT)
+
+
+def other_variants(keyed: DataFrame, radius: int) -> DataFrame:
+    """Rows of hot keys under keys that hold a variant of the other segments too; no pair within the radius is lost.
+
+    Outside the segment that the key is made of, two fingerprints differ in at most ``radius`` bits as
+    well; cut into ``radius // 2 + 1`` pieces, they agree up to one bit in one piece.
+    """
+    parts = radius // 2 + 1
+    width = WIDTH // parts
+    if parts < 2:  # such a key has two fingerprints at most
+        return keyed.select("key", "fp")
+    piece = (WIDTH - width) // parts
+    turn = F.pmod((F.floor(F.shiftrightunsigned("key", width) / (width + 1)) + 1) * width, F.lit(WIDTH)).cast("int")
+    turned = F.when(turn == 0, F.col("fp")).otherwise(F.expr("shiftrightunsigned(fp, _t) | shiftleft(fp, 64 - _t)"))
+    rows = keyed.withColumn("_t", turn).withColumn("_r", turned).select("key", "fp", "_r", F.explode(F.sequence(F.lit(0), F.lit(parts * (piece + 1) - 1))).alias("_at"))
+    rows = rows.withColumn("_p", F.floor(F.col("_at") / (piece + 1)).cast("int")).withColumn("_b", F.col("_at") % (piece + 1))
+    cut = F.when(F.col("_b") == piece, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(_b as int))"))
+    value = F.expr(f"shiftrightunsigned(_r, _p * {piece}) & {(1 << piece) - 1}L").bitwiseAND(F.bitwise_not(cut))
+    return rows.select(F.xxhash64("key", "_at", value).alias("key"), "fp")
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that connect all pairs within ``radius`` bits.
 
     Variants are shuffled and sorted by key; a task reads its keys in order and compares the
-    fingerprints of one key at a time. It emits a forest for each key and never all pairs.
+    fingerprints of one key at a time. It emits a forest for each key and never all pairs. Rows of a
+    key that more than HOT fingerprints share are dealt out again by ``other_variants``.
     """
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held_key, held = None, []
-
-        def pack(u, v):
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, np.uint64).view(np.int64)), pa.array(np.asarray(v, np.uint64).view(np.int64))], names=["u", "v"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-            us, vs = [], []
-            if held_key is not None and key[0] != held_key:
-                u, v = forest(np.concatenate(held), radius)
+        for key, fp in whole_keys(batches):
+            fp = fp.view(np.uint64)
+            two, more = key_groups(key)
+            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+            us, vs = [fp[two[near]]], [fp[two[near] + 1]]
+            for a, z in more:
+                u, v = forest(fp[a:z], radius)
                 us.append(u), vs.append(v)
-                held_key, held = None, []
-            if held_key is not None:
-                held.append(fp[: stop[0]])
-                start, stop = start[1:], stop[1:]
-                if len(start):
-                    u, v = forest(np.concatenate(held), radius)
-                    us.append(u), vs.append(v)
-            if len(start):  # the last key may go on in the next batch
-                held_key, held = key[start[-1]], [fp[start[-1] :]]
-                start, stop = start[:-1], stop[:-1]
-            size = stop - start
-            two = start[size == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius if len(two) else np.zeros(0, bool)
-            us.append(fp[two[near]]), vs.append(fp[two[near] + 1])
-            for i in np.flatnonzero(size > 2).tolist():
-                u, v = forest(fp[start[i] : stop[i]], radius)
-                us.append(u), vs.append(v)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            if len(u):
-                order = np.unique(np.stack([u, v], axis=1), axis=0)
-                yield pack(order[:, 0], order[:, 1])
-        if held:
-            u, v = forest(np.concatenate(held), radius)
-            yield pack(u, v)
-
-    keyed = variants(fps.select("fp").distinct(), radius)
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["u", "v"])
+
+    few, many = sized(variants(fps.select("fp").distinct(), radius))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(scan, "u long, v long").distinct()
+    dealt = other_variants(many, radius).repartition(n, "key")
+    found = [x.sortWithinPartitions("key").mapInArrow(scan, "u long, v long") for x in (few, dealt)]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2) -> DataFrame:
@@ -183,39 +222,64 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text_batches(docs.sparkSession)
     base = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, n=n), "fingerprints")
     nodes = base.groupBy("fp").agg(F.min(id_col).alias("low"))
-    found = connected_components(links(nodes, radius))
+    with setting(docs.sparkSession, *NUMBER_ROWS):
+        edges = materialize(links(nodes, radius), "links")
+    found = connected_components(edges)
     roots = nodes.join(found, nodes["fp"] == found["node"], "left").select(nodes["fp"], "low", F.coalesce("root", nodes["fp"]).alias("root"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = roots.join(lowest, "root").select("fp", "component_id")
     return base.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-#: Wide fingerprints: 64-bit words, and the width of a segment, wide enough to tell 2**23 variants apart.
-WIDE, SEGMENT = 3, 24
-#: Five-word shingle sets of Jaccard similarity 0.8 (cosine 2J / (1 + J)) differ in 15.2% of the bits.
-SIMILAR = 0.8
+#: Similarity of shingle sets from which documents are near-duplicates, and share of pairs at just that similarity to be found.
+SIMILAR, RECALL = 0.8, 0.95
+#: 64-bit words of a wide fingerprint at least; bits of a segment at least and at most; variants of a fingerprint that are dealt out together.
+LEAST_WORDS, LEAST_BITS, MOST_BITS, TOGETHER = 3, 12, 32, 80
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits to expect at this Jaccard similarity of sets of one size."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def differing(similarity: float) -> float:
+    """Share of bits that differ between the fingerprints of two sets of this Jaccard similarity and one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def segments_for(count: int, similarity: float = SIMILAR, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """(segments, bits of a segment, 64-bit words of a fingerprint, radius) for this many fingerprints.
+
+    A segment has two bits more than it takes to number the fingerprints, so that chance brings few
+    together. Two at the similarity agree in it up to one bit with a chance that its width gives; there
+    are as many segments as the recall needs. The radius, three standard deviations beyond the expected
+    distance, only passes over what cannot be alike: the shingles decide.
+    """
+    q = differing(similarity)
+    width = min(max(math.ceil(math.log2(count + 1)) + 2, LEAST_BITS), MOST_BITS)
+    one = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
+    parts = math.ceil(math.log(1 - recall) / math.log(1 - one))
+    words = max(LEAST_WORDS, -(-parts * width // WIDTH))
+    bits = words * WIDTH
+    return parts, width, words, math.ceil(q * bits + 3 * math.sqrt(q * (1 - q) * bits))
 
 
-def wide_fingerprint(text: str | None, n: int = 5, seed: int = SEED):
-    """WIDE 64-bit words: SimHash bits of the distinct shingles of ``n`` words, A-Z lower-cased."""
+def shingle_set(text: str | None, n: int = 5, seed: int = SEED):
+    """Sorted XXH64 hashes of the distinct shingles of ``n`` words, A-Z lower-cased."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     joined, begin, end = shingle_spans(words, n)
-    hashes = np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), dtype="<u8", count=len(begin)))
-    votes = np.zeros((WIDE, WIDTH), dtype=np.int64)
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)), dtype="<u8", count=len(begin)))
+
+
+def wide_fingerprint(hashes, words: int):
+    """``words`` 64-bit words of SimHash bits of a shingle set."""
+    import numpy as np
+
+    votes = np.zeros((words, WIDTH), dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
-        for k in range(WIDE):
-            mixed = (part ^ (part >> np.uint64(31 + k))) * np.uint64((0x9E3779B97F4A7C15 + 0x632BE59BD9B4E018 * k) % (1 << 64))
+        for k in range(words):
+            mixed = (part ^ (part >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 0x632BE59BD9B4E018 * k) % (1 << 64))
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
@@ -223,138 +287,189 @@ def wide_fingerprint(text: str | None, n: int = 5, seed: int = SEED):
     return np.packbits(votes.ravel() * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def text_digest(text: Column) -> Column:
-    """SHA-256 of a text; a null text counts as empty."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+def alike(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two packed shingle sets (sorted 32-bit halves of the hashes); two empty ones are alike."""
+    import numpy as np
 
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = SIMILAR, nameless: bool = False) -> DataFrame:
-    """(id, component_id): groups of documents whose shingles of ``n`` words are ``similarity`` alike or more.
 
-    Decided by the estimate of fingerprints of 64 * WIDE bits; the estimate's standard error near 0.8
-    is about 0.04. Equal fingerprints are one node. Texts without words are alike. Null ids take part
-    as in ``near_duplicates``; an empty table gives no rows. With ``nameless`` two columns more: ``group``, a
-    number of the group that is never null, and ``digest`` of the text (SHA-256) where the id is null.
+def nearest_before(fp, radius: int):
+    """(i, j): rows and the nearest row before each that is within ``radius`` bits, the first of several.
+
+    A strip of SQUARE rows is compared with all before it at a time, so memory stays bounded.
     """
-    text_batches(docs.sparkSession)
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    names = [f"f{k}" for k in range(WIDE)]
-    radius = radius_of(similarity, WIDE * WIDTH)
+    import numpy as np
 
-    def digest(batches: Iterator) -> Iterator:
+    m, ones, twos = len(fp), [], []
+    for at in range(0, m, SQUARE):
+        end = min(at + SQUARE, m)
+        far = np.zeros((end - at, end), np.uint16)
+        for k in range(fp.shape[1]):
+            far += np.bitwise_count(fp[at:end, k, None] ^ fp[None, :end, k])
+        far[np.arange(end)[None] >= np.arange(at, end)[:, None]] = 1 << 15
+        to = far.argmin(axis=1)
+        near = far[np.arange(end - at), to] <= radius
+        ones.append(np.arange(at, end)[near]), twos.append(to[near])
+    return np.concatenate(ones), np.concatenate(twos)
+
+
+def candidate_edges(nodes: DataFrame, names: list[str], parts: int, width: int, radius: int) -> DataFrame:
+    """(u, v, far): each node with the nearest smaller one that shares a variant of a segment, for every variant.
+
+    ``nodes``: node and the words of its fingerprint. Segments are dealt out a few at a time, so that the
+    disk holds TOGETHER variants of a fingerprint at once. Keys that more than HOT nodes share are cut into
+    strips, and each pair of strips is a task's.
+    """
+    spark = nodes.sparkSession
+    fields = ", ".join(f"{x} long" for x in names)
+    words = len(names)
+
+    def spread(some: list[int]):
+        def rows(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            power = np.int64(1) << np.arange(width)
+            for b in batches:
+                for at in range(0, b.num_rows, 2048):
+                    part = b.slice(at, 2048)
+                    fp = np.stack([part.column(k + 1).to_numpy(zero_copy_only=False) for k in range(words)], axis=1)
+                    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+                    for s in some:
+                        value = bits[:, s * width : (s + 1) * width].astype(np.int64) @ power
+                        key = (value[:, None] & ~power) + ((s * width + np.arange(width)) << width)
+                        again = pa.array(np.repeat(np.arange(len(fp)), width))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(c.take(again) for c in part.columns)], names=["key", "node", *names])
+
+        return rows
+
+    def scan(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        for columns in whole_keys(batches):
+            key, node = columns[0], columns[1]
+            fp = np.stack(columns[2 : 2 + words], axis=1).view(np.uint64)
+            two, more = key_groups(key)
+            distance = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
+            near = distance <= radius
+            us, vs = [two[near]], [two[near] + 1]
+            for a, z in more:
+                v, u = nearest_before(fp[a:z], radius)
+                us.append(u + a), vs.append(v + a)
+            u, v = np.concatenate(us), np.concatenate(vs)
+            far = np.bitwise_count(fp[u] ^ fp[v]).sum(axis=1).astype(np.int32)
+            found = np.unique(np.stack([node[u], node[v], far], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(2)] + [pa.array(found[:, 2].astype(np.int32))], names=["u", "v", "far"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, TOGETHER // width)
+    edges = None
+    for at in range(0, parts, step):
+        some = list(range(at, min(parts, at + step)))
+        few, many = sized(nodes.repartition(n).mapInArrow(spread(some), f"key long, node long, {fields}"))
+        strips = F.ceil(F.col("_n") / HOT)
+        own = F.pmod(F.xxhash64("node"), strips)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), strips - 1), lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
+        dealt = many.select(F.explode(pairs).alias("key"), "node", *names).repartition(n, "key")
+        found = [x.sortWithinPartitions("key", "node").mapInArrow(scan, "u long, v long, far int") for x in (few, dealt)]
+        with setting(spark, *NUMBER_ROWS):
+            done = materialize(found[0].unionByName(found[1]).distinct(), "edges")
+        edges = done if edges is None else edges.unionByName(done)
+    return materialize(edges.distinct(), "edges")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose shingle sets are ``similarity`` alike or more; ``sets``: node, shingles."""
+
+    def decide(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for b in batches:
-            found = np.array([wide_fingerprint(t, n) for t in each(b.column(1))], np.uint64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE)), b.column(2)], names=[id_col, *names, "digest"])
+            keep = [alike(x, y) >= similarity for x, y in zip(each(b.column(2)), each(b.column(3)), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    fields = ", ".join(f"{x} long" for x in names)
-    named = F.when(F.col(id_col).isNull(), text_digest(F.col(text_col))).alias("digest")
-    base = materialize(docs.select(id_col, text_col, named).mapInArrow(digest, f"`{id_col}` {kind}, {fields}, digest string"), "fingerprints")
-    nodes = materialize(base.groupBy(*names).agg(F.min(id_col).alias("smallest")), "nodes")
-    # where all ids are null, a number below zero from the fingerprint stands for the smallest one
-    nodes = nodes.withColumn("low", F.coalesce(F.col("smallest").cast("long"), F.xxhash64(*names).bitwiseOR(F.lit(-(1 << 63)))))
+    one = edges.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    both = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")
 
-    def spread(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        parts = WIDE * WIDTH // SEGMENT
-        cuts = np.concatenate([~(np.int64(1) << np.arange(SEGMENT)), [~np.int64(0)]])
-        tag = np.arange(parts * (SEGMENT + 1)) << SEGMENT
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                fp = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(WIDE)], axis=1)
-                three = np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), parts, SEGMENT // 8).astype(np.int64)
-                segment = (three << (8 * np.arange(SEGMENT // 8))).sum(axis=2)
-                key = (segment[:, :, None] & cuts).reshape(len(fp), -1) + tag
-                again = pa.array(np.repeat(np.arange(len(fp)), key.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int32)), *(c.take(again) for c in part.columns)], names=["key", *names, "low"])
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """(id, digest, group): documents joined by pairs whose shingle sets of ``n`` words are ``similarity`` alike or more.
 
-    def scan(batches: Iterator) -> Iterator:
+    Candidates come from equal one-wildcard variants of segments of wide fingerprints: by plan, a pair at
+    just that similarity is met with the chance ``recall``, a closer one more surely. Of a key's
+    fingerprints each is paired with the nearest one before it. The shingle sets decide: first each
+    node's nearest candidate, then those candidates that would join what is still apart.
+
+    ``digest``: MD5 of the text; ``group``: a number. Equal fingerprints are one node. Texts without words
+    are alike. Ids may be null or repeated and of any type; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+    parts, width, words, radius = segments_for(docs.count(), similarity, recall)
+    names = [f"f{k}" for k in range(words)]
+
+    def digest(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held_key, held = None, []
-        kept: list = []
+        for b in batches:
+            fps, sets = np.empty((b.num_rows, words), np.uint64), []
+            for i, t in enumerate(each(b.column(2))):
+                hashes = shingle_set(t, n)
+                fps[i] = wide_fingerprint(hashes, words)
+                sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(words)), pa.array(sets, pa.binary())], names=["id", "digest", *names, "shingles"])
+
+    fields = ", ".join(f"{x} long" for x in names)
+    rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    base = materialize(rows.mapInArrow(digest, f"id {kind}, digest string, {fields}, shingles binary"), "fingerprints")
+    nodes = materialize(base.select(*names).distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = candidate_edges(nodes.select("node", *names), names, parts, width, radius)
+    asked = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
+    sets = base.select(*names, "shingles").join(asked, names).dropDuplicates(["node"]).select("node", "shingles")
+    sets = materialize(sets, "shingles")
+    nearest = edges.groupBy("v").agg(F.min(F.struct("far", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
+    first = materialize(verified(nearest, sets, similarity), "alike")
+    roots = materialize(connected_components(first), "roots")
+    root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = edges.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").select(root("u").alias("x"), root("v").alias("y"), "u", "v").filter(F.col("x") != F.col("y"))
+    second = materialize(verified(apart.join(nearest, ["u", "v"], "left_anti"), sets, similarity), "alike")
+    found = connected_components(first.unionByName(second))
+    classes = nodes.join(found, "node", "left").select(*names, F.coalesce("root", "node").alias("group"))
+    return base.drop("shingles").join(classes, names).select(F.col("id").alias(id_col), "digest", "group")
 
-        def settle(fp, low):
-            u, v = near_trees(fp, low, radius)
-            if len(u):
-                kept.append((u, v))
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            fp = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WIDE)], axis=1)
-            low = b.column(WIDE + 1).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-            if held_key is not None and key[0] == held_key:
-                held.append((fp[: stop[0]], low[: stop[0]]))
-                start, stop = start[1:], stop[1:]
-            if held_key is not None and len(start):
-                settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held_key, held = None, []
-            if len(start):
-                held_key, held = key[start[-1]], [(fp[start[-1] :], low[start[-1] :])]
-                start, stop = start[:-1], stop[:-1]
-            size = stop - start
-            two = start[size == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= radius
-            kept.append((low[two[near]], low[two[near] + 1]))
-            for i in np.flatnonzero(size > 2).tolist():
-                settle(fp[start[i] : stop[i]], low[start[i] : stop[i]])
-            u, v = (np.concatenate(x) for x in zip(*kept, strict=True))
-            kept = []
-            pairs = np.unique(np.stack([u, v], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-        if held:
-            settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for u, v in kept:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = nodes.select(*names, "low").repartition(count).mapInArrow(spread, f"key int, {fields}, low long")
-    edges = keyed.repartition(4 * count, "key").sortWithinPartitions("key").mapInArrow(scan, "u long, v long").distinct()
-    found = connected_components(edges)
-    roots = nodes.join(found, nodes["low"] == found["node"], "left").select(*names, "smallest", F.coalesce("root", "low").alias("root"))
-    lowest = roots.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    classes = roots.join(lowest, "root").select(*names, "component_id", "root")
-    more = [F.col("root").alias("group"), "digest"] if nameless else []
-    return base.join(classes, names).select(id_col, F.col("component_id").cast(kind).alias("component_id"), *more)
+def text_digest(text: Column) -> Column:
+    """MD5 of a text; a null text counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def near_trees(fp, low, radius: int):
-    """Edges between ids of these fingerprints, each within ``radius`` bits, that join what steps of that size reach.
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group of near-duplicates, with all their columns.
 
-    A strip of SQUARE rows is compared with all at a time, so memory stays bounded; at most one edge
-    for each fingerprint and round is returned.
+    First is the smallest id; null ids come last, and of equal ids the text with the smallest digest. Of
+    wholly equal rows one stays. Other arguments are those of ``similar_groups``.
     """
-    import numpy as np
-
-    m = len(fp)
-    root, us, vs = np.arange(m), [], []
-    changed = True
-    while changed:
-        changed = False
-        for at in range(0, m, SQUARE):
-            far = np.zeros((min(SQUARE, m - at), m), np.uint16)
-            for k in range(fp.shape[1]):
-                far += np.bitwise_count(fp[at : at + SQUARE, k, None] ^ fp[None, :, k])
-            reach = np.where(far <= radius, root[None, :], m)
-            to = reach.argmin(axis=1)
-            new = reach[np.arange(len(to)), to]
-            less = np.flatnonzero(new < root[at : at + SQUARE])
-            if len(less):
-                us.append(low[at + less]), vs.append(low[to[less]])
-                root[at + less] = new[less]
-                changed = True
-    none = np.zeros(0, low.dtype)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+    groups = materialize(similar_groups(docs, id_col=id_col, text_col=text_col, **kwargs).toDF("id", "digest", "group"), "groups")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    kept = groups.groupBy("group").agg(F.min(rank).alias("b")).select(F.col("b.id").alias("_kept"), F.col("b.digest").alias("_kept_digest"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = docs.toDF(*names).withColumn("_digest", text_digest(F.col(text)))
+    # every kept pair of id and digest is one group's, so the join repeats no row
+    found = rows.join(kept, (rows["_digest"] == kept["_kept_digest"]) & rows[key].eqNullSafe(kept["_kept"]), "left_semi")
+    order = [F.col(c) for c, kind in found.dtypes if not kind.startswith("map")]
+    once = found.withColumn("_k", F.row_number().over(Window.partitionBy("_digest", key).orderBy(*order))).filter(F.col("_k") == 1)
+    return once.select(*names).toDF(*docs.columns)
 
 
 def as_hex(fp: str) -> Column:

@@ -97,6 +97,56 @@ def test_mix_long_group_is_exact(spark):
     assert abs(rows["x"]["t"] - rows["x"]["g"]) <= 2 and abs(rows["y"]["t"] - rows["y"]["g"]) <= 2
 
 
+def test_mix_of_equal_rows_is_exact(spark):
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 3000, "x").otherwise("y").alias("source"))
+    rows = mixing.mix(docs, weights=(1, 2)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in rows} == {"x": 3000, "y": 1000} and all(abs(r["t"] - r["g"]) <= 3 for r in rows)
+
+
+def test_many_lengths_are_met_exactly():
+    rng = random.Random(12)
+    for _ in range(20):
+        lengths = rng.sample(range(1, 60_000), 3000)
+        counts = [rng.randint(1, 4) for _ in lengths]
+        budget = rng.randrange(sum(a * b for a, b in zip(lengths, counts)))
+        got = mixing.fit_counts(lengths, counts, budget)
+        assert sum(a * b for a, b in zip(got, lengths)) == budget and all(0 <= g <= c for g, c in zip(got, counts))
+
+
+def brute_targets(sizes, weights, most):
+    """Raises a common level of words for each unit of weight by small steps until all words are given out."""
+    low, high, total = 0.0, 1e9, float(sum(sizes))
+    for _ in range(200):
+        level = (low + high) / 2
+        given = sum(min(level * w, most * s) for s, w in zip(sizes, weights))
+        low, high = (level, high) if given < total else (low, level)
+    return [min(low * w, most * s) for s, w in zip(sizes, weights)]
+
+
+def test_mix_against_brute_force(spark):
+    texts = corpus()
+    docs = clashing(frame(spark, texts))
+    rows = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    source = [f"s{i % 3}" if i % 7 else None for i in range(len(texts))]
+    size = [len((t or "").split()) for t in texts]
+    names = sorted({s for s in source if s}) + [None]
+    sums = [sum(z for z, s in zip(size, source) if s == n) for n in names]
+    goal = brute_targets(sums, [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
+    for i, s in enumerate(source):
+        assert (rows[i]["size"], rows[i]["source_size"]) == (size[i], sums[names.index(s)]) and abs(rows[i]["target"] - goal[names.index(s)]) < 1e-6 * max(sums)
+
+
+def test_copies_meet_their_rows(spark):
+    rows = [(None, "a b", "s"), (None, "a b", "s"), (1, "c d", None), (1, "e f", None), (1, "e f", None), (2, None, "s"), (3, "g " * 40, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("own"))
+    mixed = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()
+    got = mixing.with_copies(docs)
+    assert got.columns == ["doc_id", "text", "source", "copies"]
+    words = got.withColumn("w", F.size(F.split(F.trim("text"), " ")) * F.col("copies")).groupBy("source").agg(F.sum("w").alias("t")).collect()
+    assert {r["source"]: r["t"] for r in words} == {r["source"]: r["t"] for r in mixed if r["t"]}
+    assert mixing.sample_mix(docs).count() == got.agg(F.sum("copies")).first()[0] and mixing.with_copies(empty(spark)).count() == 0
+
+
 # 2 quality
 
 
@@ -270,14 +320,71 @@ def test_components_of_a_long_path(spark):
     assert {r["root"] for r in connected_components(edges).collect()} == {0}
 
 
-def test_similar_groups(spark):
+def test_links_of_a_hot_key(spark, monkeypatch):
+    """Keys that many fingerprints share are divided without losing a link."""
+    monkeypatch.setattr(simhash, "HOT", 8)
+    rng = random.Random(11)
+    fps = {0xDEADBEEF << 32 | rng.getrandbits(32) for _ in range(300)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps)[:150]}
+    fps = sorted(fps)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))).collect()}
+    comp = list(range(len(fps)))
+    for _ in range(12):
+        comp = [min(comp[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(fps))]
+    classes = {}
+    for f, c in zip(fps, comp):
+        classes.setdefault(c, set()).add(roots.get(signed(f), signed(f)))
+    assert all(len(x) == 1 for x in classes.values()) and len({min(x) for x in classes.values()}) == len(classes)
+
+
+def jaccard(a, b, n=5):
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if (w := (t or "").lower().split()) else set() for t in (a, b)]
+    return 1.0 if not (sets[0] | sets[1]) else len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_similar_groups_against_brute_force(spark, monkeypatch, hot):
+    """All pairs from 0.8 by shingles are joined, up to the planned recall, and nothing below."""
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(7)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-    near = list(base)
-    near[50] = "changed"
-    other = [f"x{rng.randrange(10**6)}" for _ in range(400)]
-    got = {r[0]: r[1] for r in simhash.similar_groups(clashing(frame(spark, [" ".join(base), " ".join(near), " ".join(other), None, ""]))).collect()}
-    assert got[0] == got[1] == 0 and got[2] == 2 and got[3] == got[4] == 3
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, len(base) // 25)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [None, "", "  ", "a b", "A B", "a b c"]
+    got = {r["doc_id"]: r["group"] for r in simhash.similar_groups(clashing(frame(spark, texts))).collect()}
+    n = len(texts)
+    pairs = [(i, j) for i in range(n) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.93 * len(pairs) and len(pairs) > 40
+    comp = list(range(n))
+    for _ in range(6):
+        for i, j in pairs:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert all(comp[i] == comp[j] for i in range(n) for j in range(i) if got[i] == got[j])
+
+
+def test_segments_follow_the_recall():
+    for count in (0, 10, 10**4, 10**6, 10**9):
+        parts, width, words, radius = simhash.segments_for(count)
+        q = simhash.differing(0.8)
+        one = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
+        assert 1 - (1 - one) ** parts >= 0.95 and words * 64 >= parts * width and radius < words * 32
+
+
+def test_one_of_each(spark):
+    text = lambda p, n=120: " ".join(f"{p}{i}" for i in range(n))
+    near = text("b").replace("b60 ", "changed ")
+    rows = [("k1", text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (None, near), ("z", text("c")), ("z", text("c")), ("z", text("d")), ("e", None), ("f", "")]
+    got = sorted(((r["doc_id"] or "-"), r["text"]) for r in simhash.one_of_each(clashing(spark.createDataFrame(rows, "doc_id string, text string"))).collect())
+    assert [x for x in got if x[0] != "-"] == [("e", None), ("k1", text("a")), ("z", text("c")), ("z", text("d"))]
+    assert len(got) == 5 and got[0][1] in (text("b"), near)
+    assert simhash.one_of_each(empty(spark)).count() == 0
 
 
 # 6 decontamination

@@ -22,7 +22,19 @@ def test_stages(spark):
         kept = {r[0] for r in rows}
         docs = spark.createDataFrame(rows, docs.schema)
     assert len(kept) > 0.6 * len(before)
-    assert {r["doc_id"] for r in corpus_pipeline.mixture(spark, docs, SF).collect()} <= kept
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    rows = mixed.collect()
+    assert mixed.columns[: len(docs.columns)] == docs.columns and {r["doc_id"] for r in rows} <= kept and all(r["copies"] > 0 and r["text"] for r in rows)
+
+
+def test_stages_take_empty_tables_nulls_and_repeated_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, size string"
+    odd = [(None, None, None, None, None, None, None), (1, "", "en", "s", 0, "x", "y"), (1, "", "en", "s", 0, "x", "y"), (2, "word " * 30_000, "en", None, 150_000, None, None)]
+    for rows in ([], odd):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, spark.createDataFrame(rows, schema), SF)
+            assert out.count() <= len(rows), name
+            assert name == "mixing" or out.columns == [x.split()[0] for x in schema.split(", ")]
 
 
 def test_null_ids_pass_near_dedup(spark):
