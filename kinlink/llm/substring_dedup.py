@@ -28,10 +28,12 @@ from .words import each, text_batches
 WINDOW = 13
 #: Bytes of text for each bucket of fingerprints and each group of documents, in a block of a task, and hashed at a time.
 BUCKET_BYTES = 8 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 STRIP_BYTES = 1 << 20
 #: Runs of the index beyond which they are compacted.
 FANOUT = 4
+#: How many times the documents before it a batch holds, about; early runs stay small, since each later batch reads them.
+GROWTH = 4
 LAST = (1 << 63) - 1
 BLOCKS = "kind int, b int, blob binary"
 BATCH, RUN, HITS, DOCS = 0, 1, 2, 3
@@ -481,7 +483,7 @@ def dedup_substrings(
 ) -> DataFrame:
     """Removes each word covered by a window of ``width`` words that also starts in a document of smaller id.
 
-    ``batches`` of ascending id, the later ones larger, pass through an index that holds ``fanout`` runs
+    ``batches`` of ascending id, each GROWTH times those before it, pass through an index that holds ``fanout`` runs
     before it compacts them.
     Windows are judged on the input. Without ``report``: the rows of ``docs`` with the words taken out
     of the text (with the white space before them), less those that lose all words. With ``report``:
@@ -498,7 +500,7 @@ def dedup_substrings(
     if docs.schema[id_at].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{id_col}: whole numbers are needed, since the smallest id keeps a passage")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.percentile_approx(key, [(i / batches) ** 1.7 for i in range(1, batches)] or [0.5], 10_000)).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.percentile_approx(key, [float(GROWTH) ** (i - batches) for i in range(1, batches)] or [0.5], 10_000)).first()
     groups = max(8, -(-size[0] // BUCKET_BYTES))
     own = index is None
     if own:
