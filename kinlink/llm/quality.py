@@ -18,10 +18,8 @@ CHUNK, OVERLAP = 512, 64
 DEPTH, SPAN, STEP, FILTERS = 4, 8, 2, 24
 #: Chunks that pass the filters together; memory of a task does not depend on the text's length.
 TOGETHER = 64
-#: Steps of the fit at least, however few rows there are.
-LEAST_STEPS = 500
-#: Labelled rows that the network is fitted on at most, and chunks of one of them, evenly spread.
-TRAIN_ROWS, TRAIN_CHUNKS = 1500, 64
+#: Labelled rows that the network is fitted on at most (their whole texts), rows of a step, and steps.
+TRAIN_ROWS, BATCH, STEPS = 1500, 16, 1400
 
 
 def chunks(text: str | None):
@@ -84,70 +82,74 @@ def probabilities(net: dict, answers, first):
     return 1 / (1 + np.exp(-np.clip(both @ net["out"] + net["base"], -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = 14, seed: int = 7, rate: float = 4e-3, decay: float = 1e-4) -> dict:
-    """Adam on the logistic loss; gradients flow through the position and the chunk that won the pooling."""
+def gradients(net: dict, x, size, y) -> tuple[float, dict]:
+    """(mean logistic loss, its gradient by each part of the net) of documents with ``size`` chunks each.
+
+    Gradients flow through the position and the chunk that won the pooling; equal winners share. Chunks pass
+    TOGETHER at a time, so memory follows the number of chunks by a few hundred bytes each.
+    """
+    import numpy as np
+
+    first = np.cumsum(size) - size
+    doc = np.repeat(np.arange(len(size)), size)
+    best, top = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), net["filter"].dtype)
+    for a in range(0, len(x), TOGETHER):
+        answer = _windows(net, x[a : a + TOGETHER]) @ net["filter"]
+        best[a : a + TOGETHER] = answer.argmax(axis=1)
+        top[a : a + TOGETHER] = answer.max(axis=1)
+    v = np.maximum(top + net["bias"], 0)
+    high, low = np.maximum.reduceat(v, first), np.minimum.reduceat(v, first)
+    mean = np.add.reduceat(v, first) / size[:, None]
+    both = np.concatenate([high, mean, low], axis=1)
+    z = np.clip(both @ net["out"] + net["base"], -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    d = (p - y) / len(size)
+    grad = {"out": both.T @ d, "base": d.sum(keepdims=True), "filter": np.zeros_like(net["filter"]), "embed": np.zeros_like(net["embed"])}
+    d_both = d[:, None] * net["out"][None]
+    dv = d_both[doc, FILTERS : 2 * FILTERS] / size[doc, None]
+    for won, d_won in ((v == high[doc], d_both[doc, :FILTERS]), (v == low[doc], d_both[doc, 2 * FILTERS :])):
+        dv += won * d_won / np.add.reduceat(won.astype(np.float32), first)[doc]
+    dv *= v > 0
+    grad["bias"] = dv.sum(axis=0)
+    for a in range(0, len(x), TOGETHER):
+        part, d_part = x[a : a + TOGETHER], dv[a : a + TOGETHER]
+        under = part[np.arange(len(part))[:, None, None], best[a : a + TOGETHER, :, None] * STEP + np.arange(SPAN)]  # (chunk, filter, SPAN) bytes
+        seen = net["embed"][under].reshape(len(part), FILTERS, -1)
+        grad["filter"] += np.einsum("mfk,mf->kf", seen, d_part)
+        back = (d_part[:, :, None] * net["filter"].T[None]).reshape(-1, DEPTH)
+        flat = under.ravel()
+        grad["embed"] += np.stack([np.bincount(flat, back[:, k], 256) for k in range(DEPTH)], axis=1).astype(net["embed"].dtype)
+    grad["embed"][0] = 0
+    return loss, grad
+
+
+def fit(texts: list[str], labels: list[int], *, steps: int = STEPS, seed: int = 7, rate: float = 4e-3, decay: float = 1e-4) -> dict:
+    """Adam on the logistic loss over whole texts: ``steps`` steps of BATCH texts each, in rounds over all of them."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     net = new_net(seed)
-    parts = []
-    for t in texts:
-        x = chunks(t)
-        parts.append(np.ascontiguousarray(x if len(x) <= TRAIN_CHUNKS else x[np.linspace(0, len(x) - 1, TRAIN_CHUNKS).astype(int)]))
     y = np.asarray(labels, np.float32)
     if len(set(labels)) < 2:  # nothing to tell apart: the rate of the labels
         net["out"][:] = 0
         net["base"][:] = 4.0 if len(y) and y[0] else (-4.0 if len(y) else 0.0)
         return net
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
-    step = 0
-    batch = 16
-    epochs = max(epochs, -(-LEAST_STEPS * batch // len(y)))
-    total = epochs * -(-len(y) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            x = np.concatenate([parts[i] for i in pick])
-            size = np.array([len(parts[i]) for i in pick])
-            first = np.cumsum(size) - size
-            win = _windows(net, x)
-            best = np.empty((len(x), FILTERS), np.int64)
-            top = np.empty((len(x), FILTERS), np.float32)
-            for a in range(0, len(x), TOGETHER):
-                answer = win[a : a + TOGETHER] @ net["filter"]
-                best[a : a + TOGETHER] = answer.argmax(axis=1)
-                top[a : a + TOGETHER] = answer.max(axis=1)
-            v = np.maximum(top + net["bias"], 0)
-            high = np.maximum.reduceat(v, first)
-            mean = np.add.reduceat(v, first) / size[:, None]
-            low = np.minimum.reduceat(v, first)
-            both = np.concatenate([high, mean, low], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(both @ net["out"] + net["base"], -30, 30)))
-            d = (p - y[pick]) / len(pick)
-            grad = {"out": both.T @ d, "base": d.sum(keepdims=True)}
-            d_both = d[:, None] * net["out"][None]
-            doc = np.repeat(np.arange(len(pick)), size)
-            dv = d_both[doc, FILTERS : 2 * FILTERS] / size[doc, None]
-            for won, d_won in ((v == high[doc], d_both[doc, :FILTERS]), (v == low[doc], d_both[doc, 2 * FILTERS :])):
-                dv += won * d_won / np.add.reduceat(won.astype(np.float32), first)[doc]
-            dv *= v > 0
-            grad["bias"] = dv.sum(axis=0)
-            under = x[np.arange(len(x))[:, None, None], best[:, :, None] * STEP + np.arange(SPAN)]  # (chunk, filter, SPAN) bytes
-            seen = net["embed"][under].reshape(len(x), FILTERS, -1)
-            grad["filter"] = np.einsum("mfk,mf->kf", seen, dv)
-            back = (dv[:, :, None] * net["filter"].T[None]).reshape(-1, DEPTH)
-            flat = under.ravel()
-            grad["embed"] = np.stack([np.bincount(flat, back[:, k], 256) for k in range(DEPTH)], axis=1)
-            grad["embed"][0] = 0
-            step += 1
-            lr = rate * (1 - step / (total + 1))
-            for k in net:
-                g = grad[k].astype(np.float32) + decay * net[k]
-                m1[k] = 0.9 * m1[k] + 0.1 * g
-                m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                net[k] -= lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-7)
-            net["embed"][0] = 0
+    queue: list[int] = []
+    for step in range(1, steps + 1):
+        if len(queue) < min(BATCH, len(y)):
+            queue += rng.permutation(len(y)).tolist()
+        pick, queue = queue[:BATCH], queue[BATCH:]
+        parts = [chunks(texts[i]) for i in pick]
+        _, grad = gradients(net, np.concatenate(parts), np.array([len(x) for x in parts]), y[pick])
+        lr = rate * (1 - step / (steps + 1))
+        for k in net:
+            g = grad[k].astype(np.float32) + decay * net[k]
+            m1[k] = 0.9 * m1[k] + 0.1 * g
+            m2[k] = 0.999 * m2[k] + 0.001 * g * g
+            net[k] -= lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-7)
+        net["embed"][0] = 0
     return net
 
 
@@ -160,15 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fits the network on at most ``rows`` labelled documents outside the held-out fold, by a hash of the id.
 
     The sample is the only thing that is bounded and the only thing collected. Rows without a label or
-    id do not count; without any labelled row every text scores one half.
+    id do not count; without any labelled row every text scores one half. Ids may be of any type that sorts.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max(label_col).alias("_y"))
     picked = known.orderBy(F.xxhash64(F.lit(11), id_col), id_col).limit(rows)
-    ids = picked.collect()
-    spark = docs.sparkSession
-    small = spark.createDataFrame([(int(r[0]), int(r[1])) for r in ids], "_i long, _y int")
-    sample = docs.join(F.broadcast(small), docs[id_col].cast("long") == small["_i"]).select("_i", "_y", F.col(text_col).alias("_t"))
+    kind = labels.schema[id_col].dataType.simpleString()
+    small = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in picked.collect()], f"_i {kind}, _y int")
+    sample = docs.join(F.broadcast(small), docs[id_col] == small["_i"]).select("_i", "_y", F.col(text_col).alias("_t"))
     found = sorted((r["_i"], r["_t"] or "", r["_y"]) for r in sample.collect())
     return fit([t for _, t, _ in found], [int(y > 0) for _, _, y in found])
 
@@ -176,10 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, net: dict, *, text_col: str = "text", name: str = "score") -> DataFrame:
     """Adds ``name``: the probability that a whole text is good. Null and empty texts are one empty chunk.
 
-    All rows and columns of ``docs`` are kept; a column called ``name`` is replaced.
+    All rows and columns of ``docs`` are kept; if one of them is called ``name``, this is a ValueError.
     """
+    if name in docs.columns:
+        raise ValueError(f"{name}: there is such a column; choose another name")
     text_batches(docs.sparkSession)
-    docs = docs.drop(name)
     at = docs.columns.index(text_col)
     kept = [f"c{i}" for i in range(len(docs.columns))]
     schema = docs.toDF(*kept).schema.add("score", "double")

@@ -158,10 +158,61 @@ def test_quality_learns_and_covers_the_whole_text(spark):
     texts = [t if y else t + " $$$ @@@ $$$ @@@" for t, (_, y) in zip(texts, labels)]
     docs = clashing(frame(spark, texts))
     net = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
-    out = {r["doc_id"]: r["score"] for r in quality.score(docs, net).withColumn("h", quality.held_out()).filter("h").collect()}
+    with pytest.raises(ValueError, match="score"):
+        quality.score(docs, net)
+    out = {r["doc_id"]: r["mine"] for r in quality.score(docs, net, name="mine").withColumn("h", quality.held_out()).filter("h").collect()}
     assert np.mean([(s >= 0.5) == labels[i][1] for i, s in out.items()]) > 0.9
 
 
+def brute_probability(net, text):
+    """Byte by byte: every filter at every place of every chunk."""
+    data = (text or "").encode()
+    step, answers = quality.CHUNK - quality.OVERLAP, []
+    for at in range(0, max(1, len(data) - quality.OVERLAP), step):
+        chunk = data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        places = [np.concatenate([net["embed"][b] for b in chunk[p : p + quality.SPAN]]) for p in range(0, quality.CHUNK - quality.SPAN + 1, quality.STEP)]
+        answers.append([max(0.0, max(float(p @ net["filter"][:, f]) for p in places) + float(net["bias"][f])) for f in range(quality.FILTERS)])
+    a = np.array(answers)
+    z = np.concatenate([a.max(axis=0), a.mean(axis=0), a.min(axis=0)]) @ net["out"] + net["base"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_against_brute_force(spark):
+    net = quality.new_net(3)
+    net["bias"] += 0.1
+    texts = [None, "", "a", "two words", "x" * 512, "é" * 300, " ".join(f"w{i}" for i in range(400))]
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame(spark, texts), net).collect()}
+    assert all(abs(got[i] - brute_probability(net, t)) < 2e-5 for i, t in enumerate(texts))
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(5)
+    net = {k: v.astype(np.float64) for k, v in quality.new_net(4).items()}
+    net["bias"] += 0.05
+    texts = ["".join(map(chr, rng.integers(97, 122, n))) for n in (700, 30, 1500)]
+    parts = [quality.chunks(t) for t in texts]
+    x, size, y = np.concatenate(parts), np.array([len(p) for p in parts]), np.array([1.0, 0.0, 1.0])
+    _, grad = quality.gradients(net, x, size, y)
+    for k in net:
+        for _ in range(12):
+            at = tuple(int(rng.integers(97, 122)) if k == "embed" and i == 0 else int(rng.integers(n)) for i, n in enumerate(net[k].shape))
+            h, was = 1e-6, net[k][at]
+            net[k][at] = was + h
+            up, _ = quality.gradients(net, x, size, y)
+            net[k][at] = was - h
+            down, _ = quality.gradients(net, x, size, y)
+            net[k][at] = was
+            assert abs((up - down) / (2 * h) - grad[k][at]) < 1e-6
+
+
+def test_quality_takes_text_ids_and_repeated_rows(spark):
+    rows = [(f"k{i}", "good words here" if i % 2 else "bad $$$ @@@") for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    net = quality.train(docs, spark.createDataFrame([(f"k{i}", i % 2) for i in range(60)], "doc_id string, quality int"))
+    out = quality.score(docs, net).collect()
+    assert len(out) == 120 and all((r["score"] >= 0.5) == r["text"].startswith("good") for r in out)
+
+
 def test_quality_edges(spark):
     assert sum(len(c) for c in quality.chunks(None)) == quality.CHUNK
     long = "x" * 100_000
