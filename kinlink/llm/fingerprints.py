@@ -8,6 +8,7 @@ keeps 3 blocks as an equality key, and candidates are compared in full.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,8 @@ from ..storage import materialize
 RADIUS = 3
 #: Bits of the blocks, RADIUS of which may differ while as many still agree.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Rows of neighbouring ids that are ordered together.
-SLOT_ROWS = 1000
+#: Slots of neighbouring ids for each shuffle partition.
+SLOTS = 4
 SPACES = r"[\x20\x09-\x0D]+"
 PAIR = (1 << 32) | 1
 
@@ -31,7 +32,11 @@ def votes(word: Column, weight: Column) -> list[Column]:
 
 
 def weight_of(word: Column) -> Column:
-    """0 for the empty word, else 1 to 16 by the square of the length: short words are common and tell little."""
+    """0 for the empty word, else 1 to 16 by the square of the length.
+
+    It stands in for a term's rarity: frequent words are short in every language, and a weight that comes
+    from the word alone needs no count over all documents, so equal texts have equal fingerprints in any corpus.
+    """
     n = F.least(F.char_length(word), F.lit(16)).cast("long")
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(n * n / 16)))
 
@@ -65,35 +70,41 @@ def with_fingerprints(texts: DataFrame, keep: list[str], text_cols: list[str]) -
     return out.drop("_row")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next): each row with the text of the row after it by ascending id, the last with the first's.
+def slots(base: DataFrame, order: str, last: Column) -> tuple[Column, int]:
+    """(slot of a row by its id, how many): slots hold about equally many rows, whatever the ids are.
 
-    Equal ids go by text; rows without an id come last, in an order of their text's hash. Ids are cut
-    into slots of about SLOT_ROWS rows; the last row of each slot gets its neighbour by a join of
-    last and first rows only.
+    Edges are approximate quantiles, one for each slot, found by two short searches. ``last``: a hash by which
+    rows with a null id are dealt to as many slots after the others.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    span = base.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    low, high, n = span[0] or 0, span[1] or 0, max(1, span[2])
-    width = max(1, (high - low + 1) * SLOT_ROWS // n)
-    after = (high - low) // width + 1
-    unnumbered = F.lit(after) + F.pmod(F.xxhash64("text"), F.lit(max(1, n // SLOT_ROWS)))
-    # never null, so that no filter comes between the scan and the one shuffle that all branches share
-    slot = F.coalesce(F.expr(f"(id - {low}L) div {width}L"), unnumbered, F.lit(after)).cast("long")
-    order = [F.col("id").asc_nulls_last(), F.col("text")]
-    by_slot = Window.partitionBy("slot").orderBy(*order)
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = base.withColumn("slot", slot).repartition(4 * count, "slot")
-    rows = rows.withColumn("next", F.lead("text").over(by_slot)).withColumn("first", F.lag(F.lit(1)).over(by_slot).isNull())
-    slots = base.select(slot.alias("slot")).distinct()
-    follows = slots.select(
-        F.col("slot").alias("slot"),
-        F.coalesce(F.lead("slot").over(Window.orderBy("slot")), F.min("slot").over(Window.partitionBy(F.lit(0)))).alias("then"),
-    )
-    first = rows.filter("first").select(F.col("slot").alias("then"), F.col("text").alias("then_text"))
-    last = rows.filter(F.col("next").isNull()).select("id", "text", "slot")
-    last = last.join(follows, "slot").join(first, "then").select("id", "text", F.col("then_text").alias("next"))
-    return rows.filter(F.col("next").isNotNull()).select("id", "text", "next").unionByName(last)
+    count = SLOTS * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.array(*(F.lit(i / count) for i in range(1, count)))
+    edges = sorted(set(base.agg(F.percentile_approx(order, at, F.lit(max(10_000, 20 * count)))).first()[0] or []))
+    unnumbered = F.lit(len(edges) + 1).cast("long") + F.pmod(last, F.lit(count))
+    if not edges:
+        return F.coalesce(F.when(F.col(order).isNotNull(), F.lit(0)).cast("long"), unnumbered), 2 * count
+    step = max(1, math.isqrt(len(edges)))
+    parts = [edges[i : i + step] for i in range(0, len(edges), step)]
+    longs = lambda xs: F.array(*(F.lit(x) for x in xs))
+    behind = lambda xs: F.size(F.filter(xs, lambda e: e <= F.col(order)))
+    coarse = behind(longs([p[0] for p in parts]))
+    fine = behind(F.element_at(F.array(*(longs(p) for p in parts)), F.greatest(coarse, F.lit(1))))
+    found = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine).cast("long")
+    return F.when(F.col(order).isNull(), unnumbered).otherwise(found), 2 * count
+
+
+def with_next(rows: DataFrame, column: str, order: list[str], name: str = "next") -> DataFrame:
+    """Adds ``name``: ``column`` of the row after it by ``slot`` and ``order`` (nulls last), for the last row the first's.
+
+    Only first and last rows of slots are joined, one of each for a slot.
+    """
+    by_slot = Window.partitionBy("slot").orderBy(*(F.col(c).asc_nulls_last() for c in order))
+    ranked = rows.withColumn(name, F.lead(column).over(by_slot)).withColumn("_last", F.lead(F.lit(1)).over(by_slot).isNull()).withColumn("_first", F.lag(F.lit(1)).over(by_slot).isNull())
+    first = ranked.filter("_first").select(F.col("slot").alias("_slot"), F.col(column).alias("_value"))
+    every = Window.orderBy("_slot")  # one row for each slot
+    follow = first.select("_slot", F.lead("_slot").over(every).alias("_then"), F.min("_slot").over(Window.partitionBy(F.lit(0))).alias("_begin"))
+    follow = follow.select(F.col("_slot").alias("slot"), F.coalesce("_then", "_begin").alias("_slot"))
+    last = ranked.filter("_last").join(follow.hint("merge"), "slot").join(first.hint("merge"), "_slot").select(*rows.columns, F.col("_value").alias(name))
+    return ranked.filter(~F.col("_last")).select(*rows.columns, name).unionByName(last)
 
 
 def block_masks() -> list[int]:
@@ -136,28 +147,36 @@ def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Fingerprints of every document and of its edited text, and how alike they are.
 
     Edited text: the last quarter of the code points (rounded down) replaced by the first as many, or
-    all, of the next document. Rows whose id ``every`` divides are queries: ``n_near`` counts the other
-    documents within RADIUS bits; null for the rest. Null texts are empty; texts without words have
-    fingerprint 0; repeated rows stay; an empty table gives no rows; other columns are not read.
+    all, of the next document by ascending id; equal ids go by a hash of the text, rows without an id come
+    last. Rows whose id ``every`` divides are queries: ``n_near`` counts the other documents within RADIUS
+    bits; null for the rest. Null texts are empty; texts without words have fingerprint 0; repeated rows
+    stay; an empty table gives no rows; other columns are not read. Ids are whole numbers (else ValueError).
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col}: whole numbers are needed, since documents follow each other by them")
+    count = SLOTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.hash("text"))
+    slot, _ = slots(base.select("id"), "id", F.col("h1"))
+    order = ["id", "h1", "h2"]
+    rows = with_next(base.withColumn("slot", slot).repartition(count, "slot"), "text", order)
     n = F.char_length("text").cast("long")
     cut = F.floor(n / 4).cast("int")
-    rows = with_next(docs, id_col, text_col).withColumn("n_chars", n)
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next", F.lit(1), cut)))
-    rows = rows.select(
-        F.col("id"), "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"),
-        F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.xxhash64("next").alias("n1"), F.hash("next").alias("n2"),
-    )
-    found = materialize(with_fingerprints(rows, ["id", "n_chars", "edited_sha256", "h1", "h2", "n1", "n2"], ["text", "edited"]), "fingerprints")
-    by_text = found.groupBy(F.col("h1").alias("n1"), F.col("h2").alias("n2")).agg(F.first("text_fp").alias("next_fp"))
+    rows = rows.withColumn("n_chars", n).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next", F.lit(1), cut)))
+    rows = rows.select(*order, "slot", "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"))
+    found = materialize(with_fingerprints(rows, [*order, "slot", "n_chars", "edited_sha256"], ["text", "edited"]), "fingerprints")
     prints = found.groupBy(F.col("text_fp").alias("fp")).agg(F.count(F.lit(1)).alias("n"))
     asked = found.filter(F.col("id") % every == 0).select(F.col("text_fp").alias("fp")).distinct()
-    near = search(asked, prints.select("fp")).join(prints, "fp").groupBy("q").agg((F.sum("n") - 1).alias("n_near"))
+    near = search(asked, prints.select("fp")).join(prints.hint("merge"), "fp").groupBy("q").agg((F.sum("n") - 1).alias("n_near"))
+    near = materialize(near, "near")
     alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(64.0)
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    out = found.join(by_text, ["n1", "n2"], "left").join(near, found["text_fp"] == near["q"], "left")
+    out = with_next(found, "text_fp", order, "next_fp")
+    # only queries are joined: the others would all meet under the fingerprint of the empty text and the like
+    asks = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    counted = out.filter(asks).join(near.hint("merge"), F.col("text_fp") == F.col("q"), "left").drop("q")
+    out = counted.unionByName(out.filter(~asks).withColumn("n_near", F.lit(None).cast("long")))
     return out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", hexed("text_fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
-        alike("text_fp", "edited_fp").alias("near_edited"), alike("text_fp", "next_fp").alias("near_next"),
-        F.when(F.col("id") % every == 0, F.col("n_near")).alias("n_near"),
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_chars", "edited_sha256", hexed("text_fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
+        alike("text_fp", "edited_fp").alias("near_edited"), alike("text_fp", "next_fp").alias("near_next"), "n_near",
     )

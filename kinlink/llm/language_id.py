@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialize
 from .html_text import RAW, lines_of
@@ -28,12 +29,14 @@ STRIP = 1 << 20
 #: Comments, raw text and the start tags that may declare a language; whatever is opened and not closed goes to the end.
 DECLARING = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(?:html|body)\b([^>]*)", re.I | re.S)
 LANG = re.compile(r"\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-#: Trigrams that count in full as evidence: neighbouring ones repeat each other.
+#: Trigrams that a text of any length is worth at most, smoothly approached: neighbouring ones repeat each other.
 EVIDENCE = 60.0
 #: Chance that markup declares the right language, when it declares one that is known.
 DECLARED_RIGHT = 0.85
 #: Pages of the parent that a prior is worth, and pages added to each suffix count.
 HOST_PAGES, DOMAIN_PAGES, SUFFIX_PAGES = 10.0, 100.0, 5.0
+#: Hosts, domains or suffixes whose sums are broadcast at most: some 100 bytes each. More are joined by key.
+MOST_GROUPS = 100_000
 
 
 def trigrams(data: bytes):
@@ -83,8 +86,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     text_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     picked = [r[0] for r in known.select(id_col).distinct().orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(rows).collect()]
-    ids = docs.sparkSession.createDataFrame([(int(i),) for i in picked], "i long")
-    sample = known.join(F.broadcast(ids), known[id_col].cast("long") == ids["i"]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], T.StructType([T.StructField("i", docs.schema[id_col].dataType)]))
+    sample = known.join(F.broadcast(ids), known[id_col] == ids["i"]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
@@ -134,7 +137,7 @@ def identify(pages: DataFrame, models: tuple[list[str], object], *, id_col: str
                 for grams in strips("\n".join(lines_of(page)[1])):
                     score += model[grams].sum(axis=0, dtype=np.float64)
                     n += len(grams)
-                logs.append((score * min(1.0, EVIDENCE / n) if n else score).tolist())
+                logs.append((score * (EVIDENCE / (EVIDENCE + n))).tolist())
                 declared.append(declared_language(page))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(logs, pa.list_(pa.float64())), pa.array(declared, pa.string())], names=["id", "host", "path", "logs", "declared"])
 
@@ -157,7 +160,9 @@ def identify(pages: DataFrame, models: tuple[list[str], object], *, id_col: str
     everyone = [(total[f"s{i}"] or 0.0) + 1.0 for i in range(k)]
     base = F.array(*(F.lit(x / sum(everyone)) for x in everyone))
     hosts = rows.groupBy("host").agg(F.first("domain").alias("domain"), F.array(*(F.sum(F.col("p")[i]) for i in range(k))).alias("host_sum"))
-    joined = rows.join(hosts.drop("domain"), "host").join(sums("domain"), "domain").join(sums("suffix"), "suffix")
+    near = lambda table: F.broadcast(table) if table.count() <= MOST_GROUPS else table
+    hosts = near(materialize(hosts.drop("domain"), "hosts"))
+    joined = rows.join(hosts, "host").join(near(materialize(sums("domain"), "domains")), "domain").join(near(materialize(sums("suffix"), "suffixes")), "suffix")
     whole = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
     less = lambda xs: F.zip_with(xs, F.col("p"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
     shrink = lambda own, parent, worth: F.transform(F.zip_with(own, parent, lambda a, b: a + b * worth), lambda x: x / (whole(own) + worth))

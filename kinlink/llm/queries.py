@@ -18,7 +18,7 @@ from .mixing import mix
 from .quality import held_out, score, train
 from .simhash import as_hex, near_duplicates
 from .substring_dedup import dedup_substrings
-from .url_filter import RULES, judge
+from .url_filter import RULES, TWO_LABELS, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,7 +86,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad if the label of the same number says low quality or toxic."""
     labels = _read(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return judge(_read(spark, sf_dir, "pages"), outcomes, rules=RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge(_read(spark, sf_dir, "pages"), outcomes, rules=RULES).select("page_id", "host", "path", "rule", "verdict", "bad_low")
 
 
 SQL["op4_url_filters"] = r"""
@@ -97,7 +97,8 @@ WITH u AS (
 o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM u LEFT JOIN o ON doc_id = page_id GROUP BY host),
 h1 AS (SELECT *, string_split(host, '.') AS l FROM h0),
-h2 AS (SELECT host, n, k, l[-1] AS suffix, CASE WHEN len(l) < 2 THEN host ELSE l[-2] || '.' || l[-1] END AS domain FROM h1),
+t AS (SELECT *, CASE WHEN len(l) < 2 THEN host ELSE l[-2] || '.' || l[-1] END AS two FROM h1),
+h2 AS (SELECT host, n, k, CASE WHEN two IN @@ THEN two ELSE l[-1] END AS suffix, CASE WHEN two IN @@ AND len(l) > 2 THEN l[-3] || '.' || two ELSE two END AS domain FROM t),
 g AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS rate FROM h2),
 d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h2 GROUP BY suffix, domain),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(g.rate) AS rate FROM d0, g GROUP BY suffix),
@@ -116,9 +117,9 @@ h5 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b +
 r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 best AS (SELECT hp.host, hp.path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
          FROM (SELECT DISTINCT host, path FROM u) hp JOIN r ON (hp.host = h OR ends_with(hp.host, '.' || h)) AND starts_with(hp.path, p) GROUP BY hp.host, hp.path)
-SELECT page_id, u.host, u.path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, u.host, u.path, rule, coalesce(v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(low, 6) AS bad_low
 FROM u JOIN h5 ON h5.host = u.host LEFT JOIN best ON best.host = u.host AND best.path = u.path
-"""
+""".replace("@@", str(TWO_LABELS))
 
 
 @_query

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered (fixed values).
+#: Suffixes of two labels under which names are registered, unless a longer list is given (fixed values).
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.in", "co.kr", "co.za", "com.br", "com.mx", "com.cn", "com.tr")
 #: The rules of the contract: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -24,6 +24,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 BELOW, LIMIT = 1.645, 0.5
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: Hosts whose reputations are broadcast at most: some 100 bytes each.
+MOST_HOSTS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -45,14 +47,22 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return found
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_of(host: Column, suffixes: Sequence[str] = TWO_LABELS) -> Column:
+    """The longest of ``suffixes`` (of two labels or more) that the host ends in, else its last label."""
+    out = F.substring_index(host, ".", -1)
+    for n in sorted({x.count(".") + 1 for x in suffixes}):
+        tail = F.substring_index(host, ".", -n)
+        out = F.when(tail.isin(*(x for x in suffixes if x.count(".") + 1 == n)), tail).otherwise(out)
+    return out
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(host: Column, suffixes: Sequence[str] = TWO_LABELS) -> Column:
+    """The suffix and the label before it: the registered name."""
+    out = F.substring_index(host, ".", -2)
+    for n in sorted({x.count(".") + 1 for x in suffixes}):
+        tail = F.substring_index(host, ".", -n)
+        out = F.when(tail.isin(*(x for x in suffixes if x.count(".") + 1 == n)), F.substring_index(host, ".", -n - 1)).otherwise(out)
+    return out
 
 
 def _strength(level: DataFrame, rate: Column) -> float:
@@ -71,7 +81,7 @@ def _strength(level: DataFrame, rate: Column) -> float:
     return STRONGEST if over <= inside / (STRONGEST + 1) else min(max(inside / over - 1, WEAKEST), STRONGEST)
 
 
-def reputations(urls: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputations(urls: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = TWO_LABELS) -> DataFrame:
     """(host, mean, low): posterior bad rate of every host of ``urls`` and its lower bound.
 
     ``urls``: id, host. ``outcomes``: id, bad (0 or 1; null: no outcome). Pages are counted per host
@@ -79,7 +89,7 @@ def reputations(urls: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     counted = outcomes.filter(F.col("bad").isNotNull()).groupBy("id").agg(F.max("bad").alias("bad"))
     hosts = urls.join(counted, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
-    hosts = materialize(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))), "hosts")
+    hosts = materialize(hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), suffixes)), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     mean = (total["k"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     n, k = F.col("n"), F.col("k")
@@ -89,7 +99,7 @@ def reputations(urls: DataFrame, outcomes: DataFrame) -> DataFrame:
     suffixes = suffixes.select("suffix", shrunk(F.lit(mean), _strength(suffixes, F.lit(mean))).alias("suffix_rate"))
     domains = domains.join(suffixes, "suffix")
     domains = domains.select("domain", shrunk(F.col("suffix_rate"), _strength(domains, F.col("suffix_rate"))).alias("domain_rate"))
-    hosts = hosts.join(domains, "domain")
+    hosts = materialize(hosts.join(domains, "domain"), "hosts")
     m = _strength(hosts, F.col("domain_rate"))
     a, b = F.lit(m) * F.col("domain_rate") + k, F.lit(m) * (1 - F.col("domain_rate")) + n - k
     post = a / (a + b)
@@ -104,16 +114,20 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
+    suffixes: Sequence[str] = TWO_LABELS,
     limit: float = LIMIT,
 ) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), and the host's ``bad_low`` that decides without a rule.
 
     A null url, or one without ``://``, has an empty host and path; that empty host has a reputation
     like any other. Pages without an outcome count for nothing; without any outcome the rate is one
-    half and nothing is blocked. Repeated ids count each; an empty table gives no rows.
+    half and nothing is blocked. Repeated ids count each; an empty table gives no rows. ``suffixes``:
+    public suffixes of two labels and more. Up to MOST_HOSTS hosts are broadcast, so that pages are not
+    moved; of more, Spark joins by host and divides hosts that many pages share.
     """
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = reputations(urls.select("id", "host"), outcomes)
+    known = materialize(reputations(urls.select("id", "host"), outcomes, suffixes), "reputations")
+    known = F.broadcast(known) if known.count() <= MOST_HOSTS else known
     rule = rule_for(F.col("host"), F.col("path"), rules)
     judged = urls.withColumn("r", rule).join(known, "host", "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("low") > limit, F.lit("block")).otherwise(F.lit("allow")))

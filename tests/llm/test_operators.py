@@ -333,6 +333,61 @@ def test_reputation_blocks_bad_hosts_only(spark):
     assert all(r["verdict"] == ("block" if r["host"] == "bad.org" else "allow") for r in got)
 
 
+def test_suffixes_and_empty_pages(spark):
+    df = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("x",), ("",), ("a.b.c.d.e",)], "h string")
+    got = [tuple(r) for r in df.select(url_filter.suffix_of(F.col("h"), ["co.uk", "c.d.e"]), url_filter.domain_of(F.col("h"), ["co.uk", "c.d.e"])).collect()]
+    assert got == [("co.uk", "b.co.uk"), ("com", "b.com"), ("x", "x"), ("", ""), ("c.d.e", "b.c.d.e")]
+    none = spark.createDataFrame([], "id long, bad int")
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
+    twice = spark.createDataFrame([(1, "http://a.co.uk/"), (1, "http://a.co.uk/"), (None, None)], "page_id long, url string")
+    assert len({(r["page_id"], r["bad_low"]) for r in url_filter.judge(twice, none).collect()}) == 2 and url_filter.judge(twice, none).count() == 3
+
+
+def brute_low(pages, bad, two):
+    """Posterior bounds of hosts, level by level, in plain Python."""
+    counts = {}
+    for i, host in pages:
+        n, k = counts.get(host, (0, 0))
+        counts[host] = (n + (i in bad), k + bad.get(i, 0))
+    label = lambda h, n: ".".join(h.split(".")[-n:])
+    suffix = {h: label(h, 2) if label(h, 2) in two else label(h, 1) for h in counts}
+    domain = {h: label(h, 3) if label(h, 2) in two else label(h, 2) for h in counts}
+    add = lambda keys: {g: tuple(sum(counts[h][c] for h in counts if keys[h] == g) for c in (0, 1)) for g in set(keys.values())}
+    by_suffix, by_domain = add(suffix), add(domain)
+    total = [sum(c[x] for c in counts.values()) for x in (0, 1)]
+
+    def level(groups, prior):
+        some = [g for g, (n, _) in groups.items() if n]
+        n = lambda g: groups[g][0]
+        pages_ = sum(map(n, some))
+        over = (sum(n(g) * (groups[g][1] / n(g) - prior[g]) ** 2 for g in some) - sum(prior[g] * (1 - prior[g]) for g in some)) / pages_
+        inside = sum(n(g) * prior[g] * (1 - prior[g]) for g in some) / pages_
+        m = 1000.0 if over <= inside / 1001 else min(max(inside / over - 1, 1.0), 1000.0)
+        return m, {g: (m * prior[g] + groups[g][1]) / (m + n(g)) for g in groups}
+
+    _, s = level(by_suffix, dict.fromkeys(by_suffix, (total[1] + 0.5) / (total[0] + 1)))
+    _, d = level(by_domain, {domain[h]: s[suffix[h]] for h in counts})
+    prior = {h: d[domain[h]] for h in counts}
+    m, _ = level(counts, prior)
+    out = {}
+    for h, (n, k) in counts.items():
+        a, b = m * prior[h] + k, m * (1 - prior[h]) + n - k
+        out[h] = a / (a + b) - 1.645 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+    return out
+
+
+def test_reputation_against_brute_force(spark):
+    rng = random.Random(3)
+    hosts = ["a.x.com", "b.x.com", "y.org", "c.z.co.uk", "w.co.uk", "v.net"]
+    pages = [(i, rng.choice(hosts)) for i in range(300)]
+    bad = {i: int(rng.random() < 0.15 * (1 + hosts.index(h))) for i, h in pages if i % 3}
+    low = brute_low(pages, bad, url_filter.TWO_LABELS)
+    out = url_filter.judge(spark.createDataFrame([(i, f"http://{h}/{i}") for i, h in pages], "page_id long, url string"), spark.createDataFrame(sorted(bad.items()), "id long, bad int"), rules=())
+    for r in out.collect():
+        assert abs(r["bad_low"] - low[r["host"]]) < 2e-6 and r["verdict"] == ("block" if low[r["host"]] > 0.5 else "allow")
+    assert len({r["verdict"] for r in out.collect()}) == 2
+
+
 # 5 SimHash
 
 
@@ -525,12 +580,49 @@ def test_distance():
 def test_licences(spark):
     mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + licenses.MIT.upper().replace('"', "'")
     british = "Licenced under the Apache Licence, Version 2.0"
-    docs = clashing(frame(spark, [mit, british, licenses.MIT + " and more", None, ""]))
+    docs = clashing(frame(spark, [mit, british, licenses.MIT + " and more", None, "", british, "word " * 300_000]))
     got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
-    assert got == {0: "MIT", 1: "Apache-2.0", 2: None, 3: None, 4: None}
+    assert got == {0: "MIT", 1: "Apache-2.0", 2: None, 3: None, 4: None, 5: "Apache-2.0", 6: None}
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+@pytest.mark.parametrize("width", [40, 60, 66, 72, 80])
+def test_wrapped_licences(spark, width):
+    """Wherever lines break, also before "copyright notice", with the holder's line before."""
+    known = [("ISC", licenses.ISC), ("MIT", licenses.MIT), ("BSD-2-Clause", licenses.BSD_TWO), ("BSD-3-Clause", licenses.BSD_THREE), ("Zlib", licenses.ZLIB)]
+    texts = [f"{head}\n\n{wrapped(t, width)}\n" for _, t in known for head in ("Copyright (c) 1999-2020, Some One", "Copyright © Some One\nAll rights reserved.", "# Copyright 2001 by X <x@y.org>")]
+    got = [r["license"] for r in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [name for name, _ in known for _ in range(3)]
+
+
+def test_spellings_next_to_each_other(spark):
+    df = spark.createDataFrame([("The owner owner owners, whilst LICENCE",)], "t string")
+    assert df.select(licenses.canonical(F.col("t"))).first()[0] == "the holder holder holders while license"
+
+
+def test_licences_of_a_table(spark):
+    known = spark.createDataFrame([("Own-1.0", "You may do\nanything."), ("Own-1.0", ""), ("Other", None)], "license string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame(spark, ["YOU MAY do anything!", "", licenses.ZLIB]), known=known).collect()}
+    assert got == {0: "Own-1.0", 1: None, 2: "Zlib"}
+
+
+def test_digests_of_published_texts(spark):
+    import pathlib
+
+    where = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not where.is_dir():
+        pytest.skip("no licence texts here")
+    docs = spark.createDataFrame([(n, (where / f).read_text()) for f, n in names.items()], "doc_id string, text string")
+    assert all(r["doc_id"] == r["license"] for r in licenses.scan(docs).collect())
+
+
 # 8 HTML
 
 
@@ -680,6 +772,65 @@ def test_languages_learn_from_whole_texts(spark):
         assert langs[sums[:2].argmax()] == lang and abs(sums[0] - sums[1]) > 1
 
 
+def test_languages_edges(spark):
+    docs = spark.createDataFrame([("k1", "the house and the garden " * 20, "en"), ("k2", "das haus und der garten " * 20, "de"), (None, "x", "en"), ("k3", None, "fr")], "doc_id string, text string, lang string")
+    models = language_id.train(docs)
+    assert models[0] == ["de", "en"]
+    long = "<p>" + "der garten " * 60_000 + "</p>"
+    rows = [(1, "http://a.x/1", long), (1, "http://a.x/1", long), (2, "http://b.y/de/2", ""), (3, None, None), (4, "http://c.z/", "<p>12 34</p>")]
+    got = sorted((r["page_id"], r["lang"], 0 < r["prob"] <= 1) for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), models).collect())
+    assert len(got) == 5 and got[0] == got[1] == (1, "de", True) and all(x[2] for x in got)
+    assert language_id.identify(spark.createDataFrame([], "page_id long, url string, html string"), models).count() == 0
+    none = language_id.train(docs.limit(0))
+    assert {r["lang"] for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), none).collect()} == {"und"}
+
+
+def brute_languages(langs, pages):
+    """Fusion in plain Python from (host, domain, suffix, log-likelihoods, declared)."""
+    k = len(langs)
+    soft = lambda x: (lambda e: [v / sum(e) for v in e])([np.exp(v - max(x)) for v in x])
+    wrong = (1 - language_id.DECLARED_RIGHT) / max(1, k - 1)
+    logs = [[x + (np.log(language_id.DECLARED_RIGHT if d == lang else wrong) if d in langs else 0.0) for x, lang in zip(lg, langs)] for _, _, _, lg, d in pages]
+    first = [soft(x) for x in logs]
+    total = [sum(p[i] for p in first) + 1 for i in range(k)]
+    base = [x / sum(total) for x in total]
+
+    def others(at, col):
+        return [sum(first[j][i] for j in range(len(pages)) if pages[j][col] == pages[at][col] and j != at) for i in range(k)]
+
+    def shrink(own, parent, worth):
+        return [(a + b * worth) / (sum(own) + worth) for a, b in zip(own, parent)]
+
+    out = []
+    for at in range(len(pages)):
+        d = shrink(others(at, 1), base, language_id.DOMAIN_PAGES)
+        h = shrink(others(at, 0), d, language_id.HOST_PAGES)
+        s = [a / b for a, b in zip(shrink(others(at, 2), base, language_id.SUFFIX_PAGES), base)]
+        post = soft([x + np.log(a) + np.log(b) for x, a, b in zip(logs[at], h, s)])
+        out.append((langs[int(np.argmax(post))], max(post)))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(1, "the house and the garden with trees " * 9, "en"), (2, "das haus und der garten mit baum " * 9, "de"), (3, "la maison et le jardin avec arbre " * 9, "fr")], "doc_id long, text string, lang string")
+    langs, table = language_id.train(docs)
+    words = "the house and garden das haus und der garten la maison et le jardin".split()
+    rows, pages = [], []
+    for i in range(40):
+        text, lang, host = " ".join(rng.choice(words) for _ in range(rng.randint(0, 6))), rng.choice(["en", "de", "xx", None]), f"{rng.choice('ab')}.{rng.choice('xy')}.com"
+        segment = rng.choice(["de", "fr", "page"])
+        rows.append((i, f"http://{host}/{segment}/{i}", f"<html{f' lang={lang}' if lang else ''}><body><p>{text}</p></body></html>"))
+        data = b" " + text.lower().encode() + b" "
+        x = [32 if c < 65 else c for c in data]
+        grams = [((((a << 16) | (b << 8) | c) * 2654435761) % (1 << 32)) >> 17 for a, b, c in zip(x, x[1:], x[2:])] if text else []
+        score = [float(sum(float(table[g][j]) for g in grams)) for j in range(len(langs))]
+        pages.append((host, host[2:], f"com/{segment if len(segment) == 2 else ''}", [v * 60 / (60 + len(grams)) for v in score], lang))
+    got = {r["page_id"]: (r["lang"], r["prob"]) for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), (langs, table)).collect()}
+    for i, (lang, p) in enumerate(brute_languages(langs, pages)):
+        assert abs(got[i][1] - p) < 1e-4 and (got[i][0] == lang or p < 0.51)
+
+
 # 10 fingerprints
 
 
@@ -714,9 +865,34 @@ def test_block_tables_find_all_pairs(spark):
 
 
 def test_next_with_repeated_and_null_ids(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "z"), (5, None)], "doc_id long, text string")
-    got = sorted((r["id"] is None, r["id"] or 0, r["text"], r["next"]) for r in fingerprints.with_next(df, "doc_id", "text").collect())
-    assert got == [(False, 1, "a", "b"), (False, 1, "b", ""), (False, 5, "", "z"), (True, 0, "z", "a")]
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "z"), (5, None), (-(1 << 63), "low"), ((1 << 63) - 1, "high"), *((i, f"t{i}") for i in range(1000, 1100))]
+    got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    key = {t or "": fingerprints_of(spark, t) for _, t in rows}
+    one = sorted([("a", key["a"]), ("b", key["b"]), ("b", key["b"])], key=lambda x: text_hash(spark, x[0]))
+    line = ["low", *(t for t, _ in one), "", *(f"t{i}" for i in range(1000, 1100)), "high", "z"]
+    alike = lambda a, b: 1 - (int(key[a], 16) ^ int(key[b], 16)).bit_count() / 64
+    want = sorted((key[a], alike(a, b)) for a, b in zip(line, line[1:] + line[:1]))
+    assert sorted((r["fingerprint"], r["near_next"]) for r in got) == want
+
+
+def fingerprints_of(spark, text):
+    df = spark.createDataFrame([(0, text or "")], "k long, text string")
+    return f"{fingerprints.with_fingerprints(df, ['k'], ['text']).first()['text_fp'] % (1 << 64):016x}"
+
+
+def text_hash(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
+def test_slots_are_even_whatever_the_ids(spark):
+    for ids in (list(range(5000)) + [1 << 62], [i * i * i for i in range(5000)]):
+        df = spark.createDataFrame([(i,) for i in ids], "id long")
+        slot, _ = fingerprints.slots(df, "id", F.lit(0).cast("long"))
+        sizes = [r["count"] for r in df.groupBy(slot.alias("s")).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * len(ids) / 16
+        ordered = [r["s"] for r in df.withColumn("s", slot).orderBy("id").collect()]
+        assert ordered == sorted(ordered)
 
 
 def test_sql_of_substring_dedup(spark, tmp_path):
