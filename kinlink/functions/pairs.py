@@ -1,6 +1,6 @@
 """Features of a pair of records: the clean one's columns begin with a_, the noisy one's with b_.
 
-Sets, numbers and counts are native. Character ratios and the alignment of tokens run in Arrow UDFs.
+Sets, numbers, counts and the pairing of words are native. Character ratios and misspellings run in Arrow UDFs.
 Where one side has nothing to compare, a feature is -1.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .similarity import idf_overlap, jaccard, jaro_winkler, jaro_winkler_udf, levenshtein_similarity, partial_udf, ratio_udf, token_set_udf, token_sort_udf
+from .similarity import idf_overlap, is_abbreviation, jaccard, jaro_winkler, jaro_winkler_udf, levenshtein_similarity, partial_udf, ratio_udf, token_set_udf, token_sort_udf
 from .text import non_latin, squash
 from .words import tokens
 
@@ -79,70 +79,64 @@ def joined_names(a: Column, b: Column) -> Column:
     return F.struct((long & (F.contains(a, b) | F.contains(b, a))).cast("int").alias("inside"), ((a == b) & (a != "")).cast("int").alias("equal"))
 
 
-def shortens(short: str, long: str) -> bool:
+def shortens(short: Column, long: Column) -> Column:
     """A shorter word with the same first letter, whose letters occur in the longer one in order."""
-    if not short or len(short) >= len(long) or short[0] != long[0]:
-        return False
-    at = 0
-    for ch in long:
-        at += at < len(short) and ch == short[at]
-    return at == len(short)
+    return (F.char_length(short) < F.char_length(long)) & is_abbreviation(short, long)
 
 
-def abbreviation_cover(a: list[str], b: list[str]) -> tuple[float, float, int, int]:
-    """Shares of both lists that pair up as equal or abbreviated words, how many are abbreviated, whether the first two pair.
+def abbreviation_cover(a: Column, b: Column) -> Column:
+    """struct(cover_a, cover_b, n_short, first): shares of both lists that pair up as equal or abbreviated words.
 
-    Words of ``a`` choose in order: an equal word that is free, else the first free abbreviation.
+    Words of ``a`` choose in order: an equal word of ``b`` that is free, else the first free one that either
+    abbreviates. n_short counts the latter; first: whether the first words of both pair.
     """
-    if not a or not b:
-        return 0.0, 0.0, 0, 0
-    alike = lambda x, y: shortens(x, y) or shortens(y, x)
-    names = list(dict.fromkeys(b))
-    free, paired, short = set(names), 0, 0
-    for word in a:
-        pick = word if word in free else next((u for u in names if u in free and alike(word, u)), None)
-        if pick is not None:
-            free.discard(pick)
-            paired += 1
-            short += pick != word
-    return paired / len(a), (len(names) - len(free)) / len(b), short, int(a[0] == b[0] or alike(a[0], b[0]))
-
+    alike = lambda x, y: shortens(x, y) | shortens(y, x)
+    none = F.lit(None).cast("string")
+
+    def step(s: Column, word: Column) -> Column:
+        pick = F.when(F.array_contains(s["free"], word), word).otherwise(F.get(F.filter(s["free"], lambda u: alike(word, u)), F.lit(0)))
+        return F.struct(
+            F.when(pick.isNull(), s["free"]).otherwise(F.array_remove(s["free"], F.coalesce(pick, F.lit("")))).alias("free"),
+            (s["paired"] + pick.isNotNull().cast("int")).alias("paired"), (s["short"] + F.coalesce(pick != word, F.lit(False)).cast("int")).alias("short"),
+        )
+
+    x, y = F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))
+    names = F.array_distinct(y)
+    done = F.aggregate(x, F.struct(names.alias("free"), F.lit(0).alias("paired"), F.lit(0).alias("short")), step)
+    some = (F.size(x) > 0) & (F.size(y) > 0)
+    head, other = F.coalesce(first(x), none), F.coalesce(first(y), none)
+    return F.struct(
+        F.when(some, done["paired"] / F.size(x)).otherwise(F.lit(0.0)).alias("cover_a"), F.when(some, (F.size(names) - F.size(done["free"])) / F.size(y)).otherwise(F.lit(0.0)).alias("cover_b"),
+        F.when(some, done["short"]).otherwise(F.lit(0)).alias("n_short"), F.when(some, ((head == other) | alike(head, other)).cast("int")).otherwise(F.lit(0)).alias("first"),
+    )
 
-COVER = T.StructType([T.StructField(n, T.DoubleType() if i < 2 else T.IntegerType()) for i, n in enumerate("cover_a cover_b n_short first".split())])
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def misspelled_udf(words, known):
+    """Which of the words are close to a known one; pairs of words are compared once a batch."""
+    import functools
 
-@F.pandas_udf(COVER)
-def abbreviation_udf(a, b):
     import pandas as pd
 
-    none = lambda x: [] if x is None else list(x)
-    return pd.DataFrame([abbreviation_cover(none(x), none(y)) for x, y in zip(a, b, strict=True)], columns=COVER.names)
-
-
-def align(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> tuple[int, int, int, float, float, float]:
-    """Tokens of b that a lacks, as misspellings or other words, tokens of a that b lacks, and extremes of their weights."""
-    known, there = set(a), set(b)
-    other, typos = [], 0
-    for tok, w in zip(b, wb):
-        if tok not in known:
-            if any(jaro_winkler(tok, u) >= TYPO for u in known):
-                typos += 1
-            else:
-                other.append(w)
-    gone = [w for tok, w in zip(a, wa) if tok not in there]
-    low = lambda xs: min(xs, default=NOTHING)
-    return typos, len(other), len(gone), low(other), max(other, default=NOTHING), low(gone)
-
+    close = functools.cache(lambda x, y: jaro_winkler(x, y) >= TYPO)
+    return pd.Series([[any(close(x, y) for y in k) for x in w] for w, k in zip(words, known, strict=True)])
 
-ALIGNED = T.StructType([T.StructField(n, T.IntegerType() if i < 3 else T.DoubleType()) for i, n in enumerate("typos others gone other_min other_max gone_min".split())])
 
+def align(a: Column, b: Column, wa: Column, wb: Column) -> Column:
+    """struct(typos, others, gone, other_min, other_max, gone_min) of two token lists and their weights.
 
-@F.pandas_udf(ALIGNED)
-def align_udf(a, b, wa, wb):
-    import pandas as pd
-
-    none = lambda x: [] if x is None else list(x)
-    return pd.DataFrame([align(*map(none, r)) for r in zip(a, b, wa, wb, strict=True)], columns=ALIGNED.names)
+    Tokens of b that a lacks are misspellings of one of a's or other words; gone are tokens of a that b lacks.
+    """
+    z = lambda x, w, there: F.filter(F.arrays_zip(x.alias("t"), w.alias("w")), lambda e: e["t"].isNotNull() & ~F.array_contains(there, e["t"]))
+    new, gone = z(b, wb, a), z(a, wa, b)
+    typo = misspelled_udf(F.transform(new, lambda e: e["t"]), F.array_distinct(a))
+    marked = F.zip_with(new, typo, lambda e, m: F.struct(e["w"].alias("w"), m.alias("m")))
+    other = F.transform(F.filter(marked, lambda e: ~e["m"]), lambda e: e["w"].cast("double"))
+    low = lambda xs: F.coalesce(F.array_min(xs), F.lit(NOTHING))
+    return F.struct(
+        (F.size(new) - F.size(other)).alias("typos"), F.size(other).alias("others"), F.size(gone).alias("gone"), low(other).alias("other_min"),
+        F.coalesce(F.array_max(other), F.lit(NOTHING)).alias("other_max"), low(F.transform(gone, lambda e: e["w"].cast("double"))).alias("gone_min"),
+    )
 
 
 def anchor_similarity(df: DataFrame, one: str, two: str, prefix: str = "anc") -> DataFrame:
@@ -206,8 +200,8 @@ def weight_features(df: DataFrame) -> DataFrame:
     both = (F.size(aat) > 0) & (F.size(bat) > 0)
     out = df.select(
         "*", idf_overlap(at, w("a_n_idf"), bt).alias("n_over_a"), idf_overlap(bt, w("b_n_idf"), at).alias("n_over_b"), idf_overlap(aat, w("a_a_idf"), bat).alias("a_over_a"),
-        idf_overlap(bat, w("b_a_idf"), aat).alias("a_over_b"), align_udf(at, bt, w("a_n_idf"), w("b_n_idf")).alias("n_aligned"),
-        F.when(both, align_udf(aat, bat, w("a_a_idf"), w("b_a_idf"))).alias("a_aligned"),
+        idf_overlap(bat, w("b_a_idf"), aat).alias("a_over_b"), align(at, bt, w("a_n_idf"), w("b_n_idf")).alias("n_aligned"),
+        F.when(both, align(aat, bat, w("a_a_idf"), w("b_a_idf"))).alias("a_aligned"),
     )
     unknown = F.size(F.filter(w("b_n_idf"), lambda x: x >= UNSEEN)) / F.size(w("b_n_idf"))
     return out.withColumn("unknown_b", _or_nothing(F.size(w("b_n_idf")) > 0, unknown))

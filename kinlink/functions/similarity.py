@@ -1,7 +1,7 @@
 """Similarity of two strings, token lists or number lists.
 
-Set and number features, Levenshtein and the Indel ratio are native expressions; the Arrow UDFs at the
-end compute the family of ratios in batches where a native form would be slow.
+Set and number features and Levenshtein are native expressions; the Arrow UDFs at the end compute the
+family of Indel ratios in batches, a pair of strings once each.
 """
 
 from __future__ import annotations
@@ -57,30 +57,7 @@ def is_abbreviation(short: Column, long: Column) -> Column:
     return (F.char_length(short) > 0) & short.rlike("^[a-z0-9]+$") & F.rlike(long, pattern)
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * LCS / (|a| + |b|), by one row of the LCS table per character; 100 for two empty strings."""
-    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    y = chars(b)
-    zero = F.transform(F.sequence(F.lit(0), F.size(y)), lambda _: F.lit(0))
-
-    def step(row, c):
-        start = F.struct(F.array(F.lit(0)).alias("new"), F.lit(0).alias("left"))
-        done = F.aggregate(
-            F.arrays_zip(F.slice(row, 1, F.size(y)).alias("diag"), F.slice(row, 2, F.size(y)).alias("up"), y.alias("y")),
-            start,
-            lambda s, e: F.struct(
-                F.concat(s["new"], F.array(F.when(e["y"] == c, e["diag"] + 1).otherwise(F.greatest(e["up"], s["left"])))).alias("new"),
-                F.when(e["y"] == c, e["diag"] + 1).otherwise(F.greatest(e["up"], s["left"])).alias("left"),
-            ),
-        )
-        return done["new"]
-
-    lcs = F.element_at(F.aggregate(chars(a), zero, step), -1)
-    size = F.char_length(a) + F.char_length(b)
-    return F.when(size == 0, F.lit(100.0)).when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(0.0)).otherwise(200.0 * lcs / size)
-
-
-# ---- the same and more, a batch at a time
+# ---- ratios, a batch at a time
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -154,9 +131,12 @@ def jaro_winkler(a: str, b: str) -> float:
 def _udf(f):
     @F.pandas_udf(T.DoubleType())
     def both(a, b):
+        import numpy as np
         import pandas as pd
 
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        pairs = pd.MultiIndex.from_arrays([a.fillna(""), b.fillna("")])
+        code, known = pairs.factorize()  # equal pairs of a batch are computed once
+        return pd.Series(np.array([f(x, y) for x, y in known], dtype=float)[code] if len(known) else [], dtype=float)
 
     return both
 

@@ -1,7 +1,8 @@
 """Normalisation of names and addresses.
 
-ASCII text stays in the JVM: squashing, sound keys, look-alike digits, abbreviations, numbers.
-Transliteration, which needs Unicode's tables, and the parts built on it run as Arrow UDFs.
+All but other scripts stays in the JVM: accents, states, squashing, sound keys, look-alike digits,
+abbreviations, numbers. Transliteration, which needs Unicode's tables, is an Arrow UDF for rows that
+have other letters than Latin ones.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import ADDRESS_ABBR, CHILLU, FRENCH, INDIC_SOUND, INDIC_VOWEL, LATIN, LEGAL, LEGAL_SOUND, NAME_ABBR, NULL_TOKENS, STATES
+from .scripts import BREAK, LETTER, NASAL, plain_letters, script_table, spoken
+from .tables import ADDRESS_ABBR, CHILLU, FRENCH, IN_STATES, LATIN, LEGAL, LEGAL_SOUND, NAME_ABBR, NULL_TOKENS, SOUNDS, US_STATES, VOWELS
 
 DOMAIN = r"^(?:https?://)?(?:www\.)?([a-z0-9\-]+)\.(?:com|in|co|net|org|fr|biz|info)(?:\.[a-z]{2})?$"
-FRENCH_CODE = {name: code for code, names in FRENCH.items() for name in names.split(",")}
+STATES = {**US_STATES, **IN_STATES}
+FRENCH_CODE = {name: code for code, names in FRENCH.items() for name in names}
 LOOK_ALIKE = ("01358", "olesb")
 
 
@@ -102,125 +105,95 @@ def non_latin(x: Column) -> Column:
     return F.coalesce(x.rlike("[\\u0900-\\u0DFF]"), F.lit(False))
 
 
-# ---- Unicode, in Arrow UDFs
+# ---- other scripts and accents
 
 
 @functools.cache
-def sound(ch: str) -> tuple[str, str]:
-    """(kind, sound) of a character of an Indic script by its Unicode name: C onsonant, V owel, S ign, X virama, N asal, M ark, D igit, 0 nothing."""
-    name = unicodedata.name(ch, "")
-    _, _, rest = name.partition(" ")
-    if rest.startswith("VOWEL SIGN "):
-        v = rest[11:]
-        return "S", INDIC_VOWEL.get(v, v.lower() if len(v) < 3 else "")
-    if rest.startswith("LETTER CHILLU "):
-        return "M", CHILLU.get(rest[14:], "")
-    if rest.startswith("LETTER "):
-        v = rest[7:]
-        if v in INDIC_SOUND:
-            return "C", INDIC_SOUND[v]
-        if v in INDIC_VOWEL or v in ("A", "I", "U", "E", "O", "AI", "AU"):
-            return "V", INDIC_VOWEL.get(v, v.lower())
-        return ("C", v[:-1].lower()) if v.endswith("A") and " " not in v else ("0", "")
-    if "VIRAMA" in rest:
-        return "X", ""
-    if "NUKTA" in rest or "LENGTH MARK" in rest:
-        return "0", ""
-    if rest.endswith("SIGN ANUSVARA"):
-        return "N", "\x01"
-    if "CANDRABINDU" in rest or "BINDI" in rest or "TIPPI" in rest:
-        return "M", "n"
-    if "VISARGA" in rest:
-        return "M", "h"
-    if "DIGIT" in rest:
-        return "M", str(unicodedata.digit(ch, 0))
-    return "P", " "
+def _table() -> dict[int, str]:
+    """Code points of Indic scripts and special Latin letters; characters without a width go."""
+    signs = {
+        "SIGN CANDRABINDU": LETTER + "n", "SIGN ADAK BINDI": LETTER + "n", "SIGN ANUSVARA": LETTER + NASAL, "SIGN BINDI": LETTER + NASAL, "SIGN VISARGA": LETTER + "h",
+        "SIGN VIRAMA": BREAK, "SIGN NUKTA": "", "LENGTH MARK": BREAK, "AI LENGTH MARK": BREAK, "AU LENGTH MARK": BREAK + "u",
+    }
+    letters = script_table(SOUNDS, VOWELS, signs, vowel="", digit=LETTER, finals=CHILLU)
+    return {**letters, **{ord(a): b for a, b in LATIN.items()}, **dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF), "")}
+
+
+#: A nasal sign before a letter that is no p, b or m; any other is an m.
+BEFORE_OTHERS = re.compile(f"{NASAL}(?={LETTER}?[a-z])(?!{LETTER}?[pbm])")
+#: Malayalam's doubled rra is spoken as doubled tta.
+RRA, TTA = "\u0d31\u0d4d\u0d31", "\u0d1f\u0d4d\u0d1f"
 
 
 def to_ascii(text: str | None) -> str:
     """Lower-case ASCII: accents go, nine Indic scripts are spelled by sound, other scripts are dropped.
 
-    A consonant carries an inherent a before another letter, not at the end of a word; an anusvara is m
-    before p, b, m and at the end of a word, else n.
+    A consonant carries an inherent a before another consonant or sign, not before a vowel letter and not at the end of a word.
     """
     if not text:
         return ""
     if text.isascii():
         return text.lower()
-    out, open_consonant = [], False
-    for ch in unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text)).replace("റ്റ", "ട്ട"):
-        if ch in "​‌‍﻿":
-            continue
-        if not "ऀ" <= ch < "඀":
-            open_consonant = False
-            if ch.isascii():
-                out.append(ch)
-            elif ch in LATIN:
-                out.append(LATIN[ch])
-            else:
-                plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-                out.append(plain if plain.isascii() else "")
-            continue
-        kind, s = sound(ch)
-        if kind == "0":
-            continue
-        if open_consonant and kind in "CNM":
-            out.append("a")
-        out.append(s)
-        open_consonant = kind == "C"
-    done = "".join(out).lower()
-    return re.sub("\x01(?=[pbm]|[^a-z]|$)", "m", done).replace("\x01", "n")
+    whole = unicodedata.normalize("NFC", text)
+    known = whole.replace(RRA, TTA).translate(_table()).lower()
+    known = spoken(BEFORE_OTHERS.sub("n", known).replace(NASAL, "m"))
+    if known.isascii():
+        return known
+    return "".join(c for c in unicodedata.normalize("NFKD", known) if c.isascii())
 
 
-@functools.cache
-def _state_pattern():
-    return re.compile(r"(?<!\w)(" + "|".join(map(re.escape, sorted(STATES, key=len, reverse=True))) + r")(?!\w)", re.I)
+@F.pandas_udf(T.StringType())
+def ascii_udf(x):
+    return x.map(to_ascii)
 
 
-def split_state(address: str | None) -> tuple[str, str]:
-    """(rest, code): state names anywhere, codes and French regions as whole parts between commas; the last one found wins."""
-    found: list[str] = []
+#: Latin letters and marks that native functions bring to ASCII in full.
+LATIN_ONLY = "^[\\x00-\\x7F\\u00C0-\\u024F\\u1E00-\\u1EFF\\u2018\\u2019\\u201C\\u201D\\u2013\\u2014\\u00B4]*$"
 
-    def take(m):
-        found.append(STATES.get(m.group(1).lower(), STATES.get(m.group(1), "")))
-        return " "
 
-    codes, kept = set(STATES.values()), []
-    for part in _state_pattern().sub(take, address or "").split(","):
-        key = part.strip().lower()
-        french = " ".join(re.sub("[^a-z]+", " ", to_ascii(part)).split()) if key else ""
-        if key in codes:
-            found.append(key)
-        elif french in FRENCH_CODE:
-            found.append(FRENCH_CODE[french])
-        else:
-            kept.append(part)
-    return ",".join(kept), found[-1] if found else ""
+def latin_to_ascii(x: Column) -> Column:
+    """Lower-case ASCII of text of Latin letters; what has no base letter goes."""
+    out = F.lower(x)
+    for a, b in LATIN.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.lower(F.translate(out, *plain_letters())), "[^\\x00-\\x7F]", "")
 
 
-@F.pandas_udf(T.StringType())
-def ascii_udf(x):
-    import pandas as pd
+def to_ascii_col(x: Column) -> Column:
+    """Transliteration; only rows with other letters than Latin ones leave the JVM."""
+    return F.when(x.isNull(), F.lit("")).when(x.rlike("^[\\x00-\\x7F]*$"), F.lower(x)).when(x.rlike(LATIN_ONLY), latin_to_ascii(x)).otherwise(ascii_udf(x))
 
-    return pd.Series([to_ascii(v) for v in x])
 
+@functools.cache
+def _state_pattern() -> str:
+    return "(?iU)(?<!\\w)(" + "|".join(sorted(STATES, key=lambda n: (-len(n), n))) + ")(?!\\w)"
 
-@F.pandas_udf(T.StructType().add("rest", "string").add("state", "string"))
-def state_udf(x):
-    import pandas as pd
 
-    return pd.DataFrame([split_state(unicodedata.normalize("NFKC", v) if v else "") for v in x], columns=["rest", "state"])
+def split_state(address: Column) -> Column:
+    """struct(rest, state): state names anywhere, codes and French regions as whole parts between commas; the last one found wins, parts over names."""
+    table = lambda names: F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    names, regions = table(STATES), table({**{c: c for c in sorted(set(STATES.values()))}})
+    french = table(FRENCH_CODE)
+    whole = F.coalesce(address, F.lit(""))
+    parts = F.split(F.regexp_replace(whole, _state_pattern(), " "), ",")
+    region = lambda p: F.btrim(F.regexp_replace(latin_to_ascii(p), "[^a-z]+", " "))
+    code = lambda p: F.coalesce(F.element_at(regions, F.lower(F.btrim(p))), F.element_at(french, region(p)))
+    short = lambda p: F.char_length(p) <= LONGEST_PART
+    own = F.filter(F.transform(parts, lambda p: F.when(short(p), code(p))), lambda c: c.isNotNull())
+    rest = F.array_join(F.filter(parts, lambda p: ~short(p) | code(p).isNull()), ",")
+    said = F.transform(F.regexp_extract_all(whole, F.lit(_state_pattern()), F.lit(1)), lambda n: F.coalesce(F.element_at(names, F.lower(n)), F.element_at(names, n)))
+    found = F.when(F.size(own) > 0, F.element_at(own, -1)).when(F.size(said) > 0, F.element_at(said, -1)).otherwise(F.lit(""))
+    return F.struct(rest.alias("rest"), F.coalesce(found, F.lit("")).alias("state"))
 
 
-def to_ascii_col(x: Column) -> Column:
-    """Transliteration; text that is ASCII already never leaves the JVM."""
-    return F.when(x.isNull(), F.lit("")).when(x.rlike("^[\\x00-\\x7F]*$"), F.lower(x)).otherwise(ascii_udf(x))
+#: Characters that a part with a code or a region name can have, with blanks and marks around it.
+LONGEST_PART = 80
 
 
 def normalise(records, name: str = "name", address: str = "address"):
     """Adds name_core, name_legal, addr_norm, nums, state, ph, acr to records; nulls count as empty."""
-    out = records.withColumn("_n", name_parts(to_ascii_col(F.col(name)))).withColumn("_s", state_udf(F.coalesce(address, F.lit(""))))
-    out = out.withColumn("_a", address_words(ascii_udf(F.col("_s.rest"))))
+    out = records.withColumn("_n", name_parts(to_ascii_col(F.col(name)))).withColumn("_s", split_state(F.col(address)))
+    out = out.withColumn("_a", address_words(to_ascii_col(F.col("_s.rest"))))
     j = lambda x: F.array_join(x, " ")
     return out.select(
         *records.columns, j(F.col("_n.core")).alias("name_core"), j(F.col("_n.legal")).alias("name_legal"), j(F.col("_a")).alias("addr_norm"),

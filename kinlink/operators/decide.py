@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import fraction
 from ..storage import materialize
 from .context import logit
 from .stats import top_first
@@ -187,9 +188,10 @@ def renormalise(pairs: DataFrame, col: str = "p", eps: float = 1e-6) -> DataFram
 
 
 def match_lists(entities: DataFrame, matches: DataFrame) -> DataFrame:
-    """(s1, matched): every entity once, its records' keys sorted and joined by commas, empty if it has none."""
-    key = F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("rec").cast("string"))
-    lists = matches.groupBy("s1").agg(F.array_join(F.sort_array(F.collect_set(key)), ",").alias("matched"))
+    """(s1, matched): every entity once, its records' keys in the order of list and number, joined by commas, empty if it has none."""
+    key = F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("rec").cast("string")).alias("key")
+    keys = F.transform(F.sort_array(F.collect_set(F.struct("src", "rec", key))), lambda x: x["key"])
+    lists = matches.groupBy("s1").agg(F.array_join(keys, ",").alias("matched"))
     return entities.select("s1").distinct().join(lists, "s1", "left").select("s1", F.coalesce("matched", F.lit("")).alias("matched"))
 
 
@@ -211,3 +213,44 @@ def error_kinds(pairs: DataFrame, matches: DataFrame, truth: DataFrame, threshol
 def blend_features(pairs: DataFrame, a: str = "p", b: str = "q") -> DataFrame:
     """Adds the logits of two scores and their product."""
     return pairs.withColumn("la", logit(F.col(a), 1e-6)).withColumn("lb", logit(F.col(b), 1e-6)).withColumn("lab", F.col("la") * F.col("lb"))
+
+
+def choose_rule(results: dict[str, dict[str, float]]) -> tuple[str, str]:
+    """(stage, rule) with the largest F; ``results``: F by rule for each stage, in order. A later stage must be as good or better; of equal rules the first counts."""
+    best = {stage: max(rules.values()) for stage, rules in results.items()}
+    stage = max(reversed(list(best)), key=best.__getitem__)
+    return stage, max(results[stage], key=results[stage].__getitem__)
+
+
+def better_on_folds(entities: DataFrame, pairs: DataFrame, truth: DataFrame, one: str = "p", two: str = "q", fold: str = "fold") -> DataFrame:
+    """(fold, one_threshold, one_f, two_threshold, two_f, use): two systems at the thresholds that are best over all folds.
+
+    ``use`` is 1 in every row if the second is better on every fold, else 0. ``entities``: s1 and the fold.
+    """
+    out = None
+    for name, col in (("one", one), ("two", two)):
+        owned = materialize(assign(pairs, col).select("s1", "src", "rec", col), "assigned")
+        _, at = best_threshold(tune(entities, owned, truth, col=col))
+        f = macro_f_by(entities, by_threshold(owned, at, col), truth, fold)
+        f = f.select(fold, F.lit(at).alias(f"{name}_threshold"), F.col("macro_f05").alias(f"{name}_f"))
+        out = f if out is None else out.join(f, fold)
+    every = F.min((F.col("two_f") > F.col("one_f")).cast("int")).over(Window.partitionBy(F.lit(0)))  # one row for each fold
+    return out.withColumn("use", every)
+
+
+def exported(pairs: DataFrame, col: str = "p") -> DataFrame:
+    """Scores in the exchange form: source1_entity_id, candidate_entity_id, score."""
+    return pairs.select(
+        F.concat(F.lit("S1-"), F.col("s1").cast("string")).alias("source1_entity_id"),
+        F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("rec").cast("string")).alias("candidate_entity_id"), F.col(col).alias("score"),
+    )
+
+
+def error_sample(pairs: DataFrame, matches: DataFrame, truth: DataFrame, n: int = 20, col: str = "p") -> DataFrame:
+    """(kind, s1, src, rec, p): up to ``n`` missed and ``n`` wrong pairs, the first by hash (a report)."""
+    keys = ["s1", "src", "rec"]
+    missed = truth.select(*keys).join(matches.select(*keys), keys, "left_anti").withColumn("kind", F.lit("missed"))
+    wrong = matches.select(*keys).join(truth.select(*keys), keys, "left_anti").withColumn("kind", F.lit("wrong"))
+    u = fraction("errors", "rec", "s1")
+    picked = [x.orderBy(u, "s1", "src", "rec").limit(n) for x in (missed, wrong)]
+    return picked[0].unionByName(picked[1]).join(pairs.select(*keys, F.col(col).alias("p")), keys, "left").select("kind", *keys, "p")

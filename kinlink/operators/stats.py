@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def sizes(records: DataFrame) -> DataFrame:
     """(country, n, ln_n): records and the logarithm of their number."""
@@ -46,13 +48,18 @@ def fillers(records: DataFrame, tokens: str, least: float = 0.002, ratio: float
     return c.filter((F.col("r23") >= least) & ((F.col("r23") + 1e-5) / (F.col("r1") + 1e-5) >= ratio)).select("country", "tok", "r1", "r23")
 
 
-def without_fillers(records: DataFrame, tokens: str, filler: DataFrame) -> DataFrame:
-    """Adds ``core`` and ``moved``: tokens less the country's fillers, unless nothing would be left."""
-    by_country = filler.groupBy("country").agg(F.collect_set("tok").alias("_f"))
-    out = records.join(by_country, "country", "left").withColumn("_f", F.coalesce("_f", F.array().cast("array<string>")))
-    core = F.filter(tokens, lambda t: ~F.array_contains("_f", t))
-    out = out.withColumn("core", F.when(F.size(core) > 0, core).otherwise(F.col(tokens)))
-    return out.withColumn("moved", F.when(F.size(core) > 0, F.filter(tokens, lambda t: F.array_contains("_f", t))).otherwise(F.array().cast("array<string>"))).drop("_f")
+def without(records: DataFrame, tokens: str, known: DataFrame) -> DataFrame:
+    """Adds ``core`` and ``moved``: tokens less those of the record's country in ``known`` (country, tok), unless nothing would be left.
+
+    Distinct tokens of records meet the list by key, so no record carries a country's vocabulary.
+    """
+    hit = records.select("id", "country", F.explode(F.array_distinct(tokens)).alias("tok")).join(known.select("country", "tok").distinct(), ["country", "tok"], "left_semi")
+    hits = hit.groupBy("id").agg(F.collect_set("tok").alias("_hits"))
+    out = records.join(hits, "id", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<string>")))
+    core = F.filter(tokens, lambda t: ~F.array_contains("_hits", t))
+    some = F.size(core) > 0
+    moved = F.when(some, F.filter(tokens, lambda t: F.array_contains("_hits", t))).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"core": F.when(some, core).otherwise(F.col(tokens)), "moved": moved}).drop("_hits")
 
 
 def common_tokens(records: DataFrame, tokens: str, share: float = 0.004) -> DataFrame:
@@ -62,10 +69,52 @@ def common_tokens(records: DataFrame, tokens: str, share: float = 0.004) -> Data
     return out.filter(F.col("share") > share)
 
 
+#: Groups whose knots are broadcast at most, some two kilobytes each.
+MOST_GROUPS = 2000
+#: Buckets of values in which ranks are counted before rows are ordered.
+RANK_BUCKETS = 1024
+
+
 def quantiles(df: DataFrame, by: str, col: str, knots: int = 201) -> DataFrame:
-    """(by, knots): exact quantiles with linear interpolation at evenly spaced points."""
-    at = F.array(*(F.lit(i / (knots - 1)) for i in range(knots)))
-    return df.groupBy(by).agg(F.percentile(col, at).alias("knots"))
+    """(by, knots): exact quantiles with linear interpolation at evenly spaced points.
+
+    Values are counted by approximate quantile bucket first; rows are ranked only inside a bucket, so a group of
+    any size is spread over tasks. Nulls do not count.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    edges = rows.groupBy(F.col("g").alias("_g")).agg(F.percentile_approx("x", [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 10_000).alias("e"))
+    # an edge belongs to the bucket above it; equal values are always in one bucket
+    bucket = lambda e, x: F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.struct(F.lit(0).alias("a"), F.size(e).alias("z")), lambda s, _: _half(s, e, x))["a"]
+    edges = F.broadcast(edges) if edges.count() <= MOST_GROUPS else edges
+    placed = rows.join(edges, F.col("g").eqNullSafe(F.col("_g"))).select("g", "x", bucket(F.col("e"), F.col("x")).alias("b"))
+    # equal values are one row with their number, so that a value half the rows have is no hot key
+    sums = materialize(placed.groupBy("g", "b", "x").agg(F.count(F.lit(1)).alias("n")), "values")
+    sizes_ = sums.groupBy("g", "b").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("g")
+    sizes_ = sizes_.select(F.col("g").alias("_g"), F.col("b").alias("_b"), F.sum("n").over(w).alias("total"), (F.sum("n").over(w.orderBy("b")) - F.col("n")).alias("before"))
+    ranked = sums.join(sizes_, F.col("g").eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_b")))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("g", "b").orderBy("x"))
+    ranked = ranked.withColumn("last", last - 1).withColumn("first", F.col("last") - F.col("n") + 1)  # 0-based ranks of the value
+    # knot i lies at rank i * (total - 1) / steps, between two whole ranks; a value gives its part to the knots near its ranks
+    steps, span = F.lit(knots - 1), F.greatest(F.col("total") - 1, F.lit(1))
+    low = F.greatest(F.floor((F.col("first") - 1) * steps / span) - 1, F.lit(0))
+    high = F.least(F.ceil((F.col("last") + 1) * steps / span) + 1, steps)
+    near = ranked.select("g", "x", "first", "last", "total", F.explode(F.when(F.col("total") == 1, F.sequence(F.lit(0).cast("long"), steps.cast("long"))).otherwise(F.sequence(low, F.greatest(low, high)))).alias("i"))
+    place = F.col("i") * (F.col("total") - 1)
+    down = F.floor(place / steps)
+    share = (place - down * steps) / steps
+    inside = lambda r: r.between(F.col("first"), F.col("last"))
+    weight = F.when(inside(down), 1 - share).otherwise(F.lit(0.0)) + F.when(inside(down + 1) & (share > 0), share).otherwise(F.lit(0.0))
+    knot = near.withColumn("w", weight).filter(F.col("w") > 0).groupBy("g", "i").agg(F.sum(F.col("x") * F.col("w")).alias("v"))
+    return knot.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("knots")).withColumnRenamed("g", by)
+
+
+def _half(s: Column, e: Column, x: Column) -> Column:
+    """One step of a search for how many edges are at or below x, between s.a and s.z."""
+    mid = F.floor((s["a"] + s["z"]) / 2).cast("int")
+    less = F.coalesce(F.get(e, mid) <= x, F.lit(False))
+    open_ = s["a"] < s["z"]
+    return F.struct(F.when(open_ & less, mid + 1).otherwise(s["a"]).alias("a"), F.when(open_ & ~less, mid).otherwise(s["z"]).alias("z"))
 
 
 def quantile_map(df: DataFrame, by: str, col: str, table: DataFrame) -> DataFrame:
@@ -76,7 +125,7 @@ def quantile_map(df: DataFrame, by: str, col: str, table: DataFrame) -> DataFram
     low, high = F.element_at(k, F.greatest(at, F.lit(1))), F.element_at(k, F.least(at + 1, n))
     part = F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0))
     pct = F.when(at == 0, F.lit(0.0)).when(at >= n, F.lit(1.0)).otherwise((at - 1 + part) / (n - 1))
-    return df.join(F.broadcast(table), by).withColumn("pct", pct).drop("knots")
+    return df.join(F.broadcast(table) if table.count() <= MOST_GROUPS else table, by).withColumn("pct", pct).drop("knots")
 
 
 def top_first(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

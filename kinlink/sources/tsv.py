@@ -22,16 +22,21 @@ def records(spark: SparkSession, path: str, src: int) -> DataFrame:
     return r.select(F.col("entity_id").alias("id"), "country", F.lit(src).alias("src"), F.coalesce("business_name", F.lit("")).alias("name"), F.coalesce("business_address", F.lit("")).alias("address"))
 
 
+def records_of(records_: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records whose ids are needed (column id of ``ids``)."""
+    return records_.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def truth(spark: SparkSession, path: str) -> DataFrame:
     """(s1, rec): one row for each true pair; entities without matches give none."""
     t = read(spark, path, TRUTH).select(F.col("source1_entity_id").alias("s1"), F.explode(F.split(F.coalesce("matched_entity_ids", F.lit("")), ",")).alias("rec"))
     return t.filter(F.col("rec") != "")
 
 
-def write_lists(lists: DataFrame, path: str, key: str, values: str, names: tuple[str, str] = ("source1_entity_id", "matched_entity_ids")) -> None:
-    """One line for each entity, in one file, ordered by entity; empty lists stay."""
-    out = lists.select(F.col(key).cast("string").alias(names[0]), F.coalesce(F.col(values), F.lit("")).alias(names[1]))
-    out.orderBy(names[0]).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+def write_lists(lists: DataFrame, path: str, key: str, values: str, names: tuple[str, str] = ("source1_entity_id", "matched_entity_ids"), order: str | None = None) -> None:
+    """One line for each entity, ordered by entity over the part files; empty lists stay. With ``order``, by that column, say the place in a source file."""
+    out = lists.select(F.col(order or key).alias("_o"), F.col(key).cast("string").alias(names[0]), F.coalesce(F.col(values), F.lit("")).alias(names[1]))
+    out.orderBy("_o", names[0]).drop("_o").write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
 def sample(records_: DataFrame, truth_: DataFrame, fraction: float) -> DataFrame:

@@ -7,14 +7,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinlink.functions import pairs, words
-from kinlink.operators import blocking, decide, learn
+from kinlink.operators import blocking, context, decide, learn, sampling, stats
 
 
 def test_second_normalisation(spark):
-    assert words.clean("कमल & de1hi 5ervice's <NULL> É") == "kamal and delhi services e"
-    assert words.clean("दिल्ली") == "dillii" or words.clean("दिल्ली") == "dilli"
-    assert words.clean(None) == words.clean("") == ""
-    assert words.clean("hdfc 24x7 1st") == "hdfc 24x7 1st"
+    rows = ["कमल & de1hi 5ervice's <NULL> É", "दिल्ली", None, "", "hdfc 24x7 1st", "a1b 0x3c h0150w 1abc 9abc ab0", "ಕನ್ನಡ ೧೨", "মানুষ ৎ"]
+    got = [r["c"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(words.clean(F.col("t")).alias("c")).collect()]
+    assert got[0] == "kamal and delhi services e" and got[1] == "dilli" and got[2] == got[3] == "" and got[4] == "hdfc 24x7 1st"
+    assert got[5] == "alb oxec holsow labc 9abc ab0" and got[6] == "kannad 12" and got[7] == "manush t"
     rec = spark.createDataFrame([(1, "Foo 12345678 Bar", "No 007, 0, Main"), (2, None, None)], "id int, name string, address string")
     got = {r["id"]: (r["name2"], r["nums2"], r["words2"]) for r in words.second_form(rec).collect()}
     assert got == {1: ("foo bar", ["7"], ["no", "main"]), 2: ("", [], [])}
@@ -26,12 +26,52 @@ def test_crossed_tokens(spark):
     assert row["c"] == ["ltd"]
 
 
-def test_abbreviations_and_alignment():
-    assert pairs.shortens("bldg", "building") and not pairs.shortens("bx", "building") and not pairs.shortens("", "a") and not pairs.shortens("a", "a")
-    assert pairs.abbreviation_cover(["bldg", "a"], ["building", "a", "a"]) == (1.0, 2 / 3, 1, 1)
-    assert pairs.abbreviation_cover([], ["a"]) == (0.0, 0.0, 0, 0)
-    assert pairs.align(["martha", "x"], ["marhta", "other"], [1.0, 2.0], [3.0, 4.0]) == (1, 1, 2, 4.0, 4.0, 1.0)
-    assert pairs.align([], [], [], []) == (0, 0, 0, -1.0, -1.0, -1.0)
+def test_abbreviations_and_alignment(spark):
+    rows = [(["bldg", "a"], ["building", "a", "a"]), ([], ["a"]), (["st"], ["street", "st"]), (["x", "y"], ["z"]), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = [tuple(r["c"]) for r in df.orderBy("i").select(pairs.abbreviation_cover(F.col("a"), F.col("b")).alias("c")).collect()]
+    assert got == [(1.0, 2 / 3, 1, 1), (0.0, 0.0, 0, 0), (1.0, 0.5, 0, 1), (0.0, 0.0, 0, 0), (0.0, 0.0, 0, 0)]
+    words = spark.createDataFrame([("bldg", "building"), ("bx", "building"), ("", "a"), ("a", "a"), ("building", "bldg")], "x string, y string")
+    assert [r[0] for r in words.select(pairs.shortens(F.col("x"), F.col("y"))).collect()] == [True, False, False, False, False]
+    df = spark.createDataFrame([(["martha", "x"], ["marhta", "other"], [1.0, 2.0], [3.0, 4.0]), ([], [], [], [])], "a array<string>, b array<string>, wa array<double>, wb array<double>")
+    got = [tuple(r["c"]) for r in df.select(pairs.align(*map(F.col, ("a", "b", "wa", "wb"))).alias("c")).collect()]
+    assert got == [(1, 1, 2, 4.0, 4.0, 1.0), (0, 0, 0, -1.0, -1.0, -1.0)]
+
+
+def test_projection_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random((40, 25)) < 0.3) * rng.random((40, 25))
+    table = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "id int, f int, w double")
+    got = np.array([r["vec"] for r in learn.project(table, k=3).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    want = (u * s)[:, :3][x.any(axis=1)]
+    assert np.allclose(np.abs((got * want).sum(axis=0)), (want**2).sum(axis=0), rtol=5e-3)
+
+
+def test_ngrams_and_weights(spark):
+    df = spark.createDataFrame([(1, "ab a"), (2, ""), (3, None), (4, "ab")], "id int, t string")
+    got = {(r["id"], r["gram"]): r["tf"] for r in learn.ngrams(df, "t").collect()}
+    assert got == {(i, g): 1 for i in (1, 4) for g in (" a", "ab", "b ", " ab", "ab ", " ab ")} | {(1, " a"): 2, (1, "a "): 1, (1, " a "): 1}
+    norms = {r["id"]: r["n"] for r in learn.tfidf(df, "t").groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()}
+    assert set(norms) == {1, 4} and all(abs(n - 1) < 1e-9 for n in norms.values())
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=3000).round(1), "b": np.array([2.5]), "c": np.repeat([1.0, 7.0], [900, 100]), "d": np.arange(7.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("e", None)], "g string, x double")
+    for knots in (3, 201):
+        got = {r["g"]: r["knots"] for r in stats.quantiles(df, "g", "x", knots).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            assert np.allclose(got[g], np.quantile(x, np.linspace(0, 1, knots)), atol=1e-9)
+
+
+def test_fillers_move(spark):
+    df = spark.createDataFrame([(1, "x", ["a", "f", "a"]), (2, "x", ["f"]), (3, "y", ["f", "b"]), (4, None, ["f"])], "id int, country string, t array<string>")
+    known = spark.createDataFrame([("x", "f"), ("x", "f"), ("z", "b")], "country string, tok string")
+    got = {r["id"]: (r["core"], r["moved"]) for r in stats.without(df, "t", known).collect()}
+    assert got == {1: (["a", "a"], ["f"]), 2: (["f"], []), 3: (["f", "b"], []), 4: (["f"], [])}
 
 
 def test_numbers(spark):
@@ -117,3 +157,61 @@ def test_fill_keeps_what_is_there(spark):
     p = spark.createDataFrame([(1, 2, None), (1, 3, 0.5), (1, 9, None)], "rec int, s1 int, sim double")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [1.0, 1.0])], "id int, vec array<double>")
     assert {tuple(r) for r in blocking.fill_similarity(p, v, v).collect()} == {(1, 2, 0.5), (1, 3, 0.5), (1, 9, None)}
+
+
+def test_family_against_brute_force(spark):
+    df, _ = scored(spark, seed=5)
+    rows = df.collect()
+    for r in context.family(df).collect():
+        others = sorted((-x.p, x.src, x.rec) for x in rows if x.s1 == r.s1 and (x.src, x.rec) != (r.src, r.rec) and x.p > 0.5)[:2]
+        got = [(-r[f"{a}_p"], r[f"{a}_src"], r[f"{a}_rec"]) for a in ("anc1", "anc2") if r[f"{a}_rec"] is not None]
+        assert got == others and (r.has_anchor, r.has_second) == (len(others) > 0, len(others) > 1)
+        assert r.s1_cnt80_other == sum(x.p > 0.8 for x in rows if x.s1 == r.s1) - (r.p > 0.8)
+
+
+def test_rules_and_folds(spark):
+    assert decide.choose_rule({"one": {"a": 0.5, "b": 0.6}, "two": {"a": 0.6, "b": 0.4}}) == ("two", "a")
+    assert decide.choose_rule({"one": {"a": 0.7}, "two": {"a": 0.6}}) == ("one", "a")
+    df, ent = scored(spark, seed=9)
+    df = df.withColumn("q", F.when(F.col("y") == 1, F.lit(0.95)).otherwise(F.lit(0.2)))
+    got = decide.better_on_folds(ent.withColumn("fold", F.col("s1") % 2), df, df.filter("y = 1")).collect()
+    assert len(got) == 2 and {r["use"] for r in got} == {int(all(r["two_f"] > r["one_f"] for r in got))}
+    sample = decide.error_sample(df, decide.by_threshold(decide.assign(df), 0.5), df.filter("y = 1"), n=3).collect()
+    assert 0 < len(sample) <= 6 and {r["kind"] for r in sample} <= {"missed", "wrong"}
+
+
+def test_batches_and_caps(spark):
+    df = spark.range(100).select(F.col("id"), F.expr("repeat('x', cast(id % 17 as int))").alias("t"))
+    rows = sampling.length_batches(df, F.col("t"), "id", size=4, shards=3).collect()
+    assert len(rows) == 100 and max(r["place"] for r in rows) == 3
+    for s in range(3):
+        own = sorted((r["batch"], r["place"], len(r["t"])) for r in rows if r["shard"] == s)
+        assert [x[2] for x in own] == sorted((x[2] for x in own), reverse=True)
+    pairs_, _ = scored(spark)
+    capped = sampling.per_class(pairs_, 5).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in capped} == {0: 5, 1: 5}
+    cache = pairs_.filter("p > 0.5")
+    assert sampling.unscored(pairs_, cache).count() == pairs_.filter("p <= 0.5").count()
+
+
+def test_nearest_with_more_for_some(spark):
+    vecs = spark.createDataFrame([(i, "b", [float(i), 1.0], i % 2 == 0) for i in range(12)], "id long, block string, vec array<double>, more boolean")
+    got = blocking.nearest(vecs, vecs.drop("more"), k=2, k_more=5).groupBy("rec").count().collect()
+    assert {r["rec"]: r["count"] for r in got} == {i: 5 if i % 2 == 0 else 2 for i in range(12)}
+
+
+def test_sources_and_parts(spark):
+    from kinlink.sources import tsv
+
+    recs = spark.createDataFrame([(f"S{s}-{i}", s) for s in (1, 2) for i in range(40)], "id string, src int")
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(20)], "s1 string, rec string")
+    some = {r["id"] for r in tsv.sample(recs, truth, 0.5).collect()}
+    for i in range(20):
+        assert (f"S1-{i}" in some) == (f"S2-{i}" in some)
+    assert 10 < len(some) < 70
+    assert tsv.records_of(recs, spark.createDataFrame([("S1-3",), ("S1-3",)], "id string")).count() == 1
+    a, b = (spark.createDataFrame(x, "s1 int, src int, rec int") for x in ([(1, 2, 3), (1, 2, 4)], [(1, 2, 3)]))
+    assert [r["rec"] for r in tsv.missing_candidates(a, b).collect()] == [4]
+    v = spark.range(1).select(blocking.part_of(F.lit([9.0, 3.0, 4.0]), 2, 2).alias("v")).first()["v"]
+    assert np.allclose(v, [0.6, 0.8])
+    assert [r[0] for r in sampling.shuffled(spark.range(5), "s", "id").collect()] != [0, 1, 2, 3, 4]
