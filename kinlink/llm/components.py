@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import materialize, remove
@@ -18,9 +18,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     a, b = edges.columns
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = materialize(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = mark(now)
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The table, and its number of rows and sum of hashes, which are taken while it is written."""
+        seen = Observation()
+        marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        table = materialize(df.observe(seen, *marks), "edges")
+        return table, (seen.get["n"], seen.get["h"])
+
+    now, before = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,10 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         small = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
         path = now.inputFiles()[0].rpartition("/")[0] if now.inputFiles() else None
-        now = materialize(small, "edges")
+        now, after = written(small)
         if path:
             remove(spark, path)
-        after = mark(now)
         if after == before:
             break
         before = after

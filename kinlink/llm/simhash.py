@@ -13,6 +13,7 @@ shingle sets themselves.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -143,22 +144,16 @@ def whole_keys(batches: Iterator) -> Iterator[list]:
         yield together()
 
 
-def key_groups(key):
-    """(where groups of two begin, [(begin, end)] of larger groups) of a sorted key column."""
+def key_groups(key, most: int | None):
+    """(where groups of two begin, [(begin, end)] of larger groups, beginnings and sizes of groups above ``most``) of a sorted key column."""
     import numpy as np
 
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     stop = np.append(start[1:], len(key))
     size = stop - start
-    more = size > 2
-    return start[size == 2], list(zip(start[more].tolist(), stop[more].tolist(), strict=True))
-
-
-def sized(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys that up to HOT rows share, and rows of the others with ``_n``, how many share the key."""
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = keyed.repartition(n, "key").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    return counted.filter(F.col("_n") <= HOT).drop("_n"), counted.filter(F.col("_n") > HOT)
+    hot = size > most if most else np.zeros(len(size), bool)
+    more = (size > 2) & ~hot
+    return start[size == 2], list(zip(start[more].tolist(), stop[more].tolist(), strict=True)), start[hot], size[hot]
 
 
 def other_variants(keyed: DataFrame, radius: int) -> DataFrame:
@@ -182,33 +177,44 @@ def other_variants(keyed: DataFrame, radius: int) -> DataFrame:
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints that connect all pairs within ``radius`` bits.
+    """Edges (u, v) between distinct fingerprints that connect all pairs within ``radius`` bits, as a written table.
 
     Variants are shuffled and sorted by key; a task reads its keys in order and compares the
-    fingerprints of one key at a time. It emits a forest for each key and never all pairs. Rows of a
-    key that more than HOT fingerprints share are dealt out again by ``other_variants``.
+    fingerprints of one key at a time. It emits a forest for each key and never all pairs. Of a key that
+    more than HOT fingerprints share it only says so; their rows are dealt out again by ``other_variants``.
     """
+    spark = fps.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def scan(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    def scan(most: int | None):
+        def edges(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
 
-        for key, fp in whole_keys(batches):
-            fp = fp.view(np.uint64)
-            two, more = key_groups(key)
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-            us, vs = [fp[two[near]]], [fp[two[near] + 1]]
-            for a, z in more:
-                u, v = forest(fp[a:z], radius)
-                us.append(u), vs.append(v)
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["u", "v"])
+            for key, fp in whole_keys(batches):
+                fp = fp.view(np.uint64)
+                two, more, hot, size = key_groups(key, most)
+                near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+                us, vs = [fp[two[near]]], [fp[two[near] + 1]]
+                for a, z in more:
+                    u, v = forest(fp[a:z], radius)
+                    us.append(u), vs.append(v)
+                pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0).view(np.int64)
+                found = np.concatenate([pairs, np.stack([key[hot], size], axis=1)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(2)] + [pa.array(np.arange(len(found)) >= len(pairs))], names=["u", "v", "hot"])
+
+        return edges
+
+    def compared(keyed: DataFrame, most: int | None) -> DataFrame:
+        with setting(spark, *NUMBER_ROWS):
+            return materialize(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(scan(most), "u long, v long, hot boolean"), "links")
 
-    few, many = sized(variants(fps.select("fp").distinct(), radius))
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = other_variants(many, radius).repartition(n, "key")
-    found = [x.sortWithinPartitions("key").mapInArrow(scan, "u long, v long") for x in (few, dealt)]
-    return found[0].unionByName(found[1]).distinct()
+    keyed = variants(fps.select("fp").distinct(), radius)
+    found = compared(keyed, HOT)
+    hot = found.filter("hot").select(F.col("u").alias("key"))
+    if not hot.isEmpty():
+        found = found.filter("not hot").unionByName(compared(other_variants(keyed.join(hot, "key", "left_semi"), radius), None))
+    return found.select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2) -> DataFrame:
@@ -222,9 +228,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text_batches(docs.sparkSession)
     base = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, n=n), "fingerprints")
     nodes = base.groupBy("fp").agg(F.min(id_col).alias("low"))
-    with setting(docs.sparkSession, *NUMBER_ROWS):
-        edges = materialize(links(nodes, radius), "links")
-    found = connected_components(edges)
+    found = connected_components(links(nodes, radius))
     roots = nodes.join(found, nodes["fp"] == found["node"], "left").select(nodes["fp"], "low", F.coalesce("root", nodes["fp"]).alias("root"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = roots.join(lowest, "root").select("fp", "component_id")
@@ -348,44 +352,52 @@ def candidate_edges(nodes: DataFrame, names: list[str], parts: int, width: int,
 
         return rows
 
-    def scan(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    def scan(most: int | None):
+        def edges(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
 
-        for columns in whole_keys(batches):
-            key, node = columns[0], columns[1]
-            fp = np.stack(columns[2 : 2 + words], axis=1).view(np.uint64)
-            two, more = key_groups(key)
-            distance = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
-            near = distance <= radius
-            us, vs = [two[near]], [two[near] + 1]
-            for a, z in more:
-                v, u = nearest_before(fp[a:z], radius)
-                us.append(u + a), vs.append(v + a)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            far = np.bitwise_count(fp[u] ^ fp[v]).sum(axis=1).astype(np.int32)
-            found = np.unique(np.stack([node[u], node[v], far], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(2)] + [pa.array(found[:, 2].astype(np.int32))], names=["u", "v", "far"])
+            for columns in whole_keys(batches):
+                key, node = columns[0], columns[1]
+                fp = np.stack(columns[2 : 2 + words], axis=1).view(np.uint64)
+                two, more, hot, size = key_groups(key, most)
+                distance = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
+                near = distance <= radius
+                us, vs = [two[near]], [two[near] + 1]
+                for a, z in more:
+                    v, u = nearest_before(fp[a:z], radius)
+                    us.append(u + a), vs.append(v + a)
+                u, v = np.concatenate(us), np.concatenate(vs)
+                far = np.bitwise_count(fp[u] ^ fp[v]).sum(axis=1).astype(np.int64)
+                found = np.unique(np.stack([node[u], node[v], far], axis=1), axis=0)
+                found = np.concatenate([found, np.stack([key[hot], size, np.full(len(hot), -1)], axis=1)])  # of a hot key only the number
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(2)] + [pa.array(found[:, 2].astype(np.int32))], names=["u", "v", "far"])
+
+        return edges
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(keyed: DataFrame, most: int | None) -> DataFrame:
+        with setting(spark, *NUMBER_ROWS):
+            return materialize(keyed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(scan(most), "u long, v long, far int"), "edges")
+
     step = max(1, TOGETHER // width)
-    edges = None
+    parts_done = []
     for at in range(0, parts, step):
-        some = list(range(at, min(parts, at + step)))
-        few, many = sized(nodes.repartition(n).mapInArrow(spread(some), f"key long, node long, {fields}"))
-        strips = F.ceil(F.col("_n") / HOT)
-        own = F.pmod(F.xxhash64("node"), strips)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), strips - 1), lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
-        dealt = many.select(F.explode(pairs).alias("key"), "node", *names).repartition(n, "key")
-        found = [x.sortWithinPartitions("key", "node").mapInArrow(scan, "u long, v long, far int") for x in (few, dealt)]
-        with setting(spark, *NUMBER_ROWS):
-            done = materialize(found[0].unionByName(found[1]).distinct(), "edges")
-        edges = done if edges is None else edges.unionByName(done)
-    return materialize(edges.distinct(), "edges")
+        keyed = nodes.repartition(n).mapInArrow(spread(list(range(at, min(parts, at + step)))), f"key long, node long, {fields}")
+        found = compared(keyed, HOT)
+        hot = found.filter("far < 0").select(F.col("u").alias("key"), F.col("v").alias("_n"))
+        parts_done.append(found.filter("far >= 0"))
+        if not hot.isEmpty():
+            strips = F.ceil(F.col("_n") / HOT)
+            own = F.pmod(F.xxhash64("node"), strips)
+            pairs = F.transform(F.sequence(F.lit(0).cast("long"), strips - 1), lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
+            parts_done.append(compared(keyed.join(hot, "key").select(F.explode(pairs).alias("key"), "node", *names), None))
+    return materialize(functools.reduce(DataFrame.unionByName, parts_done).distinct(), "edges")
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (u, v) whose shingle sets are ``similarity`` alike or more; ``sets``: node, shingles."""
+    """The edges (x, y, u, v) whose nodes u and v have shingle sets that are ``similarity`` alike or more, as (x, y); ``sets``: node, shingles."""
 
     def decide(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -394,9 +406,9 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             keep = [alike(x, y) >= similarity for x, y in zip(each(b.column(2)), each(b.column(3)), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = edges.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    one = edges.select("x", "y", "u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")
+    return both.select("x", "y", "a", "b").mapInArrow(decide, "x long, y long")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = SIMILAR, recall: float = RECALL) -> DataFrame:
@@ -437,14 +449,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = base.select(*names, "shingles").join(asked, names).dropDuplicates(["node"]).select("node", "shingles")
     sets = materialize(sets, "shingles")
     nearest = edges.groupBy("v").agg(F.min(F.struct("far", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
-    first = materialize(verified(nearest, sets, similarity), "alike")
+    first = verified(nearest.select(F.col("u").alias("x"), F.col("v").alias("y"), "u", "v"), sets, similarity)
     roots = materialize(connected_components(first), "roots")
-    root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = edges.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").select(root("u").alias("x"), root("v").alias("y"), "u", "v").filter(F.col("x") != F.col("y"))
-    second = materialize(verified(apart.join(nearest, ["u", "v"], "left_anti"), sets, similarity), "alike")
-    found = connected_components(first.unionByName(second))
-    classes = nodes.join(found, "node", "left").select(*names, F.coalesce("root", "node").alias("group"))
+    of = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    apart = edges.select("u", "v").join(of("u", "x"), "u", "left").join(of("v", "y"), "v", "left")
+    apart = apart.select(F.coalesce("x", "u").alias("x"), F.coalesce("y", "v").alias("y"), "u", "v").filter(F.col("x") != F.col("y"))
+    joined = connected_components(verified(apart.join(nearest, ["u", "v"], "left_anti"), sets, similarity))
+    classes = nodes.join(of("node", "x"), "node", "left").withColumn("x", F.coalesce("x", "node"))
+    classes = classes.join(joined.select(F.col("node").alias("x"), "root"), "x", "left").select(*names, F.coalesce("root", "x").alias("group"))
     return base.drop("shingles").join(classes, names).select(F.col("id").alias(id_col), "digest", "group")
 
 
