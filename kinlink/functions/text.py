@@ -7,7 +7,6 @@ have other letters than Latin ones.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..memo import memo
 from .scripts import BREAK, LETTER, NASAL, plain_letters, script_table, spoken
 from .tables import ADDRESS_ABBR, CHILLU, FRENCH, IN_STATES, LATIN, LEGAL, LEGAL_SOUND, NAME_ABBR, NULL_TOKENS, SOUNDS, US_STATES, VOWELS
 
@@ -108,7 +108,7 @@ def non_latin(x: Column) -> Column:
 # ---- other scripts and accents
 
 
-@functools.cache
+@memo
 def _table() -> dict[int, str]:
     """Code points of Indic scripts and special Latin letters; characters without a width go."""
     signs = {
@@ -164,7 +164,7 @@ def to_ascii_col(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("")).when(x.rlike("^[\\x00-\\x7F]*$"), F.lower(x)).when(x.rlike(LATIN_ONLY), latin_to_ascii(x)).otherwise(ascii_udf(x))
 
 
-@functools.cache
+@memo
 def _state_pattern() -> str:
     return "(?iU)(?<!\\w)(" + "|".join(sorted(STATES, key=lambda n: (-len(n), n))) + ")(?!\\w)"
 

@@ -6,13 +6,13 @@ code points; the rest, look-alike digits in words included, is native.
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..memo import memo
 from .scripts import BREAK, LETTER, plain_letters, script_table, spoken
 from .tables import LOOK_ALIKE_BEFORE, LOOK_ALIKE_INSIDE, SOUNDS_SECOND, VOWELS_SECOND, WEB
 from .text import glued_numbers
@@ -23,7 +23,7 @@ INVISIBLE = "[\\u200B-\\u200F\\u2060\\uFEFF]"
 LATIN_ONLY = "^[\\x00-\\x7F\\u00C0-\\u024F\\u1E00-\\u1EFF\\u200B-\\u200F\\u2060\\uFEFF\\u2018\\u2019\\u201C\\u201D\\u2013\\u2014]*$"
 
 
-@functools.cache
+@memo
 def _table() -> dict[int, str]:
     nasal = dict.fromkeys(("SIGN ANUSVARA", "SIGN CANDRABINDU", "SIGN INVERTED CANDRABINDU", "SIGN TIPPI", "SIGN BINDI", "TIPPI"), LETTER + "n")
     nothing = dict.fromkeys(("SIGN NUKTA", "AI LENGTH MARK", "AU LENGTH MARK", "ADDAK", "SIGN ADDAK"), "")
