@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..memo import memo
 from ..storage import materialize
 from .words import each, text_batches
 
@@ -121,7 +122,7 @@ def sampled(ids, n: int, first: int, last: int):
     return np.stack([written[:, r, places(n, first + r)] for r in range(count)], axis=1)
 
 
-@functools.cache
+@memo
 def repeats(n: int) -> int:
     """Repetitions by which RECALL of the windows at the largest number of edits meet their item in one of them.
 
@@ -195,6 +196,18 @@ class Items:
             for k, sample in zip(ks, got, strict=True):
                 self.samples[k] = sample
 
+    def plain(self) -> dict:
+        """What a broadcast carries: values that unpickle without this module."""
+        return {k: v for k, v in vars(self).items() if k != "numbers"}
+
+    @classmethod
+    def of(cls, state: dict) -> Items:
+        """The block in a worker; the words that it remembers stay with the broadcast's value from task to task."""
+        out = cls.__new__(cls)
+        out.__dict__ = state
+        state.setdefault("numbers", Numbers(out.words))
+        return out
+
     def _add(self, total, number: int):
         import numpy as np
 
@@ -295,7 +308,7 @@ def find_leaks(
         def found(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            items = block.value
+            items = Items.of(block.value)
             for b in batches:
                 ids, keys, ats, edits = [], [], [], []
                 for n, t in enumerate(each(b.column(1))):
@@ -313,7 +326,7 @@ def find_leaks(
             out = out.unionByName(materialize(held[0], "leaks"))
             parts += 1
             held[1].destroy()
-        shared = spark.sparkContext.broadcast(Items(block))
+        shared = spark.sparkContext.broadcast(Items(block).plain())
         held = rows.mapInArrow(scan(shared), schema), shared
     return out if held is None else out.unionByName(held[0]) if parts else held[0]
 
@@ -332,7 +345,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         def scan(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            items = block.value
+            items = Items.of(block.value)
             for b in batches:
                 yield b.filter(pa.array([not items.search(items.numbers.of(t)) for t in each(b.column(at))], pa.bool_()))
 
@@ -343,6 +356,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         if held is not None:
             left = materialize(left, "clean")
             held.destroy()
-        held = spark.sparkContext.broadcast(Items(block))
+        held = spark.sparkContext.broadcast(Items(block).plain())
         left = left.mapInArrow(clean(held), left.schema)
     return left.toDF(*docs.columns)

@@ -11,7 +11,6 @@ addresses of a host would delete each other.
 
 from __future__ import annotations
 
-import functools
 import html as refs
 import re
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..memo import memo
 from .words import each, text_batches
 
 #: Elements (fixed values): without content; with raw text; never article; that begin and end a block.
@@ -44,7 +44,7 @@ PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
-@functools.lru_cache(100_000)
+@memo
 def _marked(attributes: str) -> bool:
     for name, a, b, c in NAMES.findall(attributes):
         value = (a or b or c).lower()
@@ -54,7 +54,7 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-@functools.lru_cache(100_000)
+@memo
 def _hidden(attributes: str) -> bool:
     return any(name.lower() == "hidden" or (name.lower() == "aria-hidden" and (a or b or c).lower() == "true") for name, a, b, c in NAMES.findall(attributes))
 
@@ -110,7 +110,7 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
         yield "open", name, attributes
 
 
-@functools.cache
+@memo
 def _end_of(raw: str):
     return re.compile(rf"</{raw}\s*>", re.I)
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..memo import memo
 from .words import each, text_batches
 
 WINDOW = 13
@@ -60,7 +61,7 @@ def _values(byte, offset, family: int):
     return _mix(place + (byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
 
 
-@functools.cache
+@memo
 def _tables():
     """White space by byte; for both families the values of the first NEAR places; odd multipliers of the windows."""
     import numpy as np
