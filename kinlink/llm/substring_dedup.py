@@ -35,6 +35,8 @@ STRIP_BYTES = 1 << 20
 FANOUT = 4
 #: How many times the documents before it a batch holds, about; early runs stay small, since each later batch reads them.
 GROWTH = 4
+#: Turns in which a batch's buckets are dealt out: the disk holds the windows of one turn at a time, for hashing the text in each.
+TURNS = 2
 LAST = (1 << 63) - 1
 BLOCKS = "kind int, b int, blob binary"
 BATCH, RUN, HITS, DOCS = 0, 1, 2, 3
@@ -197,8 +199,8 @@ def _frames(rows: list[tuple[int, int, bytes]]):
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "b", "blob"])
 
 
-def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
-    """Blocks of one set of documents: what is settled here as hits, the rest by bucket."""
+def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: int, turn: int) -> list[tuple[int, int, bytes]]:
+    """Blocks of one set of documents, for the buckets whose turn it is: what is settled here as hits, the rest by bucket."""
     import numpy as np
 
     order = np.argsort(ids, kind="stable")
@@ -214,6 +216,8 @@ def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: in
     pos = np.arange(len(row)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
     at = first_word[row] + pos
     one, two = one[at], two[at]
+    mine = (one % np.uint64(buckets)) % np.uint64(TURNS) == turn
+    row, pos, one, two = row[mine], pos[mine], one[mine], two[mine]
     order = np.argsort(one, kind="stable")
     s, t = one[order], two[order]
     fresh = np.ones(len(s), bool)
@@ -228,6 +232,8 @@ def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: in
     again = ~fresh & ~late & (pos[order] != pos[lead])
     again[1:] &= row[order][1:] != row[order][:-1]
     keep = np.sort(order[fresh | again])
+    if not len(keep):
+        return rows
     bucket = (one[keep] % np.uint64(buckets)).astype(np.int64)
     keep = keep[np.argsort(bucket, kind="stable")]
     bucket = (one[keep] % np.uint64(buckets)).astype(np.int64)
@@ -239,7 +245,7 @@ def _block_windows(ids, texts: list[bytes], width: int, buckets: int, groups: in
     return rows
 
 
-def _map_windows(width: int, buckets: int, groups: int):
+def _map_windows(width: int, buckets: int, groups: int, turn: int):
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
 
@@ -251,10 +257,10 @@ def _map_windows(width: int, buckets: int, groups: int):
                 ids.append(i), texts.append(t.encode("utf-8", "surrogatepass"))
                 held += len(texts[-1])
                 if held >= BLOCK_BYTES:
-                    yield _frames(_block_windows(np.array(ids, np.int64), texts, width, buckets, groups))
+                    yield _frames(_block_windows(np.array(ids, np.int64), texts, width, buckets, groups, turn))
                     ids, texts, held = [], [], 0
         if ids:
-            yield _frames(_block_windows(np.array(ids, np.int64), texts, width, buckets, groups))
+            yield _frames(_block_windows(np.array(ids, np.int64), texts, width, buckets, groups, turn))
 
     return scan
 
@@ -325,13 +331,13 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = FANOUT):
         self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
-        self.runs: list[str] = []
+        self.runs: list[list[str]] = []  # folders of each run
         self._made = 0
 
     def read(self) -> DataFrame | None:
         if not self.runs:
             return None
-        runs = [self.spark.read.schema(BLOCKS).parquet(x).filter(F.col("kind") == RUN) for x in self.runs]
+        runs = [self.spark.read.schema(BLOCKS).parquet(x).filter(F.col("kind") == RUN) for run in self.runs for x in run]
         return functools.reduce(DataFrame.unionByName, runs)
 
     def new_run(self) -> str:
@@ -340,19 +346,22 @@ class FingerprintIndex:
 
     def drop(self) -> None:
         """Deletes all runs; what else was written beside them stays."""
-        for x in self.runs:
-            storage.remove(self.spark, f"{x}/kind={RUN}")
+        for run in self.runs:
+            for x in run:
+                storage.remove(self.spark, f"{x}/kind={RUN}")
         self.runs = []
 
-    def add(self, run: str) -> None:
-        """Adds a written run; more than ``fanout`` runs are compacted into one."""
+    def add(self, run: list[str]) -> None:
+        """Adds a written run; more than ``fanout`` runs are compacted into one, some buckets at a time."""
         self.runs.append(run)
         if len(self.runs) > self.fanout:
-            old, to = self.runs, self.new_run()
-            storage.write(self.read().groupBy("b").applyInArrow(_merge_runs, BLOCKS), to, by="kind")
-            self.runs = [to]
-            for x in old:
-                storage.remove(self.spark, f"{x}/kind={RUN}")
+            made = []
+            for turn in range(TURNS):
+                made.append(self.new_run())
+                part = self.read().filter(F.col("b") % TURNS == turn)
+                storage.write(part.groupBy("b").applyInArrow(_merge_runs, BLOCKS), made[-1], by="kind")
+            self.drop()
+            self.runs = [made]
 
 
 def match_batch(docs: DataFrame, index: FingerprintIndex, *, groups: int, width: int = WINDOW, keep: bool = True) -> DataFrame:
@@ -362,9 +371,6 @@ def match_batch(docs: DataFrame, index: FingerprintIndex, *, groups: int, width:
     a run of the index.
     """
     spark = docs.sparkSession
-    blocks = docs.mapInArrow(_map_windows(width, index.buckets, groups), BLOCKS)
-    old = index.read()
-    step = blocks if old is None else blocks.unionByName(old)
     settled = F.when(F.col("kind") == HITS, -1 - F.pmod(F.xxhash64("blob"), F.lit(index.buckets))).otherwise(F.col("b")).cast("int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     match = _match_bucket(groups, keep)
@@ -372,13 +378,18 @@ def match_batch(docs: DataFrame, index: FingerprintIndex, *, groups: int, width:
     def either(table):  # what a task settled alone only passes through
         return table.select(["kind", "b", "blob"]) if table["kind"][0].as_py() == HITS else match(table)
 
-    found = step.withColumn("g", settled).repartition(max(n, min(index.buckets, 4 * n)), "g").groupBy("g").applyInArrow(either, BLOCKS)
-    to = storage.new_path(spark, "matched")
-    storage.write(found, to, by="kind")
-    made = spark.read.schema(BLOCKS).parquet(to)
+    old, made = index.read(), []
+    for turn in range(TURNS):
+        step = docs.mapInArrow(_map_windows(width, index.buckets, groups, turn), BLOCKS)
+        if old is not None:
+            step = step.unionByName(old.filter(F.col("b") % TURNS == turn))
+        found = step.withColumn("g", settled).repartition(max(n, min(index.buckets, 4 * n)), "g").groupBy("g").applyInArrow(either, BLOCKS)
+        made.append(storage.new_path(spark, "matched"))
+        storage.write(found, made[-1], by="kind")
+    hits = functools.reduce(DataFrame.unionByName, [spark.read.schema(BLOCKS).parquet(x).filter(F.col("kind") == HITS) for x in made])
     if keep:
-        index.add(to)
-    return made.filter(F.col("kind") == HITS)
+        index.add(made)
+    return hits
 
 
 def _map_docs(id_at: int, groups: int):

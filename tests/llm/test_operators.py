@@ -261,6 +261,11 @@ def test_substrings_documents(spark):
     assert substring_dedup.dedup_substrings(empty(spark), report=True).count() == 0
 
 
+def test_substrings_of_short_texts_only(spark):
+    got = {r[0]: tuple(r)[1:3] for r in substring_dedup.dedup_substrings(frame(spark, ["a b", "a b", "c", None]), report=True).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (1, 0), 3: (0, 0)}
+
+
 def test_substrings_same_or_null_ids(spark):
     p = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, p), (1, p), (None, p)], "doc_id long, text string")
