@@ -140,7 +140,7 @@ def search(queries: DataFrame, prints: DataFrame) -> DataFrame:
         for d in differ:
             here = here & d
         first = first | here
-    return left.join(right, ["t", "key"]).filter((F.bit_count(x) <= RADIUS) & first).select("q", "fp")
+    return left.join(right.hint("merge"), ["t", "key"]).filter((F.bit_count(x) <= RADIUS) & first).select("q", "fp")
 
 
 def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every: int = 50) -> DataFrame:
@@ -159,7 +159,9 @@ def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     base = base.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.hash("text"))
     slot, _ = slots(base.select("id"), "id", F.col("h1"))
     order = ["id", "h1", "h2"]
-    rows = with_next(base.withColumn("slot", slot).repartition(count, "slot"), "text", order)
+    # never null, so that no filter comes between the scan and the one shuffle that all branches share
+    slotted = base.withColumn("slot", F.coalesce(slot, F.lit(0).cast("long")))
+    rows = with_next(slotted.repartition(count, "slot"), "text", order)
     n = F.char_length("text").cast("long")
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("n_chars", n).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next", F.lit(1), cut)))
