@@ -48,9 +48,26 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _delete_on_exit(spark, path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return path
 
 
+#: Folders made inside each open ``scratch``.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written in it; what is still needed then has its path from before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """Holds one setting of the session, and puts back what it was."""
