@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, setting
+from ..storage import materialize, new_path, scratch, setting, write
 from .components import connected_components
 from .words import each, text_batches
 
@@ -471,7 +471,12 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     First is the smallest id; null ids come last, and of equal ids the text with the smallest digest. Of
     wholly equal rows one stays. Other arguments are those of ``similar_groups``.
     """
-    groups = materialize(similar_groups(docs, id_col=id_col, text_col=text_col, **kwargs).toDF("id", "digest", "group"), "groups")
+    spark = docs.sparkSession
+    path = new_path(spark, "groups")
+    with scratch(spark):  # fingerprints, shingles and edges go before the documents are written again
+        found = similar_groups(docs, id_col=id_col, text_col=text_col, **kwargs).toDF("id", "digest", "group")
+        write(found, path)
+    groups = spark.read.schema(found.schema).parquet(path)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     kept = groups.groupBy("group").agg(F.min(rank).alias("b")).select(F.col("b.id").alias("_kept"), F.col("b.digest").alias("_kept_digest"))
     names = [f"c{i}" for i in range(len(docs.columns))]
