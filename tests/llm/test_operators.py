@@ -873,23 +873,15 @@ def test_next_with_repeated_and_null_ids(spark):
     rows = [(1, "a"), (1, "b"), (1, "b"), (None, "z"), (5, None), (-(1 << 63), "low"), ((1 << 63) - 1, "high"), *((i, f"t{i}") for i in range(1000, 1100))]
     got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
-    key = {t or "": fingerprints_of(spark, t) for _, t in rows}
-    one = sorted([("a", key["a"]), ("b", key["b"]), ("b", key["b"])], key=lambda x: text_hash(spark, x[0]))
-    line = ["low", *(t for t, _ in one), "", *(f"t{i}" for i in range(1000, 1100)), "high", "z"]
+    texts = spark.createDataFrame([(t,) for t in sorted({t or "" for _, t in rows})], "text string")
+    key = {r["k"]: f"{r['text_fp'] % (1 << 64):016x}" for r in fingerprints.with_fingerprints(texts.withColumn("k", F.col("text")), ["k"], ["text"]).collect()}
+    place = {r["text"]: r["h"] for r in texts.select("text", F.xxhash64("text").alias("h")).collect()}
+    line = ["low", *sorted(["a", "b", "b"], key=place.get), "", *(f"t{i}" for i in range(1000, 1100)), "high", "z"]
     alike = lambda a, b: 1 - (int(key[a], 16) ^ int(key[b], 16)).bit_count() / 64
     want = sorted((key[a], alike(a, b)) for a, b in zip(line, line[1:] + line[:1]))
     assert sorted((r["fingerprint"], r["near_next"]) for r in got) == want
 
 
-def fingerprints_of(spark, text):
-    df = spark.createDataFrame([(0, text or "")], "k long, text string")
-    return f"{fingerprints.with_fingerprints(df, ['k'], ['text']).first()['text_fp'] % (1 << 64):016x}"
-
-
-def text_hash(spark, text):
-    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
-
-
 def test_slots_are_even_whatever_the_ids(spark):
     for ids in (list(range(5000)) + [1 << 62], [i * i * i for i in range(5000)]):
         df = spark.createDataFrame([(i,) for i in ids], "id long")
