@@ -238,7 +238,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 #: Similarity of shingle sets from which documents are near-duplicates, and share of pairs at just that similarity to be found.
 SIMILAR, RECALL = 0.8, 0.95
 #: 64-bit words of a wide fingerprint at least; bits of a segment at least and at most; variants of a fingerprint that are dealt out together.
-LEAST_WORDS, LEAST_BITS, MOST_BITS, TOGETHER = 3, 12, 32, 80
+LEAST_WORDS, LEAST_BITS, MOST_BITS, TOGETHER = 3, 12, 32, 40
+#: Fingerprints that share a key by chance, about: comparing these in place costs less than the rows that narrower keys take.
+SHARE = 64
 
 
 def differing(similarity: float) -> float:
@@ -249,13 +251,13 @@ def differing(similarity: float) -> float:
 def segments_for(count: int, similarity: float = SIMILAR, recall: float = RECALL) -> tuple[int, int, int, int]:
     """(segments, bits of a segment, 64-bit words of a fingerprint, radius) for this many fingerprints.
 
-    A segment has two bits more than it takes to number the fingerprints, so that chance brings few
-    together. Two at the similarity agree in it up to one bit with a chance that its width gives; there
+    A segment without one bit tells as many keys apart as leave about SHARE fingerprints to each by
+    chance. Two at the similarity agree in it up to one bit with a chance that its width gives; there
     are as many segments as the recall needs. The radius, three standard deviations beyond the expected
     distance, only passes over what cannot be alike: the shingles decide.
     """
     q = differing(similarity)
-    width = min(max(math.ceil(math.log2(count + 1)) + 2, LEAST_BITS), MOST_BITS)
+    width = min(max(math.ceil(math.log2((count + 1) / SHARE)) + 1, LEAST_BITS), MOST_BITS)
     one = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
     parts = math.ceil(math.log(1 - recall) / math.log(1 - one))
     words = max(LEAST_WORDS, -(-parts * width // WIDTH))
