@@ -435,10 +435,7 @@ SELECT id, count(*) AS grams, round(sum(ln(1 + tf) * idf), 4) AS weight FROM t J
 def gram_weights(spark, d):
     """N-grams of parts' names with their TF-IDF weights, before they are hashed."""
     parts = model.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("t"))
-    grams = learn.ngrams(parts, "t")
-    idf = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(parts.agg(F.count(F.lit(1)).alias("n")))  # one row
-    weight = F.log1p(F.col("tf").cast("double")) * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    return grams.join(idf, "gram").groupBy("id").agg(F.count(F.lit(1)).alias("grams"), F.round(F.sum(weight), 4).alias("weight"))
+    return learn.gram_weights(parts, "t").withColumn("weight", F.round("weight", 4))
 
 
 _CROSSED = """c0 AS (SELECT id, country, src, list_filter(name_toks, lambda x: length(x) > 1)[1:4] AS n, list_filter(addr_toks, lambda x: length(x) > 1 AND NOT regexp_matches(x, '[0-9]'))[1:8] AS a,
