@@ -42,6 +42,17 @@ def phonetic(x: Column) -> Column:
     return squash(F.concat(F.substring(w, 1, 1), rest))
 
 
+#: Letters whose capital in the SQL is one letter or none, where Java's is several or newer: ligatures and Greek with signs, Unicode 16.
+_SEVERAL = [c for c in map(chr, range(0x80, 0xFB20)) if len(c.upper()) > 1]
+_NEWER = [chr(c) for c in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))]
+CAPITALS = {**{c: c.title() if len(c.title()) == 1 else c for c in _SEVERAL}, **{c: c for c in _NEWER}, "\u00df": "\u1e9e"}
+
+
+def capital(letter: Column) -> Column:
+    """The capital of one letter as one letter: ẞ for ß, and itself where it has none."""
+    return F.when(F.instr(F.lit("".join(CAPITALS)), letter) > 0, F.translate(letter, "".join(CAPITALS), "".join(CAPITALS.values()))).otherwise(F.upper(letter))
+
+
 def fix_look_alikes(tok: Column) -> Column:
     """Digits that look like letters, in words that mix both and have two letters or more."""
     mixed = tok.rlike("[0-9]") & (F.char_length(F.regexp_replace(tok, "[^a-z]", "")) >= 2)

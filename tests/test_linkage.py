@@ -3,11 +3,14 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kinlink.functions import pairs, words
 from kinlink.operators import blocking, context, decide, learn, sampling, stats
+from kinlink.plans import queries
 
 
 def test_second_normalisation(spark):
@@ -261,3 +264,15 @@ def test_products_by_turns_and_blocks(spark, monkeypatch):
             want |= {(src, i, k): (s1, -score) for k, (score, s1) in enumerate(best)}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_augmented_names_of_any_letters(spark, tmp_path):
+    """Initials that are ligatures or have no single capital, İ and a Σ at the end of a word: the same rows as the SQL."""
+    heads = ["ßtadt ßen", "ﬁne ǰoke", "ᾳ ŉ ᾈ", "İstanbul ΟΔΟΣ", "ΑΣ Σ", "ɤ ƛ", "étoile d'ñ"]
+    docs = pd.DataFrame([(i, f"{heads[i % 7]}\nrest ΣΑΣ", "en", "src1", 9) for i in range(700)], columns="doc_id text lang source n_chars".split())
+    docs.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    theirs = con.sql(queries.SQL["augmented_names"]).fetchall()
+    ours = queries.QUERIES["augmented_names"](spark, str(tmp_path)).select("id", "name", "noisy").collect()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
