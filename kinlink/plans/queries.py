@@ -76,7 +76,7 @@ def link_records(spark, d):
     """Flagship: shared rare tokens, one owner per record, a floor on the weight, one list per clean record."""
     recs = model.records(spark, d)
     toks = blocking.token_families(recs)
-    found = blocking.overlap(toks, blocking.block_sizes(toks))
+    found = blocking.overlap(toks, blocking.block_sizes(toks), last=True)
     matches = decide.assign(found, "sp_score").filter(F.col("sp_score") >= 20)
     return decide.match_lists(recs.filter(F.col("src") == 1).select(F.col("id").alias("s1")), matches)
 
@@ -84,13 +84,13 @@ def link_records(spark, d):
 @query(f"WITH {_TOKENS}, {_OVERLAP} SELECT * FROM ov", recs=True)
 def blocking_overlap(spark, d):
     toks = blocking.token_families(model.records(spark, d))
-    return blocking.overlap(toks, blocking.block_sizes(toks))
+    return blocking.overlap(toks, blocking.block_sizes(toks), last=True)
 
 
 @query(f"WITH {_TOKENS}, {_COSINE} SELECT * FROM cs", recs=True)
 def blocking_cosine(spark, d):
     toks = blocking.token_families(model.records(spark, d))
-    return blocking.cosine(toks, blocking.block_sizes(toks))
+    return blocking.cosine(toks, blocking.block_sizes(toks), last=True)
 
 
 def _vectors(spark, d):
@@ -114,8 +114,9 @@ def candidate_union(spark, d):
     """Two whole channels, cosine and overlap, the first three ranks of one and five of the other, with where each pair comes from."""
     toks = blocking.token_families(model.records(spark, d))
     n = blocking.block_sizes(toks)
-    dense = blocking.cosine(toks, n).select("src", "rec", "s1", F.col("s_cos").alias("sim"), (F.col("s_rank") - 1).alias("rank"))
-    return blocking.union(dense, blocking.overlap(toks, n), dense_k=3, sparse_k=5)
+    dense, sparse = blocking.both_channels(toks, n, last=True)
+    dense = dense.select("src", "rec", "s1", F.col("s_cos").alias("sim"), (F.col("s_rank") - 1).alias("rank"))
+    return blocking.union(dense, sparse, dense_k=3, sparse_k=5)
 
 
 @query(f"""WITH {_TOKENS}, {_OVERLAP}, tr AS (SELECT r.src, r.id AS rec, l.id AS s1, r.country FROM rec l JOIN rec r ON l.country = r.country AND l.name = r.name AND l.address = r.address AND l.src = 1 AND r.src <> 1),
