@@ -477,8 +477,7 @@ SELECT ov.src, ov.rec, ov.s1, round(sum(l.w * r.w), 6) AS cos FROM ov JOIN u r O
 def pair_cosine(spark, d):
     """Cosine over all tokens for the pairs that overlap found."""
     toks = blocking.token_families(model.records(spark, d))
-    n = blocking.block_sizes(toks)
-    return blocking.pair_cosine(blocking.overlap(toks, n), toks, n)
+    return blocking.overlap_cosine(toks, blocking.block_sizes(toks), last=True)
 
 
 @query("""WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), v AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS n FROM u)
